@@ -129,7 +129,10 @@ def first_step(outputs_tech: DataFrame, inputs_tech: DataFrame, m: Mappings) ->
 def sector_edges(
     outputs_tech: DataFrame, inputs_tech: DataFrame, absorbing: list[str]
 ) -> DataFrame:
-    """Sector coefficients that a step can follow: scenario, year, via, next, coef."""
+    """Sector coefficients that a step can follow: scenario, year, via, next, stops, coef.
+
+    ``stops`` tells that the next commodity is absorbed.
+    """
 
     def open_sectors(df: DataFrame) -> DataFrame:
         return df.where(~F.col("sector").isin(*absorbing))
@@ -143,6 +146,7 @@ def sector_edges(
         *CELL,
         F.col("sector").alias("via"),
         F.col("input").alias("next"),
+        F.col("input").isin(*absorbing).alias("stops"),
         F.col("value").alias("coef"),
     )
 
@@ -175,9 +179,9 @@ def _collapse(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(strict_sum(F.col("value")).alias("value"))
 
 
-def _mark(commodity: Column, absorbing: list[str], step: int, by_depth: bool) -> Column:
+def _mark(stops: Column, step: int, by_depth: bool) -> Column:
     """Step at which a newly reached commodity is absorbed; NULL while it stays open."""
-    return F.when(commodity.isin(*absorbing), F.lit(step if by_depth else 0))
+    return F.when(stops, F.lit(step if by_depth else 0))
 
 
 def _expand_in_cells(
@@ -192,7 +196,7 @@ def _expand_in_cells(
     """Absorbed rows travel along with the open ones, so the plan is a single chain."""
     keys = [*FLOW, "depth"]
     rows = flow.repartition(tasks, *CELL).withColumn(
-        "depth", _mark(F.col("commodity"), absorbing, 0, by_depth)
+        "depth", _mark(F.col("commodity").isin(*absorbing), 0, by_depth)
     )
     rows = _collapse(rows, *keys)
     if broadcast:
@@ -203,9 +207,7 @@ def _expand_in_cells(
 
     for step in range(1, steps + 1):
         is_open = F.col("depth").isNull()
-        reached = F.when(is_open, F.col("next")).otherwise(F.col("commodity"))
-        amount = F.when(is_open, F.col("value") * F.col("coef")).otherwise(F.col("value"))
-        mark = F.when(is_open, _mark(F.col("next"), absorbing, step, by_depth))
+        # Absorbed rows look for no edge and pass the outer join unchanged.
         moved = (
             rows.withColumn("via", F.when(is_open, F.col("commodity")))
             .join(edges, [*CELL, "via"], "left")
@@ -213,9 +215,11 @@ def _expand_in_cells(
             .select(
                 "fuel",
                 *CELL,
-                reached.alias("commodity"),
-                F.coalesce(F.col("depth"), mark).alias("depth"),
-                amount.alias("value"),
+                F.coalesce("next", "commodity").alias("commodity"),
+                F.coalesce("depth", _mark(F.col("stops"), step, by_depth)).alias("depth"),
+                F.when(is_open, F.col("value") * F.col("coef"))
+                .otherwise(F.col("value"))
+                .alias("value"),
             )
         )
         rows = _collapse(moved, *keys)
@@ -262,7 +266,7 @@ def _expand_salted(
     level = materialize(_collapse(flow, *FLOW), "flow")
     absorbed = []
     for step in range(steps + 1):
-        mark = _mark(F.col("commodity"), absorbing, step, by_depth)
+        mark = _mark(F.col("commodity").isin(*absorbing), step, by_depth)
         absorbed.append(level.withColumn("depth", mark).where(F.col("depth").isNotNull()))
         if step == steps:
             break

@@ -15,7 +15,10 @@ LUC_TABLES = ("luc_by_region", "luc_outputs_by_tech")
 
 @dataclass(frozen=True)
 class FactTables:
-    """Fact tables over all scenarios. The last two hold the land-use change runs."""
+    """Fact tables over all scenarios. The last two hold the land-use change runs.
+
+    A table that the wanted results do not read may be None.
+    """
 
     outputs_by_tech: DataFrame
     inputs_by_tech: DataFrame
@@ -57,7 +60,7 @@ class FactTables:
         kept = {
             f.name: getattr(self, f.name).where(condition)
             for f in fields(self)
-            if f.name not in LUC_TABLES
+            if f.name not in LUC_TABLES and getattr(self, f.name) is not None
         }
         return replace(self, **kept)
 

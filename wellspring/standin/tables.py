@@ -1,23 +1,53 @@
 """Fact tables derived from an order/lineitem star schema.
 
 The customer's nation is the consuming sector, the supplier's nation the input, the part
-type the technology. All facts are sums over one five-way join, so that join runs once: it
-is aggregated to cells, whose number does not grow with the data, and the facts are read
-from the written cells.
+type the technology. All facts are sums over one five-way join, so that join runs once.
+Grouping sets sum it by technology, by technology and input, and by land-use run; each set
+has a number of groups that does not grow with the data, so most of the summing happens
+before the shuffle. The sums are written once, one folder per set, and facts are read from
+there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspring import fixed_values as fv
 from wellspring.functions.numeric import ieee_div
+from wellspring.functions.text import lookup
 from wellspring.sources.tables import FactTables
-from wellspring.sources.workspace import materialize
+from wellspring.sources.workspace import materialize, spread
 from wellspring.standin.config import LUC_KNOWN_YEARS, LUC_LEVELS, SEGMENTS, URGENT
 
-CELL = ["segment", "policy", "year", "consumer", "p_type", "producer", "l_returnflag", "o_orderstatus"]
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_type string, p_retailprice double",
+    "nation": "n_nationkey int, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
+
+# Groups of facts that a query may need, and the grouping set that holds them.
+INPUTS, TECHS, LUC = "inputs", "techs", "luc"
+FLOWS = (INPUTS, TECHS)
+ALL = (INPUTS, TECHS, LUC)
+KEYS = {
+    INPUTS: ["segment", "policy", "year", "consumer", "p_type", "producer"],
+    TECHS: ["segment", "policy", "year", "consumer", "p_type", "l_returnflag"],
+    LUC: ["o_orderstatus", "policy", "year", "consumer", "p_type", "l_returnflag"],
+}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,161 +57,177 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     which splits a skewed side of a shuffled join.
     """
 
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
     segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment"))
-    customers = table("customer").select(
+    customers = table(spark, sf_dir, "customer").select(
         "c_custkey", segment.cast("int").alias("segment"), F.col("c_nationkey").alias("consumer")
     )
-    orders = table("orders").select(
+    orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_custkey").alias("c_custkey"),
         "o_orderstatus",
         F.when(F.col("o_orderpriority").isin(*URGENT), 2).otherwise(1).alias("policy"),
         F.year("o_orderdate").alias("year"),
     )
-    suppliers = table("supplier").select(
+    suppliers = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("producer")
     )
-    parts = table("part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice")
-    lines = table("lineitem").select(
-        "l_orderkey",
-        "l_partkey",
-        "l_suppkey",
-        "l_quantity",
-        "l_extendedprice",
-        "l_discount",
-        "l_tax",
-        "l_returnflag",
-    )
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice")
     return (
-        lines.join(orders.join(customers, "c_custkey"), "l_orderkey")
+        spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+        .join(orders.join(customers, "c_custkey").hint("merge"), "l_orderkey")
         .join(suppliers, "l_suppkey")
         .join(parts, "l_partkey")
     )
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums over ``base`` from which every fact follows; at most a few million rows."""
+def sums(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> DataFrame:
+    """The measures of ``base`` by each needed grouping set; ``set`` names the set."""
     price = F.col("l_extendedprice")
-    stored = (F.col("l_tax") >= 0.08) & (F.col("l_returnflag") != "R")
+    kept = F.col("l_returnflag") != "R"
+    stored = kept & (F.col("l_tax") >= 0.08)
     unit = ieee_div(price, F.col("l_quantity"))
+    rows = base(spark, sf_dir).select(
+        *dict.fromkeys(k for g in need for k in KEYS[g]),
+        price.alias("gross"),
+        F.when(kept, price * (1 - F.col("l_discount"))).alias("net"),
+        F.when(stored, F.col("l_tax") * price).alias("stored"),
+        F.col("l_quantity").alias("quantity"),
+        unit.alias("unit"),
+        F.col("p_retailprice").alias("retail"),
+    )
+    keys = list(dict.fromkeys(k for g in need for k in KEYS[g]))
+    measures = [F.count(F.lit(1)).alias("lines"), F.count("unit").alias("units")]
+    measures += [F.sum(m).alias(m) for m in ("gross", "net", "stored", "quantity", "unit", "retail")]
+    if len(need) == 1:
+        return rows.groupBy(*keys).agg(*measures).withColumn("set", F.lit(need[0]))
+    grouped = rows.groupingSets([[F.col(k) for k in KEYS[g]] for g in need], *keys)
+    ids = F.create_map(*[F.lit(x) for g in need for x in (_grouping_id(keys, KEYS[g]), g)])
     return (
-        base(spark, sf_dir)
-        .groupBy(*CELL)
-        .agg(
-            F.count(F.lit(1)).alias("lines"),
-            F.sum(price).alias("gross"),
-            F.sum(price * (1 - F.col("l_discount"))).alias("net"),
-            F.sum(F.when(stored, F.col("l_tax") * price)).alias("stored"),
-            F.sum("l_quantity").alias("quantity"),
-            F.sum(unit).alias("unit"),
-            F.count(unit).alias("units"),
-            F.sum("p_retailprice").alias("retail"),
-        )
+        grouped.agg(F.grouping_id().alias("_id"), *measures)
+        .withColumn("set", ids[F.col("_id").cast("int")])
+        .drop("_id")
     )
 
 
-def facts(spark: SparkSession, sf_dir: str) -> FactTables:
-    """All fact tables over one materialised pass through the star schema."""
-    return facts_from_cells(materialize(cells(spark, sf_dir), "cells"), spark, sf_dir)
-
-
-def facts_lazily(spark: SparkSession, sf_dir: str) -> FactTables:
-    """The same tables without a written pass, for a query that needs one of them once."""
-    return facts_from_cells(cells(spark, sf_dir), spark, sf_dir)
-
-
-def facts_from_cells(c: DataFrame, spark: SparkSession, sf_dir: str) -> FactTables:
-    c = c.select(
-        *CELL,
-        "lines",
-        "gross",
-        "net",
-        "stored",
-        "quantity",
-        "unit",
-        "units",
-        "retail",
-        F.concat(
-            F.lit("m"),
-            F.col("segment").cast("string"),
-            F.lit("p"),
-            F.col("policy").cast("string"),
-        ).alias("scenario"),
-        nation(F.col("consumer")).alias("sector"),
-        F.concat(F.lit("S"), (F.col("consumer") % 5).cast("string")).alias("subsector"),
-        F.when(F.col("p_type") == "PROMO", fv.HYDRO_TECHNOLOGY)
-        .otherwise(F.col("p_type"))
-        .alias("technology"),
-        F.when(F.col("producer") == 0, "water_td")
-        .when(F.col("producer") == 1, fv.OIL_CREDITS)
-        .when(F.col("producer") == 5, "delivered N2")
-        .otherwise(nation(F.col("producer")))
-        .alias("input"),
-        F.when(F.col("l_returnflag") == "R", "byproduct")
-        .otherwise(nation(F.col("consumer")))
-        .alias("output"),
-    )
-    used = c.where(F.col("l_returnflag") != "R")
-    tech = ["scenario", "sector", "subsector", "technology"]
-    usa, units = F.lit("USA").alias("region"), F.lit("EJ").alias("Units")
+def _grouping_id(keys: list[str], grouped: list[str]) -> int:
+    return int("".join("0" if k in grouped else "1" for k in keys), 2)
+
+
+def facts(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> FactTables:
+    """The needed groups of facts over one written pass through the star schema."""
+    return facts_from(materialize(sums(spark, sf_dir, need), "sums", by="set"), spark, sf_dir, need)
+
+
+def facts_lazily(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> FactTables:
+    """The same without a written pass, for a query that reads a fact once."""
+    return facts_from(sums(spark, sf_dir, need), spark, sf_dir, need)
+
+
+def facts_from(
+    s: DataFrame, spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL
+) -> FactTables:
+    """Facts are summed by the compact keys of their set and named afterwards."""
+    found = dict.fromkeys(f.name for f in fields(FactTables))
+    scenario, tech = ["segment", "policy"], ["consumer", "p_type"]
+    output = F.when(F.col("l_returnflag") == "R", "byproduct").otherwise(nation("consumer"))
+
+    def of(group: str) -> DataFrame:
+        return s.where(F.col("set") == group)
 
     def total(df: DataFrame, keys: list[str], measure: str, scale: float) -> DataFrame:
         value = (F.sum(measure) / F.lit(scale)).alias("value")
-        return df.groupBy(*keys, "year").agg(value).withColumns({"region": usa, "Units": units})
+        return named(df.groupBy(*keys, "year").agg(value))
 
     def mean(df: DataFrame, keys: list[str], measure: str, count: str) -> DataFrame:
         value = (F.sum(measure) / F.sum(count) / F.lit(1e3)).alias("value")
-        return df.groupBy(*keys, "year").agg(value).withColumns({"region": usa, "Units": units})
-
-    emitted = F.create_map(
-        *[F.lit(x) for pair in (("A", "CH4"), ("N", "N2O_AGR"), ("R", "H2")) for x in pair]
-    )[F.col("l_returnflag")]
-    by_sector = mean(c.where(F.col("units") > 0), ["scenario", "sector"], "unit", "units")
-    delivered = by_sector.where(F.col("sector") == "N2").withColumns(
-        {"sector": F.lit("delivered N2"), "value": F.col("value") * 1.1}
-    )
-    carbon = mean(c.where(F.col("policy") == 2), ["scenario"], "gross", "lines").drop("region")
-    markets = F.array(F.lit("USACO2"), F.lit("USACO2_LTG"))
-
-    level = F.create_map(*[F.lit(x) for pair in LUC_LEVELS.items() for x in pair])
-    run = F.concat(
-        F.lit("biofuel_"),
-        level[F.col("o_orderstatus")],
-        F.lit("_p"),
-        F.col("policy").cast("string"),
-    )
-    luc = c.where(F.col("year").isin(*LUC_KNOWN_YEARS)).withColumn("scenario", run)
-
-    return FactTables(
-        outputs_by_tech=total(c, [*tech, "output"], "gross", 1e6),
-        inputs_by_tech=total(used, [*tech, "input"], "net", 1e6),
-        co2_sequestration_by_tech=total(
-            used.where(F.col("stored").isNotNull()), tech, "stored", 1e6
-        ),
-        nonco2_by_tech=total(c.withColumn("ghg", emitted), [*tech, "ghg"], "quantity", 1e4),
-        prices_by_sector=by_sector.unionByName(delivered),
-        costs_by_tech=mean(c, tech, "retail", "lines"),
-        co2_prices=carbon.withColumn("market", F.explode(markets)),
-        luc_by_region=luc_regions(luc, spark, sf_dir),
-        luc_outputs_by_tech=total(luc, [*tech, "output"], "gross", 1e6),
-    )
-
-
-def luc_regions(luc: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = spark.read.parquet(f"{sf_dir.rstrip('/')}/nation.parquet")
-    regions = spark.read.parquet(f"{sf_dir.rstrip('/')}/region.parquet")
-    per_nation = luc.groupBy("scenario", "consumer", "year").agg(F.sum("gross").alias("gross"))
-    return (
-        per_nation.join(nations, F.col("consumer") == F.col("n_nationkey"))
-        .join(regions, F.col("n_regionkey") == F.col("r_regionkey"))
-        .groupBy("scenario", F.col("r_name").alias("region"), "year")
-        .agg((F.sum("gross") / F.lit(1e6)).alias("value"))
-        .withColumn("Units", F.lit("EJ"))
+        return named(df.groupBy(*keys, "year").agg(value))
+
+    if INPUTS in need:
+        net = (F.col("net") / F.lit(1e6)).alias("value")
+        rows = of(INPUTS).where(F.col("net").isNotNull())
+        found["inputs_by_tech"] = named(rows.select(*KEYS[INPUTS], net))
+    if TECHS in need:
+        techs = of(TECHS)
+        amount = (F.col("quantity") / F.lit(1e4)).alias("value")
+        by_sector = mean(techs.where(F.col("units") > 0), [*scenario, "consumer"], "unit", "units")
+        delivered = by_sector.where(F.col("sector") == "N2").withColumns(
+            {"sector": F.lit("delivered N2"), "value": F.col("value") * 1.1}
+        )
+        carbon = mean(techs.where(F.col("policy") == 2), scenario, "gross", "lines").drop("region")
+        markets = F.array(F.lit("USACO2"), F.lit("USACO2_LTG"))
+        found |= {
+            "outputs_by_tech": total(
+                techs.withColumn("output", output), [*scenario, *tech, "output"], "gross", 1e6
+            ),
+            "co2_sequestration_by_tech": total(
+                techs.where(F.col("stored").isNotNull()), [*scenario, *tech], "stored", 1e6
+            ),
+            "nonco2_by_tech": named(techs.select(*KEYS[TECHS], amount)),
+            "prices_by_sector": by_sector.unionByName(delivered),
+            "costs_by_tech": mean(techs, [*scenario, *tech], "retail", "lines"),
+            "co2_prices": carbon.withColumn("market", F.explode(markets)),
+        }
+    if LUC in need:
+        run = ["o_orderstatus", "policy"]
+        known = of(LUC).where(F.col("year").isin(*LUC_KNOWN_YEARS)).withColumn("output", output)
+        per_nation = known.groupBy(*run, "consumer", "year").agg(F.sum("gross").alias("gross"))
+        found |= {
+            "luc_by_region": total(
+                with_region(per_nation, spark, sf_dir), [*run, "r_name"], "gross", 1e6
+            ),
+            "luc_outputs_by_tech": total(known, [*run, *tech, "output"], "gross", 1e6),
+        }
+    return FactTables(**found)
+
+
+def with_region(per_nation: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    regions = table(spark, sf_dir, "region")
+    return per_nation.join(nations, F.col("consumer") == F.col("n_nationkey")).join(
+        regions, F.col("n_regionkey") == F.col("r_regionkey")
     )
 
 
-def nation(key: Column) -> Column:
-    return F.concat(F.lit("N"), key.cast("string"))
+def named(df: DataFrame) -> DataFrame:
+    """Replace the compact keys of a fact by the names of its schema."""
+    names = {
+        "p_type": {
+            "technology": F.when(F.col("p_type") == "PROMO", fv.HYDRO_TECHNOLOGY).otherwise(
+                F.col("p_type")
+            )
+        },
+        "producer": {
+            "input": F.when(F.col("producer") == 0, "water_td")
+            .when(F.col("producer") == 1, fv.OIL_CREDITS)
+            .when(F.col("producer") == 5, "delivered N2")
+            .otherwise(nation("producer"))
+        },
+        "l_returnflag": {
+            "ghg": F.when(F.col("l_returnflag") == "A", "CH4")
+            .when(F.col("l_returnflag") == "N", "N2O_AGR")
+            .when(F.col("l_returnflag") == "R", "H2")
+        },
+        "consumer": {
+            "sector": nation("consumer"),
+            "subsector": F.concat(F.lit("S"), (F.col("consumer") % 5).cast("string")),
+        },
+        "segment": {"scenario": code("m", "segment", "p", "policy")},
+        "o_orderstatus": {
+            "scenario": F.concat_ws(
+                "_", F.lit("biofuel"), lookup(F.col("o_orderstatus"), LUC_LEVELS), code("p", "policy")
+            )
+        },
+    }
+    made = {n: c for key, new in names.items() if key in df.columns for n, c in new.items()}
+    made |= {"Units": F.lit("EJ"), "region": F.col("r_name") if "r_name" in df.columns else F.lit("USA")}
+    out = df.withColumns(made)
+    return out.drop(*names, "policy", "r_name")
+
+
+def code(*parts: str) -> Column:
+    """Letters and numeric columns put together, such as m3p1."""
+    return F.concat(*[F.lit(x) if len(x) == 1 else F.col(x).cast("string") for x in parts])
+
+
+def nation(key: str) -> Column:
+    return F.concat(F.lit("N"), F.col(key).cast("string"))
