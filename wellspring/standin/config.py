@@ -10,6 +10,9 @@ YEARS = tuple(range(1995, 2002))
 LUC_KNOWN_YEARS = (1995, 1998, 2001)
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 URGENT = ("1-URGENT", "2-HIGH")
+# The mean price of a few parts is a short decimal that can lie halfway between two numbers
+# of 5 digits, where the last bit decides. Prices are rounded beyond such decimals.
+PRICE_DIGITS = 10
 LUC_LEVELS = {"F": "base", "O": "FT", "P": "RD"}
 
 MAPPINGS = Mappings(
