@@ -1,0 +1,251 @@
+from __future__ import annotations
+
+import itertools
+import random
+from collections import defaultdict
+
+import pytest
+from frames import SCENARIO, collected, graph, inputs, outputs
+from pyspark.sql import functions as F
+
+from wellspring import Mappings
+from wellspring.operators import upstream
+from wellspring.operators.flows import SECTOR_KEYS, TECH_KEYS, io_coefficients, sector_totals
+from wellspring.operators.upstream import upstream_expand
+
+FUEL = ("methanol", "e-methanol", "e-methanol")
+STRATEGIES = ("broadcast", "colocated", "salted")
+
+
+def expand(out, inp, m, p, depth, **kw):
+    df = upstream_expand(out, inp, m, p.with_(depth=depth), **kw)
+    return collected(df.select("commodity", "depth", "value"), "commodity", "depth")
+
+
+def brute_force(edges, absorbing, depth):
+    """Every path followed on its own."""
+    totals = defaultdict(float)
+    paths = list(edges[None].items())
+    for step in range(depth + 1):
+        ahead = []
+        for commodity, value in paths:
+            if commodity in absorbing:
+                totals[commodity, step] += value
+            else:
+                ahead += [(i, value * c) for i, c in edges.get(commodity, {}).items()]
+        paths = ahead
+    return dict(totals)
+
+
+def close(got, expected):
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k], rel=1e-12) for k in got)
+
+
+def test_chain(spark, m, p):
+    edges = {None: {"a": 0.5}, "a": {"regional coal": 2.0, "b": 1.0}, "b": {"CH4": 3.0}}
+    out, inp = graph(spark, FUEL, edges, produced=10.0)
+    assert expand(out, inp, m, p, 2) == {("regional coal", 1): 10.0, ("CH4", 2): 15.0}
+    assert expand(out, inp, m, p, 1) == {("regional coal", 1): 10.0}
+    assert expand(out, inp, m, p, 0) == {}
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_two_paths_to_one_commodity_at_the_same_depth(spark, m, p, strategy):
+    edges = {
+        None: {"a": 1.0, "b": 2.0, "regional oil": 4.0},
+        "a": {"elec": 0.5},
+        "b": {"elec": 0.25},
+        "elec": {"regional coal": 3.0},
+    }
+    out, inp = graph(spark, FUEL, edges)
+    got = expand(out, inp, m, p, 4, strategy=strategy)
+    assert got == {("regional oil", 0): 4.0, ("regional coal", 2): 3.0}
+
+
+def test_cycle_approaches_closed_form(spark, m, p):
+    edges = {
+        None: {"a": 1.0},
+        "a": {"b": 0.4, "regional coal": 1.0},
+        "b": {"a": 0.3, "N2O": 2.0},
+    }
+    out, inp = graph(spark, FUEL, edges)
+    df = upstream_expand(out, inp, m, p.with_(depth=40), by_depth=False)
+    got = collected(df.select("commodity", "value"), "commodity")
+    # x = 1 + 0.3 y and y = 0.4 x for the total flows through a and b
+    x = 1 / (1 - 0.12)
+    assert got["regional coal"] == pytest.approx(x, rel=1e-12)
+    assert got["N2O"] == pytest.approx(2.0 * 0.4 * x, rel=1e-12)
+
+
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_random_graph_against_every_path(spark, m, p, strategy, monkeypatch):
+    rng = random.Random(7)
+    sectors = [f"s{i}" for i in range(6)]
+    goods = [*sectors, "regional coal", "hydropower", "carbon-storage", "CH4", "nowhere"]
+    edges = {
+        s: {g: rng.uniform(0.1, 0.6) for g in rng.sample(goods, 4)} for s in [None, *sectors]
+    }
+    # An absorbing commodity that is also a sector is never followed.
+    edges["regional coal"] = {"CH4": 5.0}
+    monkeypatch.setattr(upstream, "FAN_OUT_PER_SALT", 2)
+    monkeypatch.setattr(upstream, "STEPS_PER_PLAN", 3)
+    out, inp = graph(spark, FUEL, edges)
+    got = expand(out, inp, m, p, 7, strategy=strategy)
+    absorbing = {*m.primary_commodities, *p.ghgs}
+    close(got, brute_force(edges, absorbing, 7))
+    total = upstream_expand(out, inp, m, p.with_(depth=7), by_depth=False, strategy=strategy)
+    summed = defaultdict(float)
+    for (commodity, _), value in got.items():
+        summed[commodity] += value
+    close(collected(total.select("commodity", "value"), "commodity"), dict(summed))
+
+
+def test_conservation(spark, m, p):
+    """With coefficients that sum to one, absorbed and open flow add up to the start."""
+    edges = {
+        None: {"a": 0.5, "b": 0.5},
+        "a": {"b": 0.7, "regional oil": 0.3},
+        "b": {"a": 0.2, "regional coal": 0.8},
+    }
+    out, inp = graph(spark, FUEL, edges, produced=3.0)
+    for depth in (1, 3):
+        taken = sum(expand(out, inp, m, p, depth).values())
+        still_open, flow = 0.0, {"a": 1.5, "b": 1.5}
+        for _ in range(depth):
+            ahead = defaultdict(float)
+            for s, v in flow.items():
+                for i, c in edges[s].items():
+                    if i in edges:
+                        ahead[i] += v * c
+            flow = ahead
+        still_open = sum(flow.values())
+        assert taken + still_open == pytest.approx(3.0, rel=1e-12)
+
+
+def test_depth_splits_the_total_and_never_shrinks_it(spark, m, p):
+    edges = {None: {"a": 1.0}, "a": {"a": 0.5, "regional coal": 1.0}}
+    out, inp = graph(spark, FUEL, edges)
+    deep = expand(out, inp, m, p, 6)
+    for depth in range(7):
+        assert expand(out, inp, m, p, depth) == {k: v for k, v in deep.items() if k[1] <= depth}
+    running = list(itertools.accumulate(v for _, v in sorted(deep.items())))
+    assert running == sorted(running)
+
+
+def test_scaling_outputs_and_inputs_scales_flows(spark, m, p):
+    edges = {None: {"a": 0.5}, "a": {"regional coal": 2.0}}
+    out, inp = graph(spark, FUEL, edges)
+    twice = [df.withColumn("value", F.col("value") * 2) for df in (out, inp)]
+    got, doubled = expand(out, inp, m, p, 2), expand(*twice, m, p, 2)
+    assert doubled == {k: 2 * v for k, v in got.items()}
+
+
+def test_sector_without_output_poisons_and_unknown_sector_vanishes(spark, m, p):
+    out = outputs(spark, [(*FUEL, 1.0)])
+    inp = inputs(
+        spark,
+        [
+            (*FUEL, "no output", 1.0),
+            (*FUEL, "no rows", 1.0),
+            ("no output", "x", "x", "regional coal", 2.0),
+        ],
+    )
+    assert expand(out, inp, m, p, 2) == {("regional coal", 1): None}
+
+
+def test_zero_output_technology_gives_nan(spark, m, p):
+    out = outputs(spark, [(*FUEL, 0.0)])
+    inp = inputs(spark, [(*FUEL, "regional coal", 2.0)])
+    value = expand(out, inp, m, p, 1)["regional coal", 0]
+    assert value != value
+
+
+def test_scenarios_and_years_do_not_mix(spark, m, p):
+    parts = [
+        graph(spark, FUEL, {None: {"a": 1.0}, "a": {"regional coal": c}}, 1.0, s, y)
+        for (s, y), c in {("x", 2020): 1.0, ("x", 2025): 2.0, ("y", 2020): 3.0}.items()
+    ]
+    out, inp = parts[0]
+    for o, i in parts[1:]:
+        out, inp = out.unionByName(o), inp.unionByName(i)
+    df = upstream_expand(out, inp, m, p.with_(depth=1))
+    got = collected(df.select("scenario", "year", "value"), "scenario", "year")
+    assert got == {("x", 2020): 1.0, ("x", 2025): 2.0, ("y", 2020): 3.0}
+
+
+def test_one_technology_that_makes_two_fuels(spark, p):
+    base = Mappings.published()
+    fuels = (("s", "b", "t", "one", "one", 0.0, None), ("s", "b", "t", "two", "two", 0.0, None))
+    m = Mappings(fuels, base.co2_ef, base.nonco2_gwp, base.fuel_delivery_cost, base.scenario_definitions)
+    out = outputs(spark, [("s", "b", "t", 4.0)])
+    inp = inputs(spark, [("s", "b", "t", "regional coal", 2.0)])
+    got = collected(upstream_expand(out, inp, m, p).select("fuel", "value"), "fuel")
+    assert got == {"one": 2.0, "two": 2.0}
+
+
+def test_strategy_follows_measured_size():
+    few = upstream.EdgeStats(10, 1000, 2, 5)
+    many = upstream.EdgeStats(10**9, 10**11, 10**6, 1000)
+    wide = upstream.EdgeStats(10**9, 10**11, 3, 5 * 10**8)
+    assert [upstream.choose_strategy(s) for s in (few, many, wide)] == list(STRATEGIES)
+
+
+def test_steps_add_no_shuffle_with_broadcast_edges(spark, m, p):
+    edges = {None: {"a": 1.0}, "a": {"a": 0.5, "regional coal": 1.0}}
+    out, inp = graph(spark, FUEL, edges)
+    counts = set()
+    for depth in (1, 3, 6):
+        df = upstream_expand(out, inp, m, p.with_(depth=depth), strategy="broadcast")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        counts.add(plan.count("Exchange hashpartitioning"))
+    assert len(counts) == 1
+
+
+def test_steps_add_no_shuffle_with_colocated_edges(spark, m, p, monkeypatch):
+    """Each step sorts flows and nothing else; the edges are shuffled and sorted once."""
+    edges = {None: {"a": 1.0}, "a": {"a": 0.5, "regional coal": 1.0}}
+    out, inp = graph(spark, FUEL, edges)
+    plans = []
+
+    def capture(df, broadcast):
+        conf = spark.conf
+        kept = {k: conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+        conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        conf.set("spark.sql.adaptive.enabled", "false")
+        conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        try:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        finally:
+            conf.set("spark.sql.requireAllClusterKeysForCoPartition", "true")
+            for k, v in kept.items():
+                conf.set(k, v)
+        return df
+
+    monkeypatch.setattr(upstream, "_written", capture)
+    absorbing = [*m.primary_commodities, *p.ghgs]
+    flow = upstream.first_step(out, inp, m)
+    sector = upstream.sector_edges(out, inp, absorbing)
+    for depth in (1, 4):
+        upstream._expand_in_cells(flow, sector, absorbing, depth, True, 4, False)
+    one, four = (text.split("InMemoryRelation")[0].count("Exchange hashpartitioning") for text in plans)
+    repartitions = [text.count("REPARTITION_BY_NUM") for text in plans]
+    joins = [text.count("SortMergeJoin") for text in plans]
+    assert joins[1] - joins[0] >= 3
+    assert four - one == 0 or repartitions[1] - repartitions[0] == four - one
+
+
+def test_level_is_declared_over_narrowed_tables(spark, m):
+    edges = {None: {"a": 1.0}, "a": {"regional coal": 1.0}}
+    out, inp = graph(spark, FUEL, edges)
+    plan = upstream.first_step(out, inp, m)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 2
+
+
+def test_coefficients(spark):
+    out = outputs(spark, [("s", "b", "t", 4.0), ("s", "b", "u", 0.0)])
+    inp = inputs(spark, [("s", "b", "t", "i", 2.0), ("s", "b", "u", "i", 1.0), ("s", "b", "v", "i", 1.0)])
+    tech = collected(io_coefficients(inp, out, TECH_KEYS).select("technology", "value"), "technology")
+    assert tech == {"t": 0.5, "u": float("inf"), "v": None}
+    sector = io_coefficients(sector_totals(inp, "input"), sector_totals(out), SECTOR_KEYS)
+    assert collected(sector.select("scenario", "value"), "scenario") == {SCENARIO: 1.0}

@@ -199,18 +199,25 @@ def _expand_in_cells(
         "depth", _mark(F.col("commodity").isin(*absorbing), 0, by_depth)
     )
     rows = _collapse(rows, *keys)
+    edges = edges.withColumnsRenamed({"scenario": "edge_scenario", "year": "edge_year"})
+    cell = ["edge_scenario", "edge_year"]
     if broadcast:
         edges = F.broadcast(edges)
     else:
-        edges = edges.repartition(tasks, *CELL).sortWithinPartitions(*CELL, "via")
+        edges = edges.repartition(tasks, *cell).sortWithinPartitions(*cell, "via")
         edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
 
+    is_open = F.col("depth").isNull()
+    # Absorbed rows look for no edge and pass the outer join unchanged.
+    wanted = F.when(is_open, F.col("commodity"))
+    follows = (
+        (F.col("scenario") == F.col("edge_scenario"))
+        & (F.col("year") == F.col("edge_year"))
+        & (wanted == F.col("via"))
+    )
     for step in range(1, steps + 1):
-        is_open = F.col("depth").isNull()
-        # Absorbed rows look for no edge and pass the outer join unchanged.
         moved = (
-            rows.withColumn("via", F.when(is_open, F.col("commodity")))
-            .join(edges, [*CELL, "via"], "left")
+            rows.join(edges, follows, "left")
             .where(~is_open | F.col("next").isNotNull())
             .select(
                 "fuel",

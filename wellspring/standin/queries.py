@@ -14,7 +14,7 @@ from wellspring.operators import assemble
 from wellspring.plans.lca import LcaPlan
 from wellspring.sources.extract import carbon_markets
 from wellspring.standin.config import MAPPINGS, PARAMS, PRICE_DIGITS
-from wellspring.standin.tables import ALL, FLOWS, LUC, TECHS, facts, facts_lazily
+from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, facts, facts_lazily
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,66 +33,66 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def outputs_tech(spark, sf_dir):
-    return _rounded(_lazy(spark, sf_dir, TECHS).outputs_tech, 8, "value")
+    return _rounded(_lazy(spark, sf_dir, OUTPUTS).outputs_tech, 8, "value")
 
 
 def outputs_sector(spark, sf_dir):
-    return _rounded(_lazy(spark, sf_dir, TECHS).outputs_sector, 8, "value")
+    return _rounded(_lazy(spark, sf_dir, OUTPUTS).outputs_sector, 8, "value")
 
 
 def inputs_tech(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).inputs_tech, 10, "value")
+    return _rounded(_plan(spark, sf_dir, FLOWS).inputs_tech, 10, "value")
 
 
 def inputs_sector(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).inputs_sector, 10, "value")
+    return _rounded(_plan(spark, sf_dir, FLOWS).inputs_sector, 10, "value")
 
 
 def io_coefs_tech(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).io_coefs_tech, 8, "value")
+    return _rounded(_plan(spark, sf_dir, FLOWS).io_coefs_tech, 8, "value")
 
 
 def io_coefs_sector(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).io_coefs_sector, 8, "value")
+    return _rounded(_plan(spark, sf_dir, FLOWS).io_coefs_sector, 8, "value")
 
 
 def upstream_absorbed(spark, sf_dir):
     """The technology step keeps the decimals of the data; later steps are products."""
     value = F.when(F.col("depth") == 0, F.round("value", 10)).otherwise(F.round("value", 8))
-    return _plan(spark, sf_dir, *FLOWS).expand().withColumn("value", value)
+    return _plan(spark, sf_dir, FLOWS).expand().withColumn("value", value)
 
 
 def upstream_co2(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).upstream_co2, 7, "kgCO2_GJ")
+    return _rounded(_plan(spark, sf_dir, FLOWS).upstream_co2, 7, "kgCO2_GJ")
 
 
 def primary_energy(spark, sf_dir):
-    plan = _plan(spark, sf_dir, *FLOWS)
+    plan = _plan(spark, sf_dir, FLOWS)
     return plan.decode(plan.primary_energy)
 
 
 def upstream_nonco2(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).upstream_nonco2, 7, "kgCO2e_GJ")
+    return _rounded(_plan(spark, sf_dir, FLOWS).upstream_nonco2, 7, "kgCO2e_GJ")
 
 
 def tailpipe_co2(spark, sf_dir):
-    return _lazy(spark, sf_dir, TECHS).tailpipe_co2
+    return _lazy(spark, sf_dir, OUTPUTS).tailpipe_co2
 
 
 def tailpipe_nonco2(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).tailpipe_nonco2, 7, "kgCO2e_GJ")
+    return _rounded(_plan(spark, sf_dir, FLOWS).tailpipe_nonco2, 7, "kgCO2e_GJ")
 
 
 def delivery_costs(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, TECHS).delivery_costs, 8, "delivery_cost")
+    return _rounded(_plan(spark, sf_dir, PRICES).delivery_costs, 8, "delivery_cost")
 
 
 def co2_penalties(spark, sf_dir):
-    return _rounded(_lazy(spark, sf_dir, TECHS).co2_penalties, 8, "USD_kgCO2")
+    return _rounded(_lazy(spark, sf_dir, PRICES).co2_penalties, 8, "USD_kgCO2")
 
 
 def _prices(spark, sf_dir):
-    return LcaPlan(facts(spark, sf_dir, [TECHS]), MAPPINGS, PARAMS.with_(digits=PRICE_DIGITS))
+    return LcaPlan(facts(spark, sf_dir, [PRICES]), MAPPINGS, PARAMS.with_(digits=PRICE_DIGITS))
 
 
 def fuel_prices(spark, sf_dir):
@@ -110,7 +110,7 @@ def luc_intensity(spark, sf_dir):
 
 def greet_convention(spark, sf_dir):
     """Upstream and tailpipe CO2 after the shift, before land-use change."""
-    plan = _plan(spark, sf_dir, *FLOWS)
+    plan = _plan(spark, sf_dir, FLOWS)
     up, tail = assemble.greet_convention(
         assemble.tag_co2(plan.upstream_co2, "Upstream"),
         assemble.tag_co2(plan.tailpipe_co2, "Tailpipe"),
@@ -122,37 +122,37 @@ def greet_convention(spark, sf_dir):
 
 
 def lca_ghg(spark, sf_dir):
-    plan = _plan(spark, sf_dir, *ALL)
+    plan = _plan(spark, sf_dir, FLOWS, LUC)
     return plan.decode(plan.ghg)
 
 
 def decode_scenario(spark, sf_dir):
-    plan = _lazy(spark, sf_dir, TECHS)
+    plan = _lazy(spark, sf_dir, OUTPUTS)
     return _rounded(plan.decode(plan.outputs_sector), 8, "value")
 
 
 def depth_sensitivity(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *ALL).depth_sensitivity(), 6, "kgCO2e_GJ")
+    return _rounded(_plan(spark, sf_dir, FLOWS, LUC).depth_sensitivity(), 6, "kgCO2e_GJ")
 
 
 def report_base_ghg(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *ALL).report_base_ghg(), 5, "kgCO2e_GJ")
+    return _rounded(_plan(spark, sf_dir, FLOWS, LUC).report_base_ghg(), 5, "kgCO2e_GJ")
 
 
 def report_h2_nh3_ghg(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *ALL).report_h2_nh3_ghg(), 5, "kgCO2e_GJ")
+    return _rounded(_plan(spark, sf_dir, FLOWS, LUC).report_h2_nh3_ghg(), 5, "kgCO2e_GJ")
 
 
 def report_ghg_final_year(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *ALL).report_ghg_final_year(), 5, "kgCO2e_GJ")
+    return _rounded(_plan(spark, sf_dir, FLOWS, LUC).report_ghg_final_year(), 5, "kgCO2e_GJ")
 
 
 def report_pe_final_year(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).report_pe_final_year(), 5, "IO")
+    return _rounded(_plan(spark, sf_dir, FLOWS).report_pe_final_year(), 5, "IO")
 
 
 def report_pe_scenarios(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, *FLOWS).report_pe_scenarios(), 5, "IO")
+    return _rounded(_plan(spark, sf_dir, FLOWS).report_pe_scenarios(), 5, "IO")
 
 
 def report_prices(spark, sf_dir):
@@ -161,7 +161,7 @@ def report_prices(spark, sf_dir):
 
 def markets(spark, sf_dir):
     return _rounded(
-        carbon_markets(_lazy(spark, sf_dir, TECHS).facts.co2_prices).select(
+        carbon_markets(_lazy(spark, sf_dir, PRICES).facts.co2_prices).select(
             "scenario", "market", "year", "value"
         ),
         8,
@@ -171,7 +171,7 @@ def markets(spark, sf_dir):
 
 def scenario_block(spark, sf_dir):
     """Outputs of the scenarios whose name matches a pattern."""
-    plan = _lazy(spark, sf_dir, TECHS).only(like="p2$")
+    plan = _lazy(spark, sf_dir, OUTPUTS).only(like="p2$")
     return _rounded(plan.outputs_tech, 8, "value")
 
 

@@ -35,16 +35,27 @@ SCHEMAS = {
     "region": "r_regionkey int, r_name string",
 }
 
-# Groups of facts that a query may need, and the grouping set that holds them.
-INPUTS, TECHS, LUC = "inputs", "techs", "luc"
-FLOWS = (INPUTS, TECHS)
-ALL = (INPUTS, TECHS, LUC)
+# Grouping sets: by technology and input, by technology, by land-use run.
 KEYS = {
-    INPUTS: ["segment", "policy", "year", "consumer", "p_type", "producer"],
-    TECHS: ["segment", "policy", "year", "consumer", "p_type", "l_returnflag"],
-    LUC: ["o_orderstatus", "policy", "year", "consumer", "p_type", "l_returnflag"],
+    "inputs": ["segment", "policy", "year", "consumer", "p_type", "producer"],
+    "techs": ["segment", "policy", "year", "consumer", "p_type", "l_returnflag"],
+    "runs": ["o_orderstatus", "policy", "year", "consumer", "p_type", "l_returnflag"],
 }
 
+# Groups of facts that a query may need, and the grouping sets they are read from.
+OUTPUTS, FLOWS, PRICES, LUC = "outputs", "flows", "prices", "luc"
+ALL = (FLOWS, PRICES, LUC)
+SETS = {
+    OUTPUTS: ("techs",),
+    FLOWS: ("inputs", "techs"),
+    PRICES: ("techs",),
+    LUC: ("runs",),
+}
+
+
+def sets_of(need: Iterable[str]) -> list[str]:
+    return list(dict.fromkeys(s for group in need for s in SETS[group]))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -82,12 +93,14 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sums(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> DataFrame:
     """The measures of ``base`` by each needed grouping set; ``set`` names the set."""
+    wanted = sets_of(need)
     price = F.col("l_extendedprice")
     kept = F.col("l_returnflag") != "R"
     stored = kept & (F.col("l_tax") >= 0.08)
     unit = ieee_div(price, F.col("l_quantity"))
+    keys = list(dict.fromkeys(k for g in wanted for k in KEYS[g]))
     rows = base(spark, sf_dir).select(
-        *dict.fromkeys(k for g in need for k in KEYS[g]),
+        *keys,
         price.alias("gross"),
         F.when(kept, price * (1 - F.col("l_discount"))).alias("net"),
         F.when(stored, F.col("l_tax") * price).alias("stored"),
@@ -95,13 +108,12 @@ def sums(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> DataFra
         unit.alias("unit"),
         F.col("p_retailprice").alias("retail"),
     )
-    keys = list(dict.fromkeys(k for g in need for k in KEYS[g]))
     measures = [F.count(F.lit(1)).alias("lines"), F.count("unit").alias("units")]
     measures += [F.sum(m).alias(m) for m in ("gross", "net", "stored", "quantity", "unit", "retail")]
-    if len(need) == 1:
-        return rows.groupBy(*keys).agg(*measures).withColumn("set", F.lit(need[0]))
-    grouped = rows.groupingSets([[F.col(k) for k in KEYS[g]] for g in need], *keys)
-    ids = F.create_map(*[F.lit(x) for g in need for x in (_grouping_id(keys, KEYS[g]), g)])
+    if len(wanted) == 1:
+        return rows.groupBy(*keys).agg(*measures).withColumn("set", F.lit(wanted[0]))
+    grouped = rows.groupingSets([[F.col(k) for k in KEYS[g]] for g in wanted], *keys)
+    ids = F.create_map(*[F.lit(x) for g in wanted for x in (_grouping_id(keys, KEYS[g]), g)])
     return (
         grouped.agg(F.grouping_id().alias("_id"), *measures)
         .withColumn("set", ids[F.col("_id").cast("int")])
@@ -131,8 +143,8 @@ def facts_from(
     scenario, tech = ["segment", "policy"], ["consumer", "p_type"]
     output = F.when(F.col("l_returnflag") == "R", "byproduct").otherwise(nation("consumer"))
 
-    def of(group: str) -> DataFrame:
-        return s.where(F.col("set") == group)
+    def of(name: str) -> DataFrame:
+        return s.where(F.col("set") == name)
 
     def total(df: DataFrame, keys: list[str], measure: str, scale: float) -> DataFrame:
         value = (F.sum(measure) / F.lit(scale)).alias("value")
@@ -142,34 +154,39 @@ def facts_from(
         value = (F.sum(measure) / F.sum(count) / F.lit(1e3)).alias("value")
         return named(df.groupBy(*keys, "year").agg(value))
 
-    if INPUTS in need:
+    if set(need) & {OUTPUTS, FLOWS, PRICES}:
+        found["outputs_by_tech"] = total(
+            of("techs").withColumn("output", output), [*scenario, *tech, "output"], "gross", 1e6
+        )
+    if FLOWS in need:
         net = (F.col("net") / F.lit(1e6)).alias("value")
-        rows = of(INPUTS).where(F.col("net").isNotNull())
-        found["inputs_by_tech"] = named(rows.select(*KEYS[INPUTS], net))
-    if TECHS in need:
-        techs = of(TECHS)
         amount = (F.col("quantity") / F.lit(1e4)).alias("value")
-        by_sector = mean(techs.where(F.col("units") > 0), [*scenario, "consumer"], "unit", "units")
+        found |= {
+            "inputs_by_tech": named(
+                of("inputs").where(F.col("net").isNotNull()).select(*KEYS["inputs"], net)
+            ),
+            "co2_sequestration_by_tech": total(
+                of("techs").where(F.col("stored").isNotNull()), [*scenario, *tech], "stored", 1e6
+            ),
+            "nonco2_by_tech": named(of("techs").select(*KEYS["techs"], amount)),
+        }
+    if PRICES in need:
+        by_sector = mean(
+            of("techs").where(F.col("units") > 0), [*scenario, "consumer"], "unit", "units"
+        )
         delivered = by_sector.where(F.col("sector") == "N2").withColumns(
             {"sector": F.lit("delivered N2"), "value": F.col("value") * 1.1}
         )
-        carbon = mean(techs.where(F.col("policy") == 2), scenario, "gross", "lines").drop("region")
+        carbon = mean(of("techs").where(F.col("policy") == 2), scenario, "gross", "lines")
         markets = F.array(F.lit("USACO2"), F.lit("USACO2_LTG"))
         found |= {
-            "outputs_by_tech": total(
-                techs.withColumn("output", output), [*scenario, *tech, "output"], "gross", 1e6
-            ),
-            "co2_sequestration_by_tech": total(
-                techs.where(F.col("stored").isNotNull()), [*scenario, *tech], "stored", 1e6
-            ),
-            "nonco2_by_tech": named(techs.select(*KEYS[TECHS], amount)),
             "prices_by_sector": by_sector.unionByName(delivered),
-            "costs_by_tech": mean(techs, [*scenario, *tech], "retail", "lines"),
-            "co2_prices": carbon.withColumn("market", F.explode(markets)),
+            "costs_by_tech": mean(of("techs"), [*scenario, *tech], "retail", "lines"),
+            "co2_prices": carbon.drop("region").withColumn("market", F.explode(markets)),
         }
     if LUC in need:
         run = ["o_orderstatus", "policy"]
-        known = of(LUC).where(F.col("year").isin(*LUC_KNOWN_YEARS)).withColumn("output", output)
+        known = of("runs").where(F.col("year").isin(*LUC_KNOWN_YEARS)).withColumn("output", output)
         per_nation = known.groupBy(*run, "consumer", "year").agg(F.sum("gross").alias("gross"))
         found |= {
             "luc_by_region": total(
