@@ -22,10 +22,11 @@ The choice follows from counts over the written edge table.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspring.functions.numeric import strict_sum
@@ -194,7 +195,7 @@ def _expand_in_cells(
     broadcast: bool,
 ) -> DataFrame:
     """Absorbed rows travel along with the open ones, so the plan is a single chain."""
-    keys = [*FLOW, "depth"]
+    spark, keys = flow.sparkSession, [*FLOW, "depth"]
     rows = flow.repartition(tasks, *CELL).withColumn(
         "depth", _mark(F.col("commodity").isin(*absorbing), 0, by_depth)
     )
@@ -204,8 +205,10 @@ def _expand_in_cells(
     if broadcast:
         edges = F.broadcast(edges)
     else:
-        edges = edges.repartition(tasks, *cell).sortWithinPartitions(*cell, "via")
-        edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
+        # An adaptive plan would hide the partitioning and order of the cached edges.
+        with _setting(spark, "spark.sql.adaptive.enabled"):
+            edges = edges.repartition(tasks, *cell).sortWithinPartitions(*cell, "via")
+            edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
 
     is_open = F.col("depth").isNull()
     # Absorbed rows look for no edge and pass the outer join unchanged.
@@ -244,13 +247,19 @@ def _written(rows: DataFrame, broadcast: bool) -> DataFrame:
     """Write rows out, letting a join on more keys accept the scenario-year partitioning."""
     if broadcast:
         return materialize(rows, "flow")
-    conf, key = rows.sparkSession.conf, "spark.sql.requireAllClusterKeysForCoPartition"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
+    with _setting(rows.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"):
         return materialize(rows, "flow")
+
+
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str = "false"):
+    """A session setting for the duration of a block."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
     finally:
-        conf.set(key, before)
+        spark.conf.set(key, before)
 
 
 def _expand_salted(
