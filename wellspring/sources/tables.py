@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,14 +80,16 @@ def read_fact(
     spark: SparkSession, roots: Sequence[str], title: str, format: str = "parquet"
 ) -> DataFrame:
     """One query title over all blocks, with the declared columns and types."""
-    paths = [f"{r.rstrip('/')}/{folder_of(title)}" for r in roots]
+    blocks = [_read_block(spark, f"{r.rstrip('/')}/{folder_of(title)}", format) for r in roots]
+    return reduce(DataFrame.unionByName, [conform(b, FACTS[title], title) for b in blocks])
+
+
+def _read_block(spark: SparkSession, path: str, format: str) -> DataFrame:
     if format == "csv":
-        raw = spark.read.option("header", True).option("nullValue", "NA").csv(paths)
-    else:
-        # Codes such as 2020 or 1e5 are names, so a scenario folder is never a number.
-        with _string_partitions(spark):
-            raw = spark.read.format(format).load(paths)
-    return conform(raw, FACTS[title], title)
+        return spark.read.option("header", True).option("nullValue", "NA").csv(path)
+    # Codes such as 2020 or 1e5 are names, so a scenario folder is never a number.
+    with _string_partitions(spark):
+        return spark.read.format(format).load(path)
 
 
 class _string_partitions:
