@@ -158,7 +158,7 @@ class Session:
 
 
 def test_shared_folder_is_the_one_the_cluster_names():
-    assert workspace.shared_folder(Session("s3://bucket/shared/")) == "s3://bucket/shared"
+    assert workspace.shared_folder(Session("hdfs:///shared/")) == "hdfs:///shared"
     assert workspace.shared_folder(Session(checkpoint="hdfs:///cp")) == "hdfs:///cp"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workspace.shared_folder(Session())

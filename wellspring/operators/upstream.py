@@ -44,6 +44,7 @@ MAX_BROADCAST_BYTES = 64 << 20
 MAX_CELL_EDGES = 2_000_000
 EDGES_PER_TASK = 1_000_000
 FAN_OUT_PER_SALT = 100_000
+MAX_BROADCAST_SECTORS = 500_000
 STEPS_PER_PLAN = 16
 
 
@@ -106,12 +107,14 @@ def upstream_expand(
 def first_step(outputs_tech: DataFrame, inputs_tech: DataFrame, m: Mappings) -> DataFrame:
     """Flows into the fuel technologies themselves: production x coefficient.
 
-    Both tables are narrowed to the fuel technologies before they are shuffled.
+    Both tables are narrowed to the fuel technologies before they are shuffled, and repeated
+    inputs of a technology are summed, so that no technology brings many rows to the joins.
     """
     spark = outputs_tech.sparkSession
     techs = m.frame(spark, "fuel_techs", "sector", "subsector", "technology", "fuel")
     own_outputs = fuel_technologies(outputs_tech, m)
-    own_coefs = io_coefficients(fuel_technologies(inputs_tech, m), own_outputs, TECH_KEYS)
+    own_inputs = _collapse(fuel_technologies(inputs_tech, m), *TECH_KEYS, "input")
+    own_coefs = io_coefficients(own_inputs, own_outputs, TECH_KEYS)
     return (
         own_coefs.withColumnRenamed("value", "_coef")
         .join(own_outputs, TECH_KEYS)
@@ -270,14 +273,25 @@ def _expand_salted(
     by_depth: bool,
     tasks: int,
 ) -> DataFrame:
-    """Steps that shuffle, each written out, with a sector's edges spread over salts.
+    """Steps that shuffle, each written out, with the edges of a wide sector spread out.
 
-    A flow has at most one row per fuel and sector, so copying it to every salt is cheap.
+    A sector whose edges exceed ``FAN_OUT_PER_SALT`` is cut into that many more salts. A flow
+    has one row per fuel and sector, so copying it to the salts of its sector is cheap.
     """
-    fan_out = edges.groupBy(*CELL, "via").count().agg(F.max("count")).first()[0] or 0
-    salts = max(1, math.ceil(fan_out / FAN_OUT_PER_SALT))
-    salted = edges.withColumn("salt", F.pmod(F.xxhash64("next"), F.lit(salts)).cast("int"))
-    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    fan_out = edges.groupBy(*CELL, "via").agg(F.count(F.lit(1)).alias("_n"))
+    wide = fan_out.where(F.col("_n") > FAN_OUT_PER_SALT).select(
+        *CELL, "via", F.ceil(F.col("_n") / F.lit(FAN_OUT_PER_SALT)).cast("int").alias("_salts")
+    )
+    wide = materialize(wide, "wide")
+    if wide.count() <= MAX_BROADCAST_SECTORS:
+        wide = F.broadcast(wide)
+    salts = F.coalesce("_salts", F.lit(1))
+    salted = materialize(
+        edges.join(wide, [*CELL, "via"], "left")
+        .withColumn("salt", F.pmod(F.xxhash64("next"), salts).cast("int"))
+        .drop("_salts"),
+        "edges",
+    )
 
     level = materialize(_collapse(flow, *FLOW), "flow")
     absorbed = []
@@ -286,9 +300,11 @@ def _expand_salted(
         absorbed.append(level.withColumn("depth", mark).where(F.col("depth").isNotNull()))
         if step == steps:
             break
-        open_rows = level.where(~F.col("commodity").isin(*absorbing)).withColumn("salt", copies)
+        open_rows = level.where(~F.col("commodity").isin(*absorbing))
         moved = (
             open_rows.withColumnRenamed("commodity", "via")
+            .join(wide, [*CELL, "via"], "left")
+            .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
             .repartition(tasks, *CELL, "via", "salt")
             .join(salted.repartition(tasks, *CELL, "via", "salt"), [*CELL, "via", "salt"])
             .select(

@@ -99,23 +99,25 @@ def sums(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> DataFra
     stored = kept & (F.col("l_tax") >= 0.08)
     unit = ieee_div(price, F.col("l_quantity"))
     keys = list(dict.fromkeys(k for g in wanted for k in KEYS[g]))
-    rows = base(spark, sf_dir).select(
-        *keys,
-        price.alias("gross"),
-        F.when(kept, price * (1 - F.col("l_discount"))).alias("net"),
-        F.when(stored, F.col("l_tax") * price).alias("stored"),
-        F.col("l_quantity").alias("quantity"),
-        unit.alias("unit"),
-        F.col("p_retailprice").alias("retail"),
-    )
-    measures = [F.count(F.lit(1)).alias("lines"), F.count("unit").alias("units")]
-    measures += [F.sum(m).alias(m) for m in ("gross", "net", "stored", "quantity", "unit", "retail")]
+    measures = {"gross": price}
+    if FLOWS in need:
+        measures |= {
+            "net": F.when(kept, price * (1 - F.col("l_discount"))),
+            "stored": F.when(stored, F.col("l_tax") * price),
+            "quantity": F.col("l_quantity"),
+        }
+    if PRICES in need:
+        measures |= {"unit": unit, "retail": F.col("p_retailprice")}
+    rows = base(spark, sf_dir).select(*keys, *[c.alias(n) for n, c in measures.items()])
+    totals = [F.sum(n).alias(n) for n in measures]
+    if PRICES in need:
+        totals += [F.count(F.lit(1)).alias("lines"), F.count("unit").alias("units")]
     if len(wanted) == 1:
-        return rows.groupBy(*keys).agg(*measures).withColumn("set", F.lit(wanted[0]))
+        return rows.groupBy(*keys).agg(*totals).withColumn("set", F.lit(wanted[0]))
     grouped = rows.groupingSets([[F.col(k) for k in KEYS[g]] for g in wanted], *keys)
     ids = F.create_map(*[F.lit(x) for g in wanted for x in (_grouping_id(keys, KEYS[g]), g)])
     return (
-        grouped.agg(F.grouping_id().alias("_id"), *measures)
+        grouped.agg(F.grouping_id().alias("_id"), *totals)
         .withColumn("set", ids[F.col("_id").cast("int")])
         .drop("_id")
     )
