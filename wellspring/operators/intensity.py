@@ -12,38 +12,44 @@ from wellspring.operators.upstream import GHG, PRIMARY
 from wellspring.params import LcaParams
 from wellspring.sources.mappings import Mappings
 
+FUEL = ["fuel", "scenario", "year"]
+
 
 def primary_inputs(absorbed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Absorbed primary commodities summed over depth."""
-    return _total(absorbed, PRIMARY, "EJ_in", by)
+    """Primary commodities a fuel takes up, over all depths."""
+    return _total(absorbed, PRIMARY, "sector", "EJ_in", by)
 
 
 def nonco2_emissions(absorbed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Absorbed non-CO2 gases summed over depth."""
-    return _total(absorbed, GHG, "TG", by)
+    """Non-CO2 gases emitted for a fuel, over all depths."""
+    return _total(absorbed, GHG, "GHG", "TG", by)
 
 
-def _total(absorbed: DataFrame, kind: str, name: str, by: Sequence[str]) -> DataFrame:
+def _total(
+    absorbed: DataFrame, kind: str, name: str, measure: str, by: Sequence[str]
+) -> DataFrame:
     return (
         absorbed.where(F.col("kind") == kind)
-        .groupBy("fuel", "scenario", "year", *by, "commodity")
-        .agg(strict_sum(F.col("value")).alias(name))
+        .groupBy(*FUEL, *by, F.col("commodity").alias(name))
+        .agg(strict_sum(F.col("value")).alias(measure))
     )
 
 
 def upstream_co2(
     absorbed: DataFrame, production: DataFrame, m: Mappings, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Upstream kg CO2 per GJ by reporting fuel, less the carbon reported at the tailpipe."""
+    """Upstream kg CO2 per GJ by reporting fuel, less the carbon reported at the tailpipe.
+
+    Emissions are summed straight from the absorbed rows, in a single shuffle; primary
+    energy and other gases likewise.
+    """
     spark = absorbed.sparkSession
-    factors = m.frame(spark, "co2_ef", "sector", "CO2_kgGJ").withColumnRenamed(
-        "sector", "commodity"
-    )
+    factors = m.frame(spark, "co2_ef", "sector", "CO2_kgGJ")
     mass = (
-        primary_inputs(absorbed, by)
-        .join(factors, "commodity", "left")
-        .groupBy("fuel", "scenario", "year", *by)
-        .agg(strict_sum(F.col("EJ_in") * F.col("CO2_kgGJ")).alias("MtCO2"))
+        absorbed.where(F.col("kind") == PRIMARY)
+        .join(factors, F.col("commodity") == F.col("sector"), "left")
+        .groupBy(*FUEL, *by)
+        .agg(strict_sum(F.col("value") * F.col("CO2_kgGJ")).alias("MtCO2"))
     )
     pooled = _pool(mass, production, m, "MtCO2", by)
     tailpipe = m.frame(spark, "fuel_techs", "reporting_fuel", "kgCO2_GJ")
@@ -64,16 +70,13 @@ def primary_energy(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Primary energy in per unit of fuel out, by reporting fuel and primary fuel."""
-    spark = absorbed.sparkSession
-    names = m.frame(spark, "co2_ef", "sector", "Primary_fuel").withColumnRenamed(
-        "sector", "commodity"
-    )
+    names = m.frame(absorbed.sparkSession, "co2_ef", "sector", "Primary_fuel")
     energy = (
-        primary_inputs(absorbed, by)
-        .join(names, "commodity", "left")
+        absorbed.where(F.col("kind") == PRIMARY)
+        .join(names, F.col("commodity") == F.col("sector"), "left")
         .where(F.col("Primary_fuel").isNotNull())
-        .groupBy("fuel", "scenario", "year", *by, "Primary_fuel")
-        .agg(strict_sum(F.col("EJ_in")).alias("EJ_in"))
+        .groupBy(*FUEL, *by, "Primary_fuel")
+        .agg(strict_sum(F.col("value")).alias("EJ_in"))
     )
     pooled = _pool(energy, production, m, "EJ_in", [*by, "Primary_fuel"])
     ratio = ieee_div(F.col("EJ_in"), F.col("EJ_out"))
@@ -93,10 +96,11 @@ def upstream_nonco2(
     """Upstream kg CO2-equivalent per GJ by reporting fuel and gas."""
     gwp = m.frame(absorbed.sparkSession, "nonco2_gwp")
     mass = (
-        nonco2_emissions(absorbed, by)
+        absorbed.where(F.col("kind") == GHG)
         .withColumnRenamed("commodity", "GHG")
         .join(gwp, "GHG", "left")
-        .withColumn("MtCO2e", F.col("TG") * F.col("GWP"))
+        .groupBy(*FUEL, *by, "GHG")
+        .agg(strict_sum(F.col("value") * F.col("GWP")).alias("MtCO2e"))
     )
     pooled = _pool(mass, production, m, "MtCO2e", [*by, "GHG"])
     return pooled.select(
@@ -119,7 +123,7 @@ def _pool(
     """
     reporting = m.frame(per_fuel.sparkSession, "fuel_techs", "fuel", "reporting_fuel")
     return (
-        per_fuel.join(production, ["fuel", "scenario", "year"], "left")
+        per_fuel.join(production, FUEL, "left")
         .join(reporting, "fuel", "left")
         .groupBy("reporting_fuel", "scenario", "year", *by)
         .agg(

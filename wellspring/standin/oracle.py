@@ -390,6 +390,15 @@ def queries() -> dict[str, str]:
         "upstream_absorbed": f"""SELECT fuel, scenario, year, commodity, kind, depth,
             CASE WHEN depth = 0 THEN {rounded('value', 10)} ELSE {rounded('value', 8)} END AS value
             FROM absorbed""",
+        "fuel_production": f"""SELECT fuel, scenario, year, {rounded('EJ_out', 8)} AS EJ_out
+            FROM production""",
+        "primary_inputs": f"""SELECT fuel, scenario, year, sector, {rounded('EJ_in', 7)} AS EJ_in
+            FROM primary_in""",
+        "nonco2_emissions": f"""SELECT fuel, scenario, year, commodity AS GHG,
+            {rounded(strict("value"), 7)} AS TG
+            FROM absorbed WHERE kind = 'ghg' GROUP BY fuel, scenario, year, commodity""",
+        "biofuel_interpolated": f"""SELECT scenario, reporting_fuel, luc_fuel, year,
+            {rounded('Fuel_EJ', 9)} AS Fuel_EJ FROM biofuel_series""",
         "upstream_co2": f"SELECT fuel, scenario, year, {rounded('kgCO2_GJ', 7)} AS kgCO2_GJ FROM upstream_co2",
         "primary_energy": decoded(
             f"fuel, year, Primary_fuel, {rounded('IO', P.digits)} AS IO", "primary_energy"

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.operators import assemble
+from wellspring.operators import assemble, intensity
 from wellspring.plans.lca import LcaPlan
 from wellspring.sources.extract import carbon_markets
 from wellspring.standin.config import MAPPINGS, PARAMS, PRICE_DIGITS
@@ -62,6 +62,24 @@ def upstream_absorbed(spark, sf_dir):
     return _plan(spark, sf_dir, FLOWS).expand().withColumn("value", value)
 
 
+def primary_inputs(spark, sf_dir):
+    plan = _plan(spark, sf_dir, FLOWS)
+    return _rounded(intensity.primary_inputs(plan.expand(by_depth=False)), 7, "EJ_in")
+
+
+def nonco2_emissions(spark, sf_dir):
+    plan = _plan(spark, sf_dir, FLOWS)
+    return _rounded(intensity.nonco2_emissions(plan.expand(by_depth=False)), 7, "TG")
+
+
+def fuel_production(spark, sf_dir):
+    return _rounded(_lazy(spark, sf_dir, OUTPUTS).production, 8, "EJ_out")
+
+
+def biofuel_interpolated(spark, sf_dir):
+    return _rounded(_lazy(spark, sf_dir, LUC).biofuel_interpolated, 9, "Fuel_EJ")
+
+
 def upstream_co2(spark, sf_dir):
     return _rounded(_plan(spark, sf_dir, FLOWS).upstream_co2, 7, "kgCO2_GJ")
 
@@ -185,6 +203,9 @@ QUERIES: dict[str, Query] = {
         io_coefs_tech,
         io_coefs_sector,
         upstream_absorbed,
+        fuel_production,
+        primary_inputs,
+        nonco2_emissions,
         upstream_co2,
         primary_energy,
         upstream_nonco2,
@@ -194,6 +215,7 @@ QUERIES: dict[str, Query] = {
         co2_penalties,
         fuel_prices,
         luc_interpolated,
+        biofuel_interpolated,
         luc_intensity,
         greet_convention,
         lca_ghg,
