@@ -221,21 +221,18 @@ def _expand_in_cells(
         & (F.col("year") == F.col("edge_year"))
         & (wanted == F.col("via"))
     )
+    kept = ~is_open | F.col("next").isNotNull()
+    reached = F.coalesce("next", "commodity").alias("commodity")
+    carried = F.when(is_open, F.col("value") * F.col("coef")).otherwise(F.col("value"))
+    total = strict_sum(F.col("value")).alias("value")
     for step in range(1, steps + 1):
+        mark = F.coalesce("depth", _mark(F.col("stops"), step, by_depth)).alias("depth")
         moved = (
             rows.join(edges, follows, "left")
-            .where(~is_open | F.col("next").isNotNull())
-            .select(
-                "fuel",
-                *CELL,
-                F.coalesce("next", "commodity").alias("commodity"),
-                F.coalesce("depth", _mark(F.col("stops"), step, by_depth)).alias("depth"),
-                F.when(is_open, F.col("value") * F.col("coef"))
-                .otherwise(F.col("value"))
-                .alias("value"),
-            )
+            .where(kept)
+            .select("fuel", *CELL, reached, mark, carried.alias("value"))
         )
-        rows = _collapse(moved, *keys)
+        rows = moved.groupBy(*keys).agg(total)
         if step % STEPS_PER_PLAN == 0 and step < steps:
             rows = _written(rows, broadcast).repartition(tasks, *CELL)
 

@@ -42,6 +42,8 @@ KEYS = {
     "runs": ["o_orderstatus", "policy", "year", "consumer", "p_type", "l_returnflag"],
 }
 
+KEY_COLUMNS = sorted({k for keys in KEYS.values() for k in keys} - {"year"})
+
 # Groups of facts that a query may need, and the grouping sets they are read from.
 OUTPUTS, FLOWS, PRICES, LUC = "outputs", "flows", "prices", "luc"
 ALL = (FLOWS, PRICES, LUC)
@@ -209,38 +211,28 @@ def with_region(per_nation: DataFrame, spark: SparkSession, sf_dir: str) -> Data
 
 def named(df: DataFrame) -> DataFrame:
     """Replace the compact keys of a fact by the names of its schema."""
-    names = {
-        "p_type": {
-            "technology": F.when(F.col("p_type") == "PROMO", fv.HYDRO_TECHNOLOGY).otherwise(
-                F.col("p_type")
-            )
-        },
-        "producer": {
-            "input": F.when(F.col("producer") == 0, "water_td")
-            .when(F.col("producer") == 1, fv.OIL_CREDITS)
-            .when(F.col("producer") == 5, "delivered N2")
-            .otherwise(nation("producer"))
-        },
-        "l_returnflag": {
-            "ghg": F.when(F.col("l_returnflag") == "A", "CH4")
-            .when(F.col("l_returnflag") == "N", "N2O_AGR")
-            .when(F.col("l_returnflag") == "R", "H2")
-        },
-        "consumer": {
-            "sector": nation("consumer"),
-            "subsector": F.concat(F.lit("S"), (F.col("consumer") % 5).cast("string")),
-        },
-        "segment": {"scenario": code("m", "segment", "p", "policy")},
-        "o_orderstatus": {
-            "scenario": F.concat_ws(
-                "_", F.lit("biofuel"), lookup(F.col("o_orderstatus"), LUC_LEVELS), code("p", "policy")
-            )
-        },
-    }
-    made = {n: c for key, new in names.items() if key in df.columns for n, c in new.items()}
-    made |= {"Units": F.lit("EJ"), "region": F.col("r_name") if "r_name" in df.columns else F.lit("USA")}
-    out = df.withColumns(made)
-    return out.drop(*names, "policy", "r_name")
+    has, made = set(df.columns), {"Units": F.lit("EJ"), "region": F.lit("USA")}
+    if "r_name" in has:
+        made["region"] = F.col("r_name")
+    if "segment" in has:
+        made["scenario"] = code("m", "segment", "p", "policy")
+    if "o_orderstatus" in has:
+        level = lookup(F.col("o_orderstatus"), LUC_LEVELS)
+        made["scenario"] = F.concat_ws("_", F.lit("biofuel"), level, code("p", "policy"))
+    if "consumer" in has:
+        made["sector"] = nation("consumer")
+        made["subsector"] = F.concat(F.lit("S"), (F.col("consumer") % 5).cast("string"))
+    if "p_type" in has:
+        is_hydro = F.col("p_type") == "PROMO"
+        made["technology"] = F.when(is_hydro, fv.HYDRO_TECHNOLOGY).otherwise(F.col("p_type"))
+    if "producer" in has:
+        special = {0: "water_td", 1: fv.OIL_CREDITS, 5: "delivered N2"}
+        made["input"] = F.coalesce(
+            *[F.when(F.col("producer") == k, v) for k, v in special.items()], nation("producer")
+        )
+    if "l_returnflag" in has:
+        made["ghg"] = lookup(F.col("l_returnflag"), {"A": "CH4", "N": "N2O_AGR", "R": "H2"})
+    return df.withColumns(made).drop(*KEY_COLUMNS, "r_name")
 
 
 def code(*parts: str) -> Column:
