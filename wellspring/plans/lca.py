@@ -20,7 +20,8 @@ class LcaPlan:
     """The DataFrames of one analysis. Each is declared on first use.
 
     Everything is lazy except the edge table inside the upstream expansion and the absorbed
-    flows, which several results share and which are written to the shared folder.
+    flows, which several results share and which are written to the shared folder. With
+    ``shared=False`` the absorbed flows stay lazy, for a plan asked for one result only.
     """
 
     def __init__(
@@ -28,10 +29,12 @@ class LcaPlan:
         facts: FactTables,
         mappings: Mappings | None = None,
         params: LcaParams | None = None,
+        shared: bool = True,
     ):
         self.facts = facts
         self.m = mappings or Mappings.published()
         self.p = params or LcaParams()
+        self.shared = shared
 
     # Flows and coefficients
 
@@ -79,7 +82,8 @@ class LcaPlan:
 
     @cached_property
     def absorbed(self) -> DataFrame:
-        return materialize(self.expand(by_depth=False), "absorbed")
+        absorbed = self.expand(by_depth=False)
+        return materialize(absorbed, "absorbed") if self.shared else absorbed
 
     @cached_property
     def upstream_co2(self) -> DataFrame:
@@ -198,14 +202,22 @@ class LcaPlan:
 
     # Narrower runs that give the same rows for the scenarios and years they keep
 
-    def only(self, *, scenario: str | None = None, like: str | None = None, year: int | None = None):
+    def only(
+        self,
+        *,
+        scenario: str | None = None,
+        like: str | None = None,
+        year: int | None = None,
+        shared: bool = True,
+    ) -> LcaPlan:
         """The same analysis on some scenarios or one year, pruned before any work is done."""
         facts = self.facts
         if scenario is not None:
             facts = facts.scenario(scenario)
         if like is not None:
             facts = facts.scenarios_like(like)
-        return LcaPlan(facts, self.m, self.p if year is None else self.p.with_(years=(year,)))
+        p = self.p if year is None else self.p.with_(years=(year,))
+        return LcaPlan(facts, self.m, p, shared)
 
     def report_base_ghg(self) -> DataFrame:
         return report.base_ghg(self.only(scenario=self.p.base_scenario).ghg, self.p)
@@ -218,11 +230,15 @@ class LcaPlan:
         return report.final_year_ghg(run.ghg, self.p)
 
     def report_pe_final_year(self) -> DataFrame:
-        run = self.only(scenario=self.p.base_scenario, year=self.p.final_year)
+        run = self.only(
+            scenario=self.p.base_scenario, year=self.p.final_year, shared=False
+        )
         return report.final_year_primary_energy(run.primary_energy, self.p)
 
     def report_pe_scenarios(self) -> DataFrame:
-        run = self.only(like=self.p.contrasted_scenarios, year=self.p.final_year)
+        run = self.only(
+            like=self.p.contrasted_scenarios, year=self.p.final_year, shared=False
+        )
         return report.contrasted_primary_energy(run.primary_energy, self.p)
 
     def report_prices(self) -> DataFrame:

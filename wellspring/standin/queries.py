@@ -24,6 +24,11 @@ def _plan(spark: SparkSession, sf_dir: str, *need: str) -> LcaPlan:
     return LcaPlan(facts(spark, sf_dir, need), MAPPINGS, PARAMS)
 
 
+def _single(spark: SparkSession, sf_dir: str, *need: str) -> LcaPlan:
+    """Facts written once, for one result of the upstream expansion."""
+    return LcaPlan(facts(spark, sf_dir, need), MAPPINGS, PARAMS, shared=False)
+
+
 def _lazy(spark: SparkSession, sf_dir: str, *need: str) -> LcaPlan:
     return LcaPlan(facts_lazily(spark, sf_dir, need), MAPPINGS, PARAMS)
 
@@ -81,16 +86,16 @@ def biofuel_interpolated(spark, sf_dir):
 
 
 def upstream_co2(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, FLOWS).upstream_co2, 7, "kgCO2_GJ")
+    return _rounded(_single(spark, sf_dir, FLOWS).upstream_co2, 7, "kgCO2_GJ")
 
 
 def primary_energy(spark, sf_dir):
-    plan = _plan(spark, sf_dir, FLOWS)
+    plan = _single(spark, sf_dir, FLOWS)
     return plan.decode(plan.primary_energy)
 
 
 def upstream_nonco2(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, FLOWS).upstream_nonco2, 7, "kgCO2e_GJ")
+    return _rounded(_single(spark, sf_dir, FLOWS).upstream_nonco2, 7, "kgCO2e_GJ")
 
 
 def tailpipe_co2(spark, sf_dir):
@@ -128,7 +133,7 @@ def luc_intensity(spark, sf_dir):
 
 def greet_convention(spark, sf_dir):
     """Upstream and tailpipe CO2 after the shift, before land-use change."""
-    plan = _plan(spark, sf_dir, FLOWS)
+    plan = _single(spark, sf_dir, FLOWS)
     up, tail = assemble.greet_convention(
         assemble.tag_co2(plan.upstream_co2, "Upstream"),
         assemble.tag_co2(plan.tailpipe_co2, "Tailpipe"),
