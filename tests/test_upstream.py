@@ -192,15 +192,18 @@ def test_strategy_follows_measured_size():
     assert [upstream.choose_strategy(s) for s in (few, many, wide)] == list(STRATEGIES)
 
 
-def test_steps_add_no_shuffle_with_broadcast_edges(spark, m, p):
+def test_only_summed_flows_are_exchanged_with_broadcast_edges(spark, m, p):
+    """The planner adds no exchange for a step; the flows pass one between stages."""
     edges = {None: {"a": 1.0}, "a": {"a": 0.5, "regional coal": 1.0}}
     out, inp = graph(spark, FUEL, edges)
-    counts = set()
-    for depth in (1, 3, 6):
+    added, placed = {}, {}
+    for depth in (2, 4, 6):
         df = upstream_expand(out, inp, m, p.with_(depth=depth), strategy="broadcast")
         plan = df._jdf.queryExecution().executedPlan().toString()
-        counts.add(plan.count("Exchange hashpartitioning"))
-    assert len(counts) == 1
+        added[depth] = plan.count("ENSURE_REQUIREMENTS")
+        placed[depth] = plan.count("REPARTITION_BY_NUM")
+    assert len(set(added.values())) == 1
+    assert placed == {2: 1, 4: 2, 6: 3}
 
 
 def test_steps_add_no_shuffle_with_colocated_edges(spark, m, p, monkeypatch):
@@ -225,13 +228,14 @@ def test_steps_add_no_shuffle_with_colocated_edges(spark, m, p, monkeypatch):
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        upstream._expand_in_cells(flow, sector, absorbing, 4, True, 4, False)
+        upstream._expand_in_cells(flow, sector, absorbing, 2, True, 4, False)
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
     (plan,) = plans
-    assert plan.count("SortMergeJoin") >= 4 and "InMemoryTableScan" in plan
-    assert "ENSURE_REQUIREMENTS" not in plan
+    assert plan.count("SortMergeJoin") >= 2 and "InMemoryTableScan" in plan
+    # One for the sum of the first step's flows, none for the joins and sums of the steps.
+    assert plan.count("ENSURE_REQUIREMENTS") == 1
     shown = plan.split("InMemoryRelation")[0]
     assert "Sort [edge_scenario" not in shown and "Sort [scenario" in shown
 

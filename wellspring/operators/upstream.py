@@ -7,16 +7,20 @@ flows of a fuel into one commodity are summed, so the working set is bounded by
 scenarios x years x commodities however many paths lead to a commodity.
 
 No step mixes scenarios or years. Rows are therefore hash partitioned by scenario and
-year once, and all steps run inside that partitioning:
+year, and steps run inside that partitioning:
 
-* ``broadcast``  few edges: each step is a map-side join and an aggregation without a
+* ``broadcast``  few edges: each step is a map-side join and an aggregation that need no
   shuffle;
 * ``colocated``  many edges: they are partitioned and sorted once like the flows, and each
-  step is a merge join without a shuffle;
+  step is a merge join and an aggregation that need no shuffle;
 * ``salted``     one scenario and year has too many edges for a task: each step shuffles,
   and the edges of a sector are spread over several partitions.
 
 The choice follows from counts over the written edge table.
+
+Each aggregation of a stage claims a memory page when the task starts. A stage therefore
+runs only ``STEPS_PER_STAGE`` steps. Between stages the summed flows, not the edges, pass an
+exchange, or are written out where the edges are colocated.
 """
 
 from __future__ import annotations
@@ -45,6 +49,7 @@ MAX_CELL_EDGES = 2_000_000
 EDGES_PER_TASK = 1_000_000
 FAN_OUT_PER_SALT = 100_000
 MAX_BROADCAST_SECTORS = 500_000
+STEPS_PER_STAGE = 2
 STEPS_PER_PLAN = 16
 
 
@@ -199,7 +204,7 @@ def _expand_in_cells(
 ) -> DataFrame:
     """Absorbed rows travel along with the open ones, so the plan is a single chain."""
     spark, keys = flow.sparkSession, [*FLOW, "depth"]
-    rows = flow.repartition(tasks, *CELL).withColumn(
+    rows = flow.withColumn(
         "depth", _mark(F.col("commodity").isin(*absorbing), 0, by_depth)
     )
     rows = _collapse(rows, *keys)
@@ -226,6 +231,12 @@ def _expand_in_cells(
     carried = F.when(is_open, F.col("value") * F.col("coef")).otherwise(F.col("value"))
     total = strict_sum(F.col("value")).alias("value")
     for step in range(1, steps + 1):
+        stage, first = divmod(step - 1, STEPS_PER_STAGE)
+        if first == 0 and broadcast:
+            # The keys change places, since an exchange to the same partitioning is dropped.
+            rows = rows.repartition(tasks, *(CELL if stage % 2 == 0 else CELL[::-1]))
+        elif first == 0:
+            rows = rows.repartition(tasks, *CELL)
         mark = F.coalesce("depth", _mark(F.col("stops"), step, by_depth)).alias("depth")
         moved = (
             rows.join(edges, follows, "left")
@@ -233,8 +244,8 @@ def _expand_in_cells(
             .select("fuel", *CELL, reached, mark, carried.alias("value"))
         )
         rows = moved.groupBy(*keys).agg(total)
-        if step % STEPS_PER_PLAN == 0 and step < steps:
-            rows = _written(rows, broadcast).repartition(tasks, *CELL)
+        if step < steps and step % (STEPS_PER_PLAN if broadcast else STEPS_PER_STAGE) == 0:
+            rows = _written(rows, broadcast)
 
     absorbed = rows.where(F.col("depth").isNotNull())
     if not broadcast:
