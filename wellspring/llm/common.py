@@ -7,11 +7,11 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time inside a task.
@@ -20,15 +20,6 @@ ROWS_AT_ONCE = 256
 CACHE_CHUNKS = 200_000
 
 
-def column(df: DataFrame, name: str) -> Column:
-    """The first column called exactly ``name``, also where another differs only in case."""
-    same = [c for c in df.columns if c.lower() == name.lower()]
-    if len(same) == 1:
-        return df[name]
-    renamed = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    raise ValueError(f"{name} is ambiguous among {df.columns}: rename it before, as in {renamed.columns}")
-
-
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names.
 
@@ -63,11 +54,6 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt evenly, so that no task gets one file's long documents alone."""
-    return df.hint("rebalance")
-
-
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut small enough to be turned into Python objects."""
     for batch in batches:
@@ -80,6 +66,33 @@ def crc32_of(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
+def annotated(df: DataFrame, text_col: str, make: Callable[[], Callable], fields: list[tuple[str, str]]) -> DataFrame:
+    """All columns of ``df`` and new ones computed from whole texts, without moving a row.
+
+    ``make`` builds, once in each task, a function from a list of texts (null: None) to the
+    arrays of the new columns. Columns keep their places, so names in ``df`` may clash in
+    any way; the new ones come last.
+    """
+    names = list(df.columns)
+    at = names.index(text_col)
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    types = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema]
+    added = [name for name, _ in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in slices(batches):
+            columns = [*batch.columns, *work(batch.column(at).to_pylist())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
+
+    return plain.mapInArrow(run, ", ".join([*types, *(f"{n} {t}" for n, t in fields)]))
+
+
+def restored(annotated_df: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``df`` alone, out of what ``annotated`` returned for it."""
+    return annotated_df.select(*[F.col(f"c{i}") for i in range(len(df.columns))]).toDF(*df.columns)
+
+
 #: White space next to a space; Python's \s also holds the separators U+001C to U+001F.
 _ADJACENT = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")

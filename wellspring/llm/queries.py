@@ -8,8 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.llm import bpe_tree, grace_dedup, packing, sharding, simhash, token_files
-from wellspring.llm.common import spread
+from wellspring.llm import (
+    bpe_tree,
+    grace_dedup,
+    kdtree,
+    language,
+    line_dedup,
+    packing,
+    sharding,
+    simhash,
+    token_files,
+    toxicity,
+)
 
 #: Where the public vocabularies are, by file name; a parameter, never copied.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -27,6 +37,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+#: Categories of the chain in their order, as conditions on the labels.
+TOXICITY = {"junk": "quality = 0", "toxic": "toxic = 1"}
+
+
+def op1_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities and rejection of every document."""
+    docs = documents(spark, sf_dir)
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), TOXICITY)
+    return toxicity.classify(docs, chain, list(TOXICITY))
+
+
+def op2_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 greatest inner products of each query vector."""
+    return kdtree.top_k(table(spark, sf_dir, "embeddings"), is_query="vec_id % 20 = 0", k=20, scale=64.0)
+
+
 def op3_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate class of every document."""
     return simhash.near_duplicates(documents(spark, sf_dir), words=3, distance=2)
@@ -53,6 +79,19 @@ def op7_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
+def op8_language_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.fit(docs))
+
+
+def op9_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted runs of lines and the remaining text of every document."""
+    out = line_dedup.delete_repeats(documents(spark, sf_dir))
+    runs = F.transform("deleted", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string")))
+    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.array_join(runs, ",").alias("deleted"), "text")
+
+
 #: The splitting pattern of the rank file. Fixed value of the public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -65,19 +104,76 @@ def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_toxicity_chain,
+        op2_kdtree_topk,
         op3_simhash_links,
         op4_grace_dedup,
         op5_token_files,
         op6_hypergeometric_shards,
         op7_bin_slack_packing,
+        op8_language_gru,
+        op9_winnowed_lines,
         op10_bpe_tree,
     )
 }
 
 ORACLE_SQL = {
+    "op2_kdtree_topk": """
+        WITH v AS (
+            SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ), p AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+        ), r AS (
+            SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+                   vec_id, score
+            FROM p
+        )
+        SELECT * FROM r WHERE rank <= 20
+    """,
     "op4_grace_dedup": """
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_winnowed_lines": """
+        WITH raw AS (
+            SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k
+            FROM documents WHERE text <> ''
+        ), l AS (
+            SELECT doc_id, k, trim(line) AS line, len(regexp_extract_all(line, '\\S+')) AS w FROM raw WHERE trim(line) <> ''
+        ), n AS (
+            SELECT *, lead(k, 1) OVER o AS k1, lead(k, 2) OVER o AS k2, lead(line, 1) OVER o AS line1,
+                   lead(line, 2) OVER o AS line2, lead(w, 1) OVER o AS w1
+            FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+        ), s AS (
+            SELECT doc_id, k AS first,
+                   CASE WHEN w >= 50 THEN k WHEN w + w1 >= 50 THEN k1 ELSE k2 END AS last,
+                   CASE WHEN w >= 50 THEN line WHEN w + w1 >= 50 THEN line || chr(10) || line1
+                        ELSE line || chr(10) || line1 || chr(10) || line2 END AS content
+            FROM n
+        ), later AS (
+            SELECT * FROM (
+                SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, first) AS turn FROM s WHERE last IS NOT NULL
+            ) WHERE turn > 1
+        ), gone AS (
+            SELECT DISTINCT raw.doc_id, raw.k FROM raw JOIN later ON raw.doc_id = later.doc_id AND raw.k BETWEEN first AND last
+        ), runs AS (
+            SELECT doc_id, string_agg(a || '-' || b, ',' ORDER BY a) AS deleted FROM (
+                SELECT doc_id, min(k) AS a, max(k) AS b FROM (
+                    SELECT doc_id, k, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS island FROM gone
+                ) GROUP BY doc_id, island
+            ) GROUP BY doc_id
+        ), kept AS (
+            SELECT doc_id, string_agg(line, chr(10) ORDER BY k) AS remaining
+            FROM raw ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+        )
+        SELECT d.doc_id, CASE WHEN text <> '' THEN len(string_split(text, chr(10))) ELSE 0 END AS n_lines,
+               coalesce(deleted, '') AS deleted,
+               CASE WHEN deleted IS NULL THEN text ELSE coalesce(remaining, '') END AS text
+        FROM documents d LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
 }
