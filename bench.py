@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -51,6 +52,7 @@ def main() -> None:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wellspring-bench-"))
 
     seconds(spark, "upstream_co2")  # JVM start and first compilation are not the queries'
     taken = {

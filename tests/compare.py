@@ -6,7 +6,10 @@ import math
 
 import duckdb
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+TABLES = (
+    *("region", "nation", "customer", "supplier", "part", "orders", "lineitem"),
+    *("documents", "embeddings", "pages", "benchmark", "labels", "conversations"),
+)
 
 
 def database(sf_dir: str) -> duckdb.DuckDBPyConnection:

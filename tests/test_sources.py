@@ -150,16 +150,16 @@ def test_filters_reach_the_scan(spark, blocks, p):
 class Session:
     """A session reduced to the settings that decide where tables are written."""
 
-    def __init__(self, folder=None, master="spark://host", checkpoint=None):
+    def __init__(self, folder=None, checkpoint=None):
         self.conf = {"spark.checkpoint.dir": folder} if folder else {}
         self.sparkContext = type(
-            "Context", (), {"master": master, "getCheckpointDir": staticmethod(lambda: checkpoint)}
+            "Context", (), {"applicationId": "app", "getCheckpointDir": staticmethod(lambda: checkpoint)}
         )
 
 
 def test_shared_folder_is_the_one_the_cluster_names():
-    assert workspace.shared_folder(Session("hdfs:///shared/")) == "hdfs:///shared"
-    assert workspace.shared_folder(Session(checkpoint="hdfs:///cp")) == "hdfs:///cp"
+    assert workspace.shared_folder(Session("hdfs:///shared/")) == "hdfs:///shared/wellspring-app"
+    assert workspace.shared_folder(Session(checkpoint="hdfs:///cp")) == "hdfs:///cp/wellspring-app"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         workspace.shared_folder(Session())
 
@@ -168,13 +168,20 @@ def test_tables_are_written_to_the_shared_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(workspace, "shared_folder", lambda _: str(tmp_path))
     df = workspace.materialize(spark.range(3).withColumn("k", F.col("id") % 2), "x", by="k")
     assert sorted(tuple(r) for r in df.collect()) == [(0, 0), (1, 1), (2, 0)]
-    assert all(f.startswith(f"file://{tmp_path}/wellspring/x-") for f in df.inputFiles())
-
-
-def test_only_scans_with_few_splits_are_spread(spark):
-    few, many = spark.range(8, numPartitions=1), spark.range(8, numPartitions=16)
-    assert workspace.spread(few, "id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert workspace.spread(many, "id") is many
+    assert all(f.startswith(f"file://{tmp_path}/x-") for f in df.inputFiles())
+
+
+def test_bucketed_tables_are_written_and_released(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workspace, "shared_folder", lambda _: f"file://{tmp_path}/app")
+    rows = spark.range(100).withColumn("k", F.col("id") % 7)
+    df = workspace.materialize_buckets(rows, "x", 3, ["k"])
+    assert sorted(tuple(r) for r in df.collect()) == [(i, i % 7) for i in range(100)]
+    assert len(list((tmp_path / "app").glob("x-*/*.parquet"))) <= 3
+    names = {t.name for t in spark.catalog.listTables() if t.name.startswith("wellspring_x_")}
+    assert names
+    workspace.release(spark)
+    assert not (tmp_path / "app").exists()
+    assert not names & {t.name for t in spark.catalog.listTables()}
 
 
 def test_results_are_checked(spark):

@@ -12,10 +12,8 @@ from wellspring import Mappings
 from wellspring.operators import upstream
 from wellspring.operators.flows import SECTOR_KEYS, TECH_KEYS, io_coefficients, sector_totals
 from wellspring.operators.upstream import upstream_expand
-from wellspring.sources.workspace import materialize
 
 FUEL = ("methanol", "e-methanol", "e-methanol")
-STRATEGIES = ("broadcast", "colocated", "salted")
 
 
 def expand(out, inp, m, p, depth, **kw):
@@ -51,8 +49,7 @@ def test_chain(spark, m, p):
     assert expand(out, inp, m, p, 0) == {}
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_two_paths_to_one_commodity_at_the_same_depth(spark, m, p, strategy):
+def test_two_paths_to_one_commodity_at_the_same_depth(spark, m, p):
     edges = {
         None: {"a": 1.0, "b": 2.0, "regional oil": 4.0},
         "a": {"elec": 0.5},
@@ -60,7 +57,7 @@ def test_two_paths_to_one_commodity_at_the_same_depth(spark, m, p, strategy):
         "elec": {"regional coal": 3.0},
     }
     out, inp = graph(spark, FUEL, edges)
-    got = expand(out, inp, m, p, 4, strategy=strategy)
+    got = expand(out, inp, m, p, 4)
     assert got == {("regional oil", 0): 4.0, ("regional coal", 2): 3.0}
 
 
@@ -79,8 +76,8 @@ def test_cycle_approaches_closed_form(spark, m, p):
     assert got["N2O"] == pytest.approx(2.0 * 0.4 * x, rel=1e-12)
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_random_graph_against_every_path(spark, m, p, strategy, monkeypatch):
+@pytest.mark.parametrize("steps_per_table", [1, 3, 10])
+def test_random_graph_against_every_path(spark, m, p, steps_per_table, monkeypatch):
     rng = random.Random(7)
     sectors = [f"s{i}" for i in range(6)]
     goods = [*sectors, "regional coal", "hydropower", "carbon-storage", "CH4", "nowhere"]
@@ -89,13 +86,12 @@ def test_random_graph_against_every_path(spark, m, p, strategy, monkeypatch):
     }
     # An absorbing commodity that is also a sector is never followed.
     edges["regional coal"] = {"CH4": 5.0}
-    monkeypatch.setattr(upstream, "FAN_OUT_PER_SALT", 2)
-    monkeypatch.setattr(upstream, "STEPS_PER_PLAN", 3)
+    monkeypatch.setattr(upstream, "STEPS_PER_TABLE", steps_per_table)
     out, inp = graph(spark, FUEL, edges)
-    got = expand(out, inp, m, p, 7, strategy=strategy)
+    got = expand(out, inp, m, p, 7)
     absorbing = {*m.primary_commodities, *p.ghgs}
     close(got, brute_force(edges, absorbing, 7))
-    total = upstream_expand(out, inp, m, p.with_(depth=7), by_depth=False, strategy=strategy)
+    total = upstream_expand(out, inp, m, p.with_(depth=7), by_depth=False)
     summed = defaultdict(float)
     for (commodity, _), value in got.items():
         summed[commodity] += value
@@ -185,59 +181,44 @@ def test_one_technology_that_makes_two_fuels(spark, p):
     assert got == {"one": 2.0, "two": 2.0}
 
 
-def test_strategy_follows_measured_size():
-    few = upstream.EdgeStats(10, 1000, 2, 5)
-    many = upstream.EdgeStats(10**9, 10**11, 10**6, 1000)
-    wide = upstream.EdgeStats(10**9, 10**11, 3, 5 * 10**8)
-    assert [upstream.choose_strategy(s) for s in (few, many, wide)] == list(STRATEGIES)
+@pytest.fixture
+def no_broadcast(spark):
+    """Tables larger than any test's, as far as the planner can tell."""
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
-def test_only_summed_flows_are_exchanged_with_broadcast_edges(spark, m, p):
-    """The planner adds no exchange for a step; the flows pass one between stages."""
-    edges = {None: {"a": 1.0}, "a": {"a": 0.5, "regional coal": 1.0}}
-    out, inp = graph(spark, FUEL, edges)
-    added, placed = {}, {}
-    for depth in (2, 4, 6):
-        df = upstream_expand(out, inp, m, p.with_(depth=depth), strategy="broadcast")
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        added[depth] = plan.count("ENSURE_REQUIREMENTS")
-        placed[depth] = plan.count("REPARTITION_BY_NUM")
-    assert len(set(added.values())) == 1
-    assert placed == {2: 1, 4: 2, 6: 3}
-
-
-def test_steps_add_no_shuffle_with_colocated_edges(spark, m, p, monkeypatch):
-    """The planner adds no exchange for any join or aggregation of a step."""
+def test_a_step_exchanges_its_flows_once_and_no_edges(spark, m, p, no_broadcast):
     edges = {None: {"a": 1.0}, "a": {"a": 0.5, "regional coal": 1.0}}
     out, inp = graph(spark, FUEL, edges)
+    plans = {}
+    for depth in (1, 2, 3):
+        df = upstream_expand(out, inp, m, p.with_(depth=depth))
+        plans[depth] = df._jdf.queryExecution().executedPlan().toString()
+        assert plans[depth].count("Bucketed: true") == depth
+    for kind in ("REPARTITION_BY_NUM", "ENSURE_REQUIREMENTS", "SortMergeJoin"):
+        counts = [plans[d].count(kind) for d in (1, 2, 3)]
+        step = 0 if kind == "ENSURE_REQUIREMENTS" else 1
+        assert [b - a for a, b in zip(counts, counts[1:])] == [step, step]
+
+
+def test_many_fuels_of_one_scenario_and_year_spread_over_tasks(spark, p, no_broadcast):
+    base = Mappings.published()
+    fuels = tuple((f"s{k}", "b", "t", f"f{k}", "one", 0.0, None) for k in range(40))
+    m = Mappings(fuels, base.co2_ef, base.nonco2_gwp, base.fuel_delivery_cost, base.scenario_definitions)
+    out = outputs(spark, [(f"s{k}", "b", "t", 1.0) for k in range(40)] + [(f"g{k}", "b", "t", 1.0) for k in range(40)])
+    inp = inputs(
+        spark,
+        [(f"s{k}", "b", "t", f"g{k}", 1.0) for k in range(40)]
+        + [(f"g{k}", "b", "t", f"g{(k + 1) % 40}", 0.5) for k in range(40)],
+    )
     absorbing = [*m.primary_commodities, *p.ghgs]
-    flow = materialize(upstream.first_step(out, inp, m), "flow")
-    sector = materialize(upstream.sector_edges(out, inp, absorbing), "edges")
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.requireAllClusterKeysForCoPartition": "false",
-    }
-    kept = {k: spark.conf.get(k) for k in settings}
-    plans = []
-
-    def capture(df, broadcast):
-        plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return df
-
-    monkeypatch.setattr(upstream, "_written", capture)
-    try:
-        for k, v in settings.items():
-            spark.conf.set(k, v)
-        upstream._expand_in_cells(flow, sector, absorbing, 2, True, 4, False)
-    finally:
-        for k, v in kept.items():
-            spark.conf.set(k, v)
-    (plan,) = plans
-    assert plan.count("SortMergeJoin") >= 2 and "InMemoryTableScan" in plan
-    # One for the sum of the first step's flows, none for the joins and sums of the steps.
-    assert plan.count("ENSURE_REQUIREMENTS") == 1
-    shown = plan.split("InMemoryRelation")[0]
-    assert "Sort [edge_scenario" not in shown and "Sort [scenario" in shown
+    flow = upstream.first_step(out, inp, m).select("scenario", "year", "commodity")
+    placed = flow.repartition(4, "scenario", "year", "commodity").groupBy(F.spark_partition_id()).count()
+    assert len(absorbing) and placed.count() > 1
+    assert expand(out, inp, m, p, 3) == {}
 
 
 def test_level_is_declared_over_narrowed_tables(spark, m):

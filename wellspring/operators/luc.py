@@ -6,7 +6,7 @@ without additional biofuel is the base that the others are compared with.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.functions.numeric import ieee_div, strict_sum, sum_present
@@ -46,7 +46,7 @@ def biofuel_interpolated(luc_outputs_by_tech: DataFrame, m: Mappings, p: LcaPara
     keys = ["scenario", "reporting_fuel", "luc_fuel"]
     totals = (
         primary_outputs(luc_outputs_by_tech, p, p.luc_years)
-        .join(F.broadcast(techs), ["sector", "subsector", "technology"])
+        .join(techs, ["sector", "subsector", "technology"])
         .groupBy(*keys, "year")
         .agg(strict_sum(F.col("value")).alias("Fuel_EJ"))
     )
@@ -73,33 +73,28 @@ def _run_name():
     ).alias("Policy")
 
 
+def _against_base(runs: DataFrame, keys: list[str], value: str, p: LcaParams) -> DataFrame:
+    """Runs other than the base, their value less that of the base run with the same keys."""
+    is_base = F.col("luc_fuel") == p.luc_base
+    base = F.max(F.when(is_base, F.col(value))).over(Window.partitionBy(*keys))
+    return runs.withColumn(value, F.col(value) - base).where(~is_base)
+
+
 def luc_intensity(luc: DataFrame, biofuel: DataFrame, m: Mappings, p: LcaParams) -> DataFrame:
     """Additional land-use CO2 over additional biofuel: fuel, Policy, LUC_kgCO2_GJ."""
     spark = luc.sparkSession
     pairs = m.frame(spark, "fuel_techs", "reporting_fuel", "luc_fuel")
-    is_base = F.col("luc_fuel") == p.luc_base
+    pairs_with_luc = pairs.where(F.col("luc_fuel").isNotNull())
 
-    carbon = cumulative_luc(luc)
-    base_carbon = carbon.where(is_base).select("Policy", F.col("luc").alias("_base"))
     added_carbon = (
-        carbon.where(F.col("luc_fuel") != p.luc_base)
-        .join(F.broadcast(pairs.where(F.col("luc_fuel").isNotNull())), "luc_fuel", "left")
-        .join(base_carbon, "Policy", "left")
-        .select(
-            "reporting_fuel",
-            "Policy",
-            ((F.col("luc") - F.col("_base")) * F.lit(p.carbon_to_co2)).alias("LUC_MtCO2e"),
-        )
-    )
-    fuel = cumulative_biofuel(biofuel)
-    base_fuel = fuel.where(is_base).select(
-        "reporting_fuel", "Policy", F.col("Fuel_EJ").alias("_base")
+        _against_base(cumulative_luc(luc), ["Policy"], "luc", p)
+        .join(pairs_with_luc, "luc_fuel", "left")
+        .select("reporting_fuel", "Policy", (F.col("luc") * F.lit(p.carbon_to_co2)).alias("LUC_MtCO2e"))
     )
     added_fuel = (
-        fuel.where(F.col("luc_fuel") != p.luc_base)
+        _against_base(cumulative_biofuel(biofuel), ["Policy", "reporting_fuel"], "Fuel_EJ", p)
         .join(pairs, ["reporting_fuel", "luc_fuel"], "left_semi")
-        .join(base_fuel, ["Policy", "reporting_fuel"], "left")
-        .select("reporting_fuel", "Policy", (F.col("Fuel_EJ") - F.col("_base")).alias("Fuel_EJ"))
+        .select("reporting_fuel", "Policy", "Fuel_EJ")
     )
     return added_carbon.join(added_fuel, ["reporting_fuel", "Policy"], "left").select(
         F.col("reporting_fuel").alias("fuel"),

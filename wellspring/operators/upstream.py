@@ -6,59 +6,32 @@ are reached. All fuels, scenarios and years advance together, and after every st
 flows of a fuel into one commodity are summed, so the working set is bounded by fuels x
 scenarios x years x commodities however many paths lead to a commodity.
 
-No step mixes scenarios or years. Rows are therefore hash partitioned by scenario and
-year, and steps run inside that partitioning:
-
-* ``broadcast``  few edges: each step is a map-side join and an aggregation that need no
-  shuffle;
-* ``colocated``  many edges: they are partitioned and sorted once like the flows, and each
-  step is a merge join and an aggregation that need no shuffle;
-* ``salted``     one scenario and year has too many edges for a task: each step shuffles,
-  and the edges of a sector are spread over several partitions.
-
-The choice follows from counts over the written edge table.
-
-Each aggregation of a stage claims a memory page when the task starts. A stage therefore
-runs only ``STEPS_PER_STAGE`` steps. Between stages the summed flows, not the edges, pass an
-exchange, or are written out where the edges are colocated.
+The edges are written once, bucketed and sorted by scenario, year and sector, and never move
+again. A step joins them with the flows, which one exchange by scenario, year and commodity
+has placed; the same exchange serves the sum of the flows that the step makes. No scenario,
+year or fuel is a unit of work. Flows are written after every ``STEPS_PER_TABLE`` steps:
+what was absorbed stays in the written table, and only open flows go on.
 """
 
 from __future__ import annotations
 
-import math
-from contextlib import contextmanager
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wellspring.functions.numeric import strict_sum
 from wellspring.operators.flows import SECTOR_KEYS, TECH_KEYS, io_coefficients, sector_totals
 from wellspring.params import LcaParams
 from wellspring.sources.mappings import Mappings
-from wellspring.sources.workspace import materialize
+from wellspring.sources.workspace import materialize, materialize_buckets
 
 PRIMARY, GHG = "primary", "ghg"
 
 CELL = ["scenario", "year"]
 FLOW = ["fuel", "scenario", "year", "commodity"]
 
-MAX_BROADCAST_BYTES = 64 << 20
-MAX_CELL_EDGES = 2_000_000
-EDGES_PER_TASK = 1_000_000
-FAN_OUT_PER_SALT = 100_000
-MAX_BROADCAST_SECTORS = 500_000
-STEPS_PER_STAGE = 2
-STEPS_PER_PLAN = 16
-
-
-@dataclass(frozen=True)
-class EdgeStats:
-    edges: int
-    bytes: int
-    cells: int
-    widest_cell: int
+STEPS_PER_TABLE = 4
 
 
 def fuel_technologies(df: DataFrame, m: Mappings) -> DataFrame:
@@ -84,7 +57,6 @@ def upstream_expand(
     p: LcaParams,
     *,
     by_depth: bool = True,
-    strategy: str | None = None,
 ) -> DataFrame:
     """Absorbed flows as fuel, scenario, year, commodity, kind, depth, value.
 
@@ -92,18 +64,12 @@ def upstream_expand(
     ``by_depth=False`` all steps are summed, the rows are fewer, and depth is NULL.
     """
     absorbing = [*m.primary_commodities, *p.ghgs]
+    buckets = int(outputs_tech.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = materialize_buckets(
+        sector_edges(outputs_tech, inputs_tech, absorbing), "edges", buckets, [*CELL, "via"]
+    )
     flow = first_step(outputs_tech, inputs_tech, m)
-    edges = materialize(sector_edges(outputs_tech, inputs_tech, absorbing), "edges")
-    stats = edge_stats(edges)
-    strategy = strategy or choose_strategy(stats)
-
-    tasks = task_count(edges, stats)
-    if strategy == "salted":
-        absorbed = _expand_salted(flow, edges, absorbing, p.depth, by_depth, tasks)
-    else:
-        absorbed = _expand_in_cells(
-            flow, edges, absorbing, p.depth, by_depth, tasks, strategy == "broadcast"
-        )
+    absorbed = _expand(flow, edges, absorbing, p.depth, by_depth, buckets)
     kind = F.when(F.col("commodity").isin(*p.ghgs), GHG).otherwise(PRIMARY)
     depth = F.col("depth") if by_depth else F.lit(None).cast("int")
     return absorbed.select(*FLOW, kind.alias("kind"), depth.alias("depth"), "value")
@@ -160,30 +126,6 @@ def sector_edges(
     )
 
 
-def edge_stats(edges: DataFrame) -> EdgeStats:
-    width = sum((F.octet_length(c) for c in ("scenario", "via", "next")), F.lit(64))
-    row = (
-        edges.groupBy(*CELL)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("bytes"))
-        .agg(F.sum("n"), F.sum("bytes"), F.count(F.lit(1)), F.max("n"))
-        .first()
-    )
-    return EdgeStats(row[0] or 0, row[1] or 0, row[2], row[3] or 0)
-
-
-def choose_strategy(s: EdgeStats) -> str:
-    if s.bytes <= MAX_BROADCAST_BYTES:
-        return "broadcast"
-    return "colocated" if s.widest_cell <= MAX_CELL_EDGES else "salted"
-
-
-def task_count(edges: DataFrame, s: EdgeStats) -> int:
-    wanted = max(
-        edges.sparkSession.sparkContext.defaultParallelism, math.ceil(s.edges / EDGES_PER_TASK)
-    )
-    return max(1, wanted)
-
-
 def _collapse(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(strict_sum(F.col("value")).alias("value"))
 
@@ -193,138 +135,41 @@ def _mark(stops: Column, step: int, by_depth: bool) -> Column:
     return F.when(stops, F.lit(step if by_depth else 0))
 
 
-def _expand_in_cells(
-    flow: DataFrame,
-    edges: DataFrame,
-    absorbing: list[str],
-    steps: int,
-    by_depth: bool,
-    tasks: int,
-    broadcast: bool,
+def _expand(
+    flow: DataFrame, edges: DataFrame, absorbing: list[str], steps: int, by_depth: bool, buckets: int
 ) -> DataFrame:
-    """Absorbed rows travel along with the open ones, so the plan is a single chain."""
-    spark, keys = flow.sparkSession, [*FLOW, "depth"]
-    rows = flow.withColumn(
-        "depth", _mark(F.col("commodity").isin(*absorbing), 0, by_depth)
-    )
-    rows = _collapse(rows, *keys)
+    """Absorbed rows; between two written tables they travel along with the open ones."""
+    place, keys = [*CELL, "commodity"], [*FLOW, "depth"]
     edges = edges.withColumnsRenamed({"scenario": "edge_scenario", "year": "edge_year"})
-    cell = ["edge_scenario", "edge_year"]
-    if broadcast:
-        edges = F.broadcast(edges)
-    else:
-        # An adaptive plan would hide the partitioning and order of the cached edges.
-        with _setting(spark, "spark.sql.adaptive.enabled"):
-            edges = edges.repartition(tasks, *cell).sortWithinPartitions(*cell, "via")
-            edges = edges.persist(StorageLevel.MEMORY_AND_DISK)
-
-    is_open = F.col("depth").isNull()
-    # Absorbed rows look for no edge and pass the outer join unchanged.
-    wanted = F.when(is_open, F.col("commodity"))
+    # Absorbed commodities have no edges, so their rows pass the outer join unchanged.
     follows = (
         (F.col("scenario") == F.col("edge_scenario"))
         & (F.col("year") == F.col("edge_year"))
-        & (wanted == F.col("via"))
+        & (F.col("commodity") == F.col("via"))
     )
-    kept = ~is_open | F.col("next").isNotNull()
+    is_open = F.col("depth").isNull()
     reached = F.coalesce("next", "commodity").alias("commodity")
     carried = F.when(is_open, F.col("value") * F.col("coef")).otherwise(F.col("value"))
-    total = strict_sum(F.col("value")).alias("value")
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return _collapse(rows.repartition(buckets, *place), *keys)
+
+    mark = _mark(F.col("commodity").isin(*absorbing), 0, by_depth)
+    rows = summed(flow.withColumn("depth", mark))
+    tables = []
     for step in range(1, steps + 1):
-        stage, first = divmod(step - 1, STEPS_PER_STAGE)
-        if first == 0 and broadcast:
-            # The keys change places, since an exchange to the same partitioning is dropped.
-            rows = rows.repartition(tasks, *(CELL if stage % 2 == 0 else CELL[::-1]))
-        elif first == 0:
-            rows = rows.repartition(tasks, *CELL)
         mark = F.coalesce("depth", _mark(F.col("stops"), step, by_depth)).alias("depth")
         moved = (
             rows.join(edges, follows, "left")
-            .where(kept)
+            .where(~is_open | F.col("next").isNotNull())
             .select("fuel", *CELL, reached, mark, carried.alias("value"))
         )
-        rows = moved.groupBy(*keys).agg(total)
-        if step < steps and step % (STEPS_PER_PLAN if broadcast else STEPS_PER_STAGE) == 0:
-            rows = _written(rows, broadcast)
-
-    absorbed = rows.where(F.col("depth").isNotNull())
-    if not broadcast:
-        absorbed = _written(absorbed, broadcast)
-        edges.unpersist()
-    return absorbed
-
-
-def _written(rows: DataFrame, broadcast: bool) -> DataFrame:
-    """Write rows out, letting a join on more keys accept the scenario-year partitioning."""
-    if broadcast:
-        return materialize(rows, "flow")
-    with _setting(rows.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition"):
-        return materialize(rows, "flow")
-
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str = "false"):
-    """A session setting for the duration of a block."""
-    before = spark.conf.get(key)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
-def _expand_salted(
-    flow: DataFrame,
-    edges: DataFrame,
-    absorbing: list[str],
-    steps: int,
-    by_depth: bool,
-    tasks: int,
-) -> DataFrame:
-    """Steps that shuffle, each written out, with the edges of a wide sector spread out.
-
-    A sector whose edges exceed ``FAN_OUT_PER_SALT`` is cut into that many more salts. A flow
-    has one row per fuel and sector, so copying it to the salts of its sector is cheap.
-    """
-    fan_out = edges.groupBy(*CELL, "via").agg(F.count(F.lit(1)).alias("_n"))
-    wide = fan_out.where(F.col("_n") > FAN_OUT_PER_SALT).select(
-        *CELL, "via", F.ceil(F.col("_n") / F.lit(FAN_OUT_PER_SALT)).cast("int").alias("_salts")
-    )
-    wide = materialize(wide, "wide")
-    if wide.count() <= MAX_BROADCAST_SECTORS:
-        wide = F.broadcast(wide)
-    salts = F.coalesce("_salts", F.lit(1))
-    salted = materialize(
-        edges.join(wide, [*CELL, "via"], "left")
-        .withColumn("salt", F.pmod(F.xxhash64("next"), salts).cast("int"))
-        .drop("_salts"),
-        "edges",
-    )
-
-    level = materialize(_collapse(flow, *FLOW), "flow")
-    absorbed = []
-    for step in range(steps + 1):
-        mark = _mark(F.col("commodity").isin(*absorbing), step, by_depth)
-        absorbed.append(level.withColumn("depth", mark).where(F.col("depth").isNotNull()))
-        if step == steps:
-            break
-        open_rows = level.where(~F.col("commodity").isin(*absorbing))
-        moved = (
-            open_rows.withColumnRenamed("commodity", "via")
-            .join(wide, [*CELL, "via"], "left")
-            .withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-            .repartition(tasks, *CELL, "via", "salt")
-            .join(salted.repartition(tasks, *CELL, "via", "salt"), [*CELL, "via", "salt"])
-            .select(
-                "fuel",
-                *CELL,
-                F.col("next").alias("commodity"),
-                (F.col("value") * F.col("coef")).alias("value"),
-            )
-        )
-        level = materialize(_collapse(moved, *FLOW), "flow")
-
-    rows = absorbed[0]
-    for more in absorbed[1:]:
-        rows = rows.unionByName(more)
-    return _collapse(rows, *FLOW, "depth")
+        rows = summed(moved)
+        if step < steps and step % STEPS_PER_TABLE == 0:
+            table = materialize(rows, "flow")
+            tables.append(table.where(F.col("depth").isNotNull()))
+            rows = table.where(is_open).repartition(buckets, *place)
+    tables.append(rows.where(F.col("depth").isNotNull()))
+    absorbed = reduce(DataFrame.unionByName, tables)
+    # with one depth for all steps, a commodity may have been reached in several tables
+    return absorbed if by_depth or len(tables) == 1 else _collapse(absorbed, *keys)

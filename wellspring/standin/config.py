@@ -7,12 +7,17 @@ from wellspring.params import LcaParams
 from wellspring.sources.mappings import Mappings
 
 YEARS = tuple(range(1995, 2002))
-LUC_KNOWN_YEARS = (1995, 1998, 2001)
+# Land-use runs lie on a grid of twice as many steps; between two known steps lies a gap.
+LUC_YEARS = tuple(range(YEARS[0], YEARS[0] + 2 * len(YEARS) - 1))
+
+
+def luc_year(year):
+    """The step of the land-use grid on which a year of orders lies."""
+    return 2 * year - YEARS[0]
+
+
 SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 URGENT = ("1-URGENT", "2-HIGH")
-# The mean price of a few parts is a short decimal that can lie halfway between two numbers
-# of 5 digits, where the last bit decides. Prices are rounded beyond such decimals.
-PRICE_DIGITS = 10
 LUC_LEVELS = {"F": "base", "O": "FT", "P": "RD"}
 
 MAPPINGS = Mappings(
@@ -48,7 +53,7 @@ MAPPINGS = Mappings(
 
 PARAMS = LcaParams(
     years=YEARS,
-    luc_years=YEARS,
+    luc_years=LUC_YEARS,
     luc_regions=None,
     freight_sectors=("N20", "N21", "N22"),
     greet_sector="N2",

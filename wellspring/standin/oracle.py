@@ -9,11 +9,9 @@ from __future__ import annotations
 import re
 
 from wellspring.standin.config import (
-    LUC_KNOWN_YEARS,
     LUC_LEVELS,
     MAPPINGS,
     PARAMS,
-    PRICE_DIGITS,
     SEGMENTS,
     URGENT,
 )
@@ -56,7 +54,6 @@ def missing(expr: str) -> str:
 YEARS = listed(P.years)
 TECH = "scenario, sector, subsector, technology, year"
 LEVELS = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in LUC_LEVELS.items())
-KNOWN = listed(LUC_KNOWN_YEARS)
 
 CTES: dict[str, str] = {
     "fuel_techs": values(
@@ -114,11 +111,13 @@ CTES: dict[str, str] = {
                    FROM base GROUP BY ALL)
         SELECT * FROM p UNION ALL
         SELECT scenario, 'delivered N2', year, value * 1.1 FROM p WHERE sector = 'N2'""",
-    "costs_by_tech": f"SELECT {TECH}, avg(p_retailprice) / 1e3 AS value FROM base GROUP BY ALL",
+    "costs_by_tech": f"""
+        SELECT {TECH}, sum(p_retailprice * l_extendedprice) / sum(l_extendedprice) / 1e3 AS value
+        FROM base GROUP BY ALL""",
     "co2_prices": """
         SELECT scenario, market, year, value FROM (
             SELECT scenario, year, avg(l_extendedprice) / 1e3 AS value
-            FROM base WHERE policy = 2 GROUP BY ALL)
+            FROM base GROUP BY ALL)
         CROSS JOIN (VALUES ('USACO2'), ('USACO2_LTG')) AS m(market)""",
     # Coefficients
     "outputs_sector": f"""
@@ -304,14 +303,14 @@ CTES |= {
         GROUP BY scenario, reporting_fuel, year""",
     # Land-use change
     "luc_known": f"""
-        SELECT luc_run AS scenario, year, sum(l_extendedprice) / 1e6 AS luc FROM base
-        WHERE year IN {KNOWN} GROUP BY ALL""",
+        SELECT luc_run AS scenario, 2 * year - {P.years[0]} AS year, sum(l_extendedprice) / 1e6 AS luc
+        FROM base GROUP BY ALL""",
     "luc_series": interpolated("luc_known", "scenario", "luc"),
     "biofuel_known": f"""
-        SELECT luc_run AS scenario, reporting_fuel, luc_fuel, year,
+        SELECT luc_run AS scenario, reporting_fuel, luc_fuel, 2 * year - {P.years[0]} AS year,
                sum(l_extendedprice) / 1e6 AS Fuel_EJ
         FROM base JOIN fuel_techs USING (sector, subsector, technology)
-        WHERE year IN {KNOWN} AND output = sector AND luc_fuel IS NOT NULL GROUP BY ALL""",
+        WHERE output = sector AND luc_fuel IS NOT NULL GROUP BY ALL""",
     "biofuel_series": interpolated("biofuel_known", "scenario, reporting_fuel, luc_fuel", "Fuel_EJ"),
     "luc_carbon": f"""
         SELECT split_part(scenario, '_', 2) AS luc_fuel, split_part(scenario, '_', 3) AS Policy,
@@ -336,6 +335,7 @@ CTES |= {
                      AND b.reporting_fuel = a.reporting_fuel AND b.luc_fuel = 'base'
                    WHERE a.luc_fuel <> 'base') f
           ON c.reporting_fuel = f.reporting_fuel AND c.Policy = f.Policy""",
+    "no_luc": "SELECT NULL::VARCHAR AS fuel, NULL::VARCHAR AS Policy, NULL::DOUBLE AS LUC_kgCO2_GJ",
     # Results
     "ghg": all_sources(""),
     "ghg_rd": all_sources("rd_", ", RD", f"CROSS JOIN (VALUES {DEPTHS}) AS d(RD)"),
@@ -412,7 +412,7 @@ def queries() -> dict[str, str]:
             AS delivery_cost FROM delivery_costs""",
         "co2_penalties": f"SELECT scenario, year, {rounded('USD_kgCO2', 8)} AS USD_kgCO2 FROM co2_penalties",
         "fuel_prices": decoded(
-            f"reporting_fuel, year, {rounded('price_USDperGJ', PRICE_DIGITS)} AS price_USDperGJ",
+            f"reporting_fuel, year, {rounded('price_USDperGJ', P.digits)} AS price_USDperGJ",
             "fuel_prices",
         ),
         "luc_interpolated": f"SELECT scenario, year, {rounded('luc', 9)} AS luc FROM luc_series",
@@ -437,12 +437,9 @@ def queries() -> dict[str, str]:
             f"regexp_matches(scenario, {lit(P.contrasted_scenarios)}) AND {final} AND {fuels}",
         ),
         "report_prices": f"""SELECT scenario, reporting_fuel, year,
-            {rounded('price_USDperGJ', PRICE_DIGITS)} AS price_USDperGJ FROM fuel_prices""",
+            {rounded('price_USDperGJ', P.digits)} AS price_USDperGJ FROM fuel_prices""",
     }
     convention = all_sources("").replace("LEFT JOIN luc_intensity l", "LEFT JOIN no_luc l")
-    CTES["no_luc"] = (
-        "SELECT NULL::VARCHAR AS fuel, NULL::VARCHAR AS Policy, NULL::DOUBLE AS LUC_kgCO2_GJ"
-    )
     text["greet_convention"] = f"""SELECT fuel, source, scenario, year, kgCO2e_GJ
         FROM ({convention}) WHERE GHG = 'CO2'"""
     text["carbon_markets"] = f"""SELECT scenario, market, year, {rounded('value', 8)} AS value

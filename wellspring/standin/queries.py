@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from wellspring.operators import assemble, intensity
 from wellspring.plans.lca import LcaPlan
 from wellspring.sources.extract import carbon_markets
-from wellspring.standin.config import MAPPINGS, PARAMS, PRICE_DIGITS
+from wellspring.standin.config import MAPPINGS, PARAMS
 from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, facts, facts_lazily
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +115,7 @@ def co2_penalties(spark, sf_dir):
 
 
 def _prices(spark, sf_dir):
-    return LcaPlan(facts(spark, sf_dir, [PRICES]), MAPPINGS, PARAMS.with_(digits=PRICE_DIGITS))
+    return LcaPlan(facts(spark, sf_dir, [PRICES]), MAPPINGS, PARAMS)
 
 
 def fuel_prices(spark, sf_dir):

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 from dataclasses import fields
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +21,8 @@ from wellspring import fixed_values as fv
 from wellspring.functions.numeric import ieee_div
 from wellspring.functions.text import lookup
 from wellspring.sources.tables import FactTables
-from wellspring.sources.workspace import materialize, spread
-from wellspring.standin.config import LUC_KNOWN_YEARS, LUC_LEVELS, SEGMENTS, URGENT
+from wellspring.sources.workspace import materialize
+from wellspring.standin.config import LUC_LEVELS, SEGMENTS, URGENT, YEARS, luc_year
 
 SCHEMAS = {
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, "
@@ -74,7 +75,12 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer").select(
         "c_custkey", segment.cast("int").alias("segment"), F.col("c_nationkey").alias("consumer")
     )
-    orders = table(spark, sf_dir, "orders").select(
+    date = F.col("o_orderdate")
+    dated = table(spark, sf_dir, "orders").where(
+        (date >= F.lit(datetime(min(YEARS), 1, 1)).cast("timestamp_ntz"))
+        & (date < F.lit(datetime(max(YEARS) + 1, 1, 1)).cast("timestamp_ntz"))
+    )
+    orders = dated.select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_custkey").alias("c_custkey"),
         "o_orderstatus",
@@ -86,8 +92,9 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice")
     return (
-        spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
-        .join(orders.join(customers, "c_custkey").hint("merge"), "l_orderkey")
+        table(spark, sf_dir, "lineitem")
+        .repartition("l_orderkey")  # the join's own exchange, placed before any small scan is broadcast
+        .join(orders.join(customers, "c_custkey"), "l_orderkey")
         .join(suppliers, "l_suppkey")
         .join(parts, "l_partkey")
     )
@@ -109,7 +116,7 @@ def sums(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> DataFra
             "quantity": F.col("l_quantity"),
         }
     if PRICES in need:
-        measures |= {"unit": unit, "retail": F.col("p_retailprice")}
+        measures |= {"unit": unit, "retail": F.col("p_retailprice") * price}
     rows = base(spark, sf_dir).select(*keys, *[c.alias(n) for n, c in measures.items()])
     totals = [F.sum(n).alias(n) for n in measures]
     if PRICES in need:
@@ -181,16 +188,16 @@ def facts_from(
         delivered = by_sector.where(F.col("sector") == "N2").withColumns(
             {"sector": F.lit("delivered N2"), "value": F.col("value") * 1.1}
         )
-        carbon = mean(of("techs").where(F.col("policy") == 2), scenario, "gross", "lines")
+        carbon = mean(of("techs"), scenario, "gross", "lines")
         markets = F.array(F.lit("USACO2"), F.lit("USACO2_LTG"))
         found |= {
             "prices_by_sector": by_sector.unionByName(delivered),
-            "costs_by_tech": mean(of("techs"), [*scenario, *tech], "retail", "lines"),
+            "costs_by_tech": mean(of("techs"), [*scenario, *tech], "retail", "gross"),
             "co2_prices": carbon.drop("region").withColumn("market", F.explode(markets)),
         }
     if LUC in need:
         run = ["o_orderstatus", "policy"]
-        known = of("runs").where(F.col("year").isin(*LUC_KNOWN_YEARS)).withColumn("output", output)
+        known = of("runs").withColumns({"output": output, "year": luc_year(F.col("year"))})
         per_nation = known.groupBy(*run, "consumer", "year").agg(F.sum("gross").alias("gross"))
         found |= {
             "luc_by_region": total(
