@@ -213,7 +213,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             if found:
                 yield pa.RecordBatch.from_pylist([dict(zip(("lang", "doc_id", "k", "window"), f)) for f in found])
 
-    sample = ranked.select("doc_id", "text", "lang").mapInArrow(cut, "lang string, doc_id string, k int, window binary")
+    sample = ranked.select("doc_id", "text", "lang").mapInArrow(cut, "lang string, doc_id string, k long, window binary")
     # at most PER_LANGUAGE x WINDOWS rows of WINDOW bytes for each language
     found = sorted(tuple(r) for r in sample.collect())
     if not found:
