@@ -7,8 +7,8 @@ training, from models that did not see the document (out-of-fold), so a later mo
 from earlier ones as good as they are on new text; at prediction the chain feeds itself.
 
 The models are fitted in the driver on a bounded sample: at most ``PER_GROUP`` labelled
-documents of each combination of labels, drawn by a hash of the id; a group's documents
-weigh by the group's true size, evened out by its square root. Prediction reads whole texts.
+documents of each combination of labels, drawn by a hash of the id; a group weighs by the
+square root of its true size, so that a rare one is not lost. Prediction reads whole texts.
 
 Defined cases: a text that is null, empty or without a word has probability 0 in every
 category; a null label keeps its document out of that category's model; labels given
@@ -37,7 +37,7 @@ FEATURES, PER_GROUP, FOLDS = 1 << 18, 2500, 3
 BEGINNINGS = (4, 5, 6)
 EPOCHS, BATCH, RATE, SHRINK = 12, 128, 0.25, 1e-6
 #: Features used by a model: in so many sampled documents, and so telling (log ratio of rates).
-LEAST_DOCUMENTS, LEAST_RATIO = 5, 1.5
+LEAST_DOCUMENTS, LEAST_RATIO = 5, 2.0
 WORD = re.compile(r"\w+")
 
 
@@ -199,7 +199,7 @@ def fit(
     truth = np.column_stack([found.column(y).to_numpy(zero_copy_only=False).astype(float) for y in ys])
     combos = list(zip(*(found.column(y).to_pylist() for y in ys)))
     in_sample = {c: combos.count(c) for c in set(combos)}
-    cost = np.array([np.sqrt(sizes[c] / in_sample[c]) for c in combos])
+    cost = np.array([np.sqrt(sizes[c]) / in_sample[c] for c in combos])
     return fit_chain(gathered, names, truth, cost / cost.mean())
 
 
