@@ -11,7 +11,7 @@ from wellspring import fixed_values as fv
 from wellspring.functions.numeric import ieee_div, strict_sum
 from wellspring.functions.text import drop_first
 from wellspring.params import LcaParams
-from wellspring.sources.extract import in_region
+from wellspring.sources.extract import emitted_gases, in_region
 
 TECH_KEYS = ["scenario", "sector", "subsector", "technology", "year"]
 SECTOR_KEYS = ["scenario", "sector", "year"]
@@ -68,7 +68,7 @@ def nonco2_inputs(nonco2_by_tech: DataFrame, p: LcaParams) -> DataFrame:
     """Non-CO2 emissions as inputs; agricultural N2O is counted as N2O."""
     gas = drop_first(F.col("ghg"), fv.AGRICULTURAL_SUFFIX)
     return (
-        in_region(nonco2_by_tech, p.region)
+        emitted_gases(in_region(nonco2_by_tech, p.region), p.emitted_gases)
         .where(F.col("year").isin(*p.years))
         .select(*TECH_KEYS, gas.alias("input"), "value")
     )

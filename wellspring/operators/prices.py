@@ -9,7 +9,7 @@ from wellspring.functions.numeric import fill_missing, ieee_div, strict_sum
 from wellspring.operators.flows import TECH_KEYS
 from wellspring.operators.upstream import fuel_technologies
 from wellspring.params import LcaParams
-from wellspring.sources.extract import in_region
+from wellspring.sources.extract import in_region, without_agricultural_supply
 from wellspring.sources.mappings import Mappings
 
 
@@ -69,7 +69,7 @@ def fuel_prices(
     )
     weights = fuel_technologies(outputs_tech, m).withColumnRenamed("value", "_quantity")
     filled = (
-        in_region(costs_by_tech, p.region)
+        without_agricultural_supply(in_region(costs_by_tech, p.region))
         .where(F.col("year").isin(*p.years))
         .join(techs, ["sector", "subsector", "technology"])
         .join(delivery, ["scenario", "sector", "year"], "left")

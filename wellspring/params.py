@@ -18,6 +18,8 @@ class LcaParams:
     depth: int = 10
     digits: int = 5
 
+    # Gases that are read from the emissions fact, and land-use years within two bounds.
+    emitted_gases: tuple[str, ...] | None = fv.EMITTED_GASES
     ghgs: tuple[str, ...] = fv.NONCO2_GASES
     freight_sectors: tuple[str, ...] = fv.FREIGHT_SECTORS
     carbon_market: str = fv.CARBON_MARKET

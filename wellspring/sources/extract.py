@@ -21,13 +21,15 @@ def in_regions(df: DataFrame, regions: Iterable[str] | None) -> DataFrame:
     return df if regions is None else df.where(F.col("region").isin(*regions))
 
 
-def emitted_gases(df: DataFrame, gases: Iterable[str] = fv.EMITTED_GASES) -> DataFrame:
-    return df.where(F.col("ghg").isin(*gases))
+def emitted_gases(df: DataFrame, gases: Iterable[str] | None = fv.EMITTED_GASES) -> DataFrame:
+    return df if gases is None else df.where(F.col("ghg").isin(*gases))
 
 
 def without_agricultural_supply(df: DataFrame, type_column: str = "sector_type") -> DataFrame:
     """Costs of agricultural supply sectors carry no meaning and are left out."""
-    return df.where(F.col(type_column) != fv.AGRICULTURAL_SUPPLY)
+    if type_column not in df.columns:
+        return df
+    return df.where(~F.col(type_column).eqNullSafe(fv.AGRICULTURAL_SUPPLY))
 
 
 def carbon_markets(df: DataFrame, word: str = "CO2") -> DataFrame:
@@ -41,3 +43,8 @@ def between_years(df: DataFrame, after: int = 2015, before: int = 2055) -> DataF
 def sum_land_leaves(df: DataFrame) -> DataFrame:
     """Land-use change emissions of a region, summed over its land leaves."""
     return df.groupBy("scenario", "region", "year").agg(strict_sum(F.col("value")).alias("value"))
+
+
+def land_use(df: DataFrame, leaf_column: str = "LandLeaf") -> DataFrame:
+    """Land-use change by region, from rows by region or by land leaf."""
+    return sum_land_leaves(between_years(df)) if leaf_column in df.columns else df

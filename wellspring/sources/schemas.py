@@ -29,6 +29,10 @@ FACTS: dict[str, T.StructType] = {
 }
 
 
+# Columns that a fact table may have besides: a selection is made by them when they are there.
+OPTIONAL = {"costs by tech": ("sector_type",), "LUC emissions by region": ("LandLeaf",)}
+
+
 def _table(**types: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in types.items()])
 
@@ -63,7 +67,9 @@ def require_columns(df: DataFrame, names: Iterable[str], table: str) -> None:
 def conform(df: DataFrame, schema: T.StructType, table: str) -> DataFrame:
     """Select the schema's columns with its types; name every absent column."""
     require_columns(df, schema.names, table)
-    return df.select(*[df[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in schema])
+    further = [n for n in OPTIONAL.get(table, ()) if n in df.columns]
+    columns = [df[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in schema]
+    return df.select(*columns, *[df[f"`{n}`"].cast(T.StringType()).alias(n) for n in further])
 
 
 def check_result(df: DataFrame, table: str) -> DataFrame:

@@ -8,8 +8,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from wellspring.sources.schemas import FACTS, conform
+from wellspring.sources.extract import land_use
+from wellspring.sources.schemas import FACTS, RESULTS, conform
 
 LUC_TABLES = ("luc_by_region", "luc_outputs_by_tech")
 
@@ -52,7 +54,7 @@ class FactTables:
             prices_by_sector=fact("prices by sector"),
             costs_by_tech=fact("costs by tech"),
             co2_prices=fact("CO2 prices"),
-            luc_by_region=fact("LUC emissions by region", luc_roots),
+            luc_by_region=land_use(fact("LUC emissions by region", luc_roots)),
             luc_outputs_by_tech=fact("outputs by tech", luc_roots),
         )
 
@@ -81,28 +83,22 @@ def read_fact(
 ) -> DataFrame:
     """One query title over all blocks, with the declared columns and types."""
     blocks = [_read_block(spark, f"{r.rstrip('/')}/{folder_of(title)}", format) for r in roots]
-    return reduce(DataFrame.unionByName, [conform(b, FACTS[title], title) for b in blocks])
+    tables = [conform(b, FACTS[title], title) for b in blocks]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def _read_block(spark: SparkSession, path: str, format: str) -> DataFrame:
     if format == "csv":
         return spark.read.option("header", True).option("nullValue", "NA").csv(path)
-    # Codes such as 2020 or 1e5 are names, so a scenario folder is never a number.
-    with _string_partitions(spark):
-        return spark.read.format(format).load(path)
-
-
-class _string_partitions:
-    """Read partition folder names as text while a scan is being planned."""
-
-    KEY = "spark.sql.sources.partitionColumnTypeInference.enabled"
-
-    def __init__(self, spark: SparkSession):
-        self.conf = spark.conf
-
-    def __enter__(self):
-        self.before = self.conf.get(self.KEY)
-        self.conf.set(self.KEY, "false")
-
-    def __exit__(self, *_):
-        self.conf.set(self.KEY, self.before)
+    # A declared type keeps codes such as 2020 or 1e5 text where they name a folder.
+    columns = spark.read.format(format).load(path).schema
+    named = StructType([StructField(f.name, StringType()) if f.name == "scenario" else f for f in columns])
+    return spark.read.format(format).schema(named).load(path)
+
+
+def read_results(spark: SparkSession, folder: str, name: str, format: str = "parquet") -> DataFrame:
+    """A saved result table, with the columns that decoding the scenario has added."""
+    schema, df = RESULTS[name], _read_block(spark, f"{folder.rstrip('/')}/{name}", format)
+    known = conform(df, schema, name)
+    decoded = [df[f"`{c}`"].cast(StringType()).alias(c) for c in df.columns if c not in schema.names]
+    return df.select(*[df[f"`{f.name}`"].cast(f.dataType).alias(f.name) for f in known.schema], *decoded)

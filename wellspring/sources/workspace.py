@@ -22,7 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/{_PREFIX}-{spark.sparkContext.applicationId}"
 
 
-def _new_path(spark: SparkSession, name: str) -> str:
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing has been written to."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,7 +33,7 @@ def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     ``by`` names a column of few values that gets one folder per value.
     """
     spark = df.sparkSession
-    path = _new_path(spark, name)
+    path = new_folder(spark, name)
     (df.write if by is None else df.write.partitionBy(by)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -46,7 +47,7 @@ def materialize_buckets(df: DataFrame, name: str, buckets: int, keys: list[str])
     table = f"{_PREFIX}_{name}_{uuid.uuid4().hex}"
     placed = df.repartition(buckets, *keys)
     writer = placed.write.bucketBy(buckets, *keys).sortBy(*keys)
-    writer.option("path", _new_path(spark, name)).format("parquet").saveAsTable(table)
+    writer.option("path", new_folder(spark, name)).format("parquet").saveAsTable(table)
     return spark.table(table)
 
 

@@ -200,7 +200,7 @@ def intensities(prefix: str, absorbed: str, by: str = "") -> dict[str, str]:
     }
 
 
-def all_sources(prefix: str, by: str = "", extra: str = "") -> str:
+def all_sources(prefix: str, by: str = "", extra: str = "", convention: bool = True) -> str:
     """The four emission sources with the CO2 convention, land-use change and rounding."""
     shifted = listed(
         dict.fromkeys(
@@ -212,6 +212,7 @@ def all_sources(prefix: str, by: str = "", extra: str = "") -> str:
     size = next(
         r["kgCO2_GJ"] for r in MAPPINGS.records("fuel_techs") if r["fuel"] == P.greet_fossil_fuel
     )
+    size = size if convention else 0.0
     value = rounded("kgCO2e_GJ", P.digits)
     return f"""
         SELECT scenario, fuel, GHG, source, year{by}, {value} AS kgCO2e_GJ FROM (
@@ -338,6 +339,7 @@ CTES |= {
     "no_luc": "SELECT NULL::VARCHAR AS fuel, NULL::VARCHAR AS Policy, NULL::DOUBLE AS LUC_kgCO2_GJ",
     # Results
     "ghg": all_sources(""),
+    "ghg_standard": all_sources("", convention=False),
     "ghg_rd": all_sources("rd_", ", RD", f"CROSS JOIN (VALUES {DEPTHS}) AS d(RD)"),
 }
 
@@ -446,4 +448,24 @@ def queries() -> dict[str, str]:
         FROM co2_prices WHERE contains(market, 'CO2')"""
     text["scenario_block"] = f"""SELECT {flow}, {rounded('value', 8)} AS value
         FROM outputs_tech WHERE regexp_matches(scenario, 'p2$')"""
+    by_sector = "FROM outputs_tech JOIN (SELECT DISTINCT sector, r_name FROM base) USING (sector)"
+    known = """(SELECT luc_run AS scenario, 2 * year - {first} AS year, sum(l_extendedprice) / 1e6 AS luc
+        FROM base WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY ALL)""".format(first=P.years[0])
+    priced = CTES["fuel_prices"].replace("FROM costs_by_tech c", "FROM (SELECT * FROM costs_by_tech WHERE sector <> 'N2') c")
+    grid = f"2 * year - {P.years[0]} + 15"
+    text |= {
+        "region_selected": f"SELECT {flow}, {rounded('value', 8)} AS value {by_sector} WHERE r_name = 'ASIA'",
+        "luc_regions_selected": f"SELECT scenario, year, {rounded('luc', 9)} AS luc FROM ({interpolated(known, 'scenario', 'luc')})",
+        "gases_selected": f"SELECT {flow}, input, {rounded('value', 10)} AS value FROM nonco2_tech WHERE input <> 'H2'",
+        "prices_without_agriculture": f"""SELECT scenario, reporting_fuel, year,
+            {rounded('price_USDperGJ', P.digits)} AS price_USDperGJ FROM ({priced})""",
+        "land_leaves_summed": f"""SELECT luc_run AS scenario, r_name AS region, {grid} AS year,
+            round(sum(l_extendedprice) / 1e6, 8) AS value FROM base
+            WHERE {grid} > 2015 AND {grid} < 2055 GROUP BY ALL""",
+        "project_blocks": text["outputs_tech"],
+        "scenario_block_saved": text["scenario_block"],
+        "results_reread": text["fuel_prices"],
+        "mappings_csv": text["tailpipe_co2"],
+        "lca_ghg_standard": "SELECT scenario, fuel, GHG, source, year, kgCO2e_GJ FROM ghg_standard",
+    }
     return {name: statement(q) for name, q in text.items()}

@@ -6,15 +6,20 @@ Values are rounded for comparison only; the operators round where the analysis d
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wellspring.operators import assemble, intensity
+from wellspring.operators import assemble, flows, intensity, luc
 from wellspring.plans.lca import LcaPlan
-from wellspring.sources.extract import carbon_markets
+from wellspring.sources import schemas, sinks
+from wellspring.sources.extract import carbon_markets, land_use
+from wellspring.sources.mappings import Mappings
+from wellspring.sources.tables import folder_of, read_fact, read_results
+from wellspring.sources.workspace import new_folder
 from wellspring.standin.config import MAPPINGS, PARAMS
-from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, facts, facts_lazily
+from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, facts, facts_lazily, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,6 +203,87 @@ def scenario_block(spark, sf_dir):
     return _rounded(plan.outputs_tech, 8, "value")
 
 
+def _by_region(df, spark, sf_dir):
+    """A stand-in fact whose region is that of the consuming nation."""
+    nations = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    of = nations.select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("sector"), "r_name")
+    return df.join(of, "sector").withColumn("region", F.col("r_name")).drop("r_name")
+
+
+def region_selected(spark, sf_dir):
+    """Outputs of one region among five."""
+    rows = _by_region(facts_lazily(spark, sf_dir, [OUTPUTS]).outputs_by_tech, spark, sf_dir)
+    return _rounded(flows.clean_outputs(rows, PARAMS.with_(region="ASIA")), 8, "value")
+
+
+def luc_regions_selected(spark, sf_dir):
+    """Land-use change carbon of two regions among five."""
+    rows = facts_lazily(spark, sf_dir, [LUC]).luc_by_region
+    return _rounded(luc.luc_interpolated(rows, PARAMS.with_(luc_regions=("ASIA", "EUROPE"))), 9, "luc")
+
+
+def gases_selected(spark, sf_dir):
+    """Inputs of two of the three gases."""
+    p = PARAMS.with_(emitted_gases=("CH4", "N2O_AGR"))
+    return _rounded(flows.nonco2_inputs(facts(spark, sf_dir, [FLOWS]).nonco2_by_tech, p), 10, "value")
+
+
+def prices_without_agriculture(spark, sf_dir):
+    """Prices where the sector of two technologies is one of agricultural supply."""
+    kind = F.when(F.col("sector") == "N2", "AgSupplySector").otherwise("supplysector")
+    found = facts(spark, sf_dir, [PRICES])
+    costs = found.costs_by_tech.withColumn("sector_type", kind)
+    return LcaPlan(replace(found, costs_by_tech=costs), MAPPINGS, PARAMS).prices
+
+
+def land_leaves_summed(spark, sf_dir):
+    """Land-use rows by leaf (a technology stands in), within the year bounds, by region."""
+    rows = _by_region(facts_lazily(spark, sf_dir, [LUC]).luc_outputs_by_tech, spark, sf_dir)
+    leaves = rows.select("scenario", "region", (F.col("year") + 15).alias("year"), F.col("technology").alias("LandLeaf"), "value")
+    return _rounded(land_use(leaves), 8, "value")
+
+
+def project_blocks(spark, sf_dir):
+    """Outputs written in two blocks of scenarios and read by their query title."""
+    title, folder = "outputs by tech", new_folder(spark, "blocks")
+    rows = facts_lazily(spark, sf_dir, [OUTPUTS]).outputs_by_tech
+    for policy in ("p1", "p2"):
+        sinks.save_scenarios_like(rows, f"{policy}$", f"{folder}/{policy}", title)
+    read = read_fact(spark, [f"{folder}/p1", f"{folder}/p2"], title)
+    return _rounded(flows.clean_outputs(read, PARAMS), 8, "value")
+
+
+def scenario_block_saved(spark, sf_dir):
+    """The scenarios whose name matches, saved as a block of headed CSV and read again."""
+    title, folder = "outputs by tech", new_folder(spark, "block")
+    rows = facts_lazily(spark, sf_dir, [OUTPUTS]).outputs_by_tech
+    sinks.save_csv(rows.where(F.col("scenario").rlike("p2$")), f"{folder}/{folder_of(title)}")
+    return _rounded(flows.clean_outputs(read_fact(spark, [folder], title, "csv"), PARAMS), 8, "value")
+
+
+def results_reread(spark, sf_dir):
+    """Decoded prices, saved and read again for reporting."""
+    plan, folder = _prices(spark, sf_dir), new_folder(spark, "results")
+    sinks.save_parquet(plan.decode(plan.prices), f"{folder}/fuels_prices")
+    return read_results(spark, folder, "fuels_prices")
+
+
+def mappings_csv(spark, sf_dir):
+    """Tailpipe CO2 by mapping tables that were read from headed CSV files."""
+    folder = new_folder(spark, "mappings")
+    for name in schemas.MAPPINGS:
+        sinks.save_csv(MAPPINGS.frame(spark, name), f"{folder}/{name}.csv")
+    read = Mappings.read_csv(spark, folder)
+    return LcaPlan(facts_lazily(spark, sf_dir, [OUTPUTS]), read, PARAMS).tailpipe_co2
+
+
+def lca_ghg_standard(spark, sf_dir):
+    """All sources without the convention for carbon-based fuels."""
+    return LcaPlan(facts(spark, sf_dir, [FLOWS, LUC]), MAPPINGS, PARAMS.with_(greet_convention=False)).ghg
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -232,5 +318,15 @@ QUERIES: dict[str, Query] = {
         report_pe_final_year,
         report_pe_scenarios,
         report_prices,
+        region_selected,
+        luc_regions_selected,
+        gases_selected,
+        prices_without_agriculture,
+        land_leaves_summed,
+        project_blocks,
+        scenario_block_saved,
+        results_reread,
+        mappings_csv,
+        lca_ghg_standard,
     )
 } | {"carbon_markets": markets, "scenario_block": scenario_block}
