@@ -113,12 +113,32 @@ def space_chunks(text: str) -> list[str]:
     return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
 
 
+#: Characters whose class no Unicode version changes: visible Latin-1, space and line feed.
+_PLAIN = re.compile("[\\n -~\xa1-\xff]*")
+_LETTER, _NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
+#: Over plain characters, what the pre-tokenizers of the two kinds of files match.
+_WORD_MATCHES = re.compile(f"{_ENDINGS}|[{_LETTER}]+|[{_NUMBER}]|[^\\n {_LETTER}{_NUMBER}]+")
+_BYTE_MATCHES = re.compile(
+    f"{_ENDINGS}| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\\n {_LETTER}{_NUMBER}]+|[\\n ]+(?![^\\n ])|[\\n ]+"
+)
+
+
+def _byte_characters() -> dict[int, int]:
+    """The character that stands for each byte in byte-level vocabularies: itself if visible."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return dict(zip(visible, visible)) | {b: 256 + k for k, b in enumerate(hidden)}
+
+
 class CachedTokenizer:
     """Ids of whole texts by a tokenizers file, remembering the ids of space-separated chunks.
 
     Results equal those of the library on the whole text: chunks are cut where neither the
-    normalizer nor the pre-tokenizer of the file looks across. ``word_ends`` tells a file
-    that drops white space from a byte-level one.
+    normalizer nor the pre-tokenizer of the file looks across. New chunks of plain
+    characters are split here and merged by the library's model; any other chunk goes
+    through the library as it is. ``word_ends`` tells a file that drops white space and
+    lower-cases from a byte-level one.
     """
 
     def __init__(self, path: str, word_ends: bool):
@@ -128,16 +148,12 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.word_ends = word_ends
+        self.model = self.tokenizer.model
+        self.matches = (_WORD_MATCHES if word_ends else _BYTE_MATCHES).findall
+        self.characters = _byte_characters()
+        self.merged: dict[str, bytes] = {}
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # frequent chunks come back from here
-        if word_ends:
-            (self.mark,) = self._library(["\x01"])[0]
-        else:
-            vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-            # one character of a byte-level vocabulary entry stands for one byte
-            self.bytes_of = np.ones(1 + max(vocabulary.values(), default=0), dtype=np.int64)
-            for token, number in vocabulary.items():
-                self.bytes_of[number] = len(token)
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -147,27 +163,23 @@ class CachedTokenizer:
             return space_chunks(text)
         return [text] if _SEPARATORS.search(text) else text.split()
 
-    def _learn(self, missing: list[str]) -> None:
-        if self.word_ends:
-            joined = [c for c in missing if "\x01" not in c and not _SEPARATORS.search(c)]
-        else:
-            joined = [c for c in missing if len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace()]
-        alone = sorted(set(missing).difference(joined))
-        for chunk, ids in zip(alone, self._library(alone) if alone else []):
-            self.cache[chunk] = np.asarray(ids, dtype="<u4").tobytes()
-        for start in range(0, len(joined), 4096):  # many chunks as one text: one library call
-            part = joined[start : start + 4096]
-            text = "".join(c + " \x01 " for c in part) if self.word_ends else "".join(part)
-            ids = np.asarray(self._library([text])[0], dtype="<u4")
-            if self.word_ends:
-                ends = np.flatnonzero(ids == self.mark)
-                starts = np.concatenate(([0], ends[:-1] + 1))
+    def _merge(self, match: str) -> bytes:
+        word = match.encode().decode("latin-1").translate(self.characters)
+        ids = self.merged[match] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
+        return ids
+
+    def _learn(self, missing: set[str]) -> None:
+        if len(self.merged) > CACHE_CHUNKS:
+            self.merged.clear()
+        merged, other = self.merged, []
+        for chunk in missing:
+            if _PLAIN.fullmatch(chunk):
+                found = self.matches(chunk.lower() if self.word_ends else chunk)
+                self.cache[chunk] = b"".join([merged.get(m) or self._merge(m) for m in found])
             else:
-                size = np.cumsum([len(c.encode()) for c in part])
-                ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), size) + 1
-                starts = np.concatenate(([0], ends[:-1]))
-            for chunk, a, b in zip(part, starts.tolist(), ends.tolist()):
-                self.cache[chunk] = ids[a:b].tobytes()
+                other.append(chunk)
+        for chunk, ids in zip(other, self._library(other) if other else []):
+            self.cache[chunk] = np.asarray(ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -179,7 +191,7 @@ class CachedTokenizer:
             self.cache.update((c, self.old[c]) for c in known)
             missing -= known
         if missing:
-            self._learn(sorted(missing))
+            self._learn(missing)
         get = self.cache.__getitem__
         return [b"".join(map(get, c)) for c in chunks]
 

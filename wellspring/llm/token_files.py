@@ -40,8 +40,9 @@ MAGIC = b"WTID"
 HEADER, HEADER_BYTES = "<4sII32s", 44
 FOOTER, FOOTER_BYTES = "<QQQI4s", 32
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("size", "<u8"), ("ids", "<u8")])
-#: The dictionary is trained on so many documents at most, and has so many bytes at most.
+#: The dictionary is trained on about so many documents (twice as many at most), and has so many bytes at most.
 SAMPLE_DOCUMENTS, DICTIONARY_BYTES = 1000, 64 * 1024
+LEVEL = 3
 #: Of a sampled document so many ids at most are training material; whole texts are written.
 SAMPLE_IDS = 4096
 MANIFEST = "shard long, file string, documents long, ids long"
@@ -69,7 +70,11 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def _loaded(content: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(content) if len(content) >= 8 else None
+    if len(content) < 8:
+        return None
+    loaded = zstandard.ZstdCompressionDict(content)
+    loaded.precompute_compress(level=LEVEL)
+    return loaded
 
 
 def write(
@@ -81,7 +86,6 @@ def write(
     id_col: str = "doc_id",
     text_col: str = "text",
     word_ends: bool = True,
-    level: int = 3,
 ) -> TokenFiles:
     """Encode every whole text, append ``end_id`` and write the shards of a new folder."""
     spark = docs.sparkSession
@@ -91,9 +95,10 @@ def write(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
 
-    # a sample drawn by a hash of the document: the same documents on every run
-    sample = rows.orderBy(F.xxhash64("doc_id", "text")).limit(SAMPLE_DOCUMENTS)
-    sample = sample.select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).collect()
+    # about SAMPLE_DOCUMENTS documents, drawn by a hash: the same ones on every run
+    share = SAMPLE_DOCUMENTS / max(1, rows.count())
+    drawn = rows.where(F.xxhash64("doc_id", "text") < F.lit(min(2.0**63, (share - 0.5) * 2.0**64)))
+    sample = drawn.select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(2 * SAMPLE_DOCUMENTS).collect()
     encoded = CachedTokenizer(tokenizer_path, word_ends).encode([r.text for r in sample])
     content = _dictionary([_serialized(e[: 4 * SAMPLE_IDS] + little_u4(end_id), width) for e in encoded])
     sha = hashlib.sha256(content).digest()
@@ -107,7 +112,7 @@ def write(
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
         files = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")[0]
         tokens = CachedTokenizer(tokenizer_path, word_ends)
-        packer = zstandard.ZstdCompressor(level=level, dict_data=_loaded(content), write_content_size=True)
+        packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_loaded(content), write_content_size=True)
         index, total, at = [], 0, HEADER_BYTES
         out = None
         for batch in slices(batches):
