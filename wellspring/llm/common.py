@@ -11,13 +11,15 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time inside a task.
 ROWS_AT_ONCE = 256
 #: Distinct chunks a worker's young generation remembers before it becomes the old one.
 CACHE_CHUNKS = 200_000
+#: Groups that a training sample is drawn from, at most.
+MAX_GROUPS = 500
 
 
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
@@ -66,6 +68,28 @@ def crc32_of(ids: np.ndarray) -> int:
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))
 
 
+def drawn(rows: DataFrame, groups: list[str], bound: int, id_col: str = "doc_id") -> tuple[DataFrame, dict[tuple, int]]:
+    """At most ``bound`` rows of each group, drawn by a hash of the id, and the groups' sizes.
+
+    Groups are few (labels, languages): more than ``MAX_GROUPS`` are refused. A hash below a
+    group's share lets through half as many rows again as are wanted, however large the
+    group, so that no more than those meet where they are ranked.
+    """
+    sizes = {tuple(r)[:-1]: r["n"] for r in rows.groupBy(*groups).agg(F.count("*").alias("n")).limit(MAX_GROUPS + 1).collect()}
+    if len(sizes) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups by {', '.join(groups)}")
+    place = F.xxhash64(id_col) / F.lit(2.0**64) + 0.5
+    below = F.lit(False)
+    for values, n in sizes.items():
+        same = F.lit(True)
+        for name, value in zip(groups, values):
+            same = same & F.col(name).eqNullSafe(F.lit(value))
+        below = below | (same & (place < min(2.0, 1.5 * bound / n)))
+    order = Window.partitionBy(*groups).orderBy(F.xxhash64(id_col), id_col)
+    ranked = rows.where(below).withColumn("_turn", F.row_number().over(order))
+    return ranked.where(F.col("_turn") <= bound).drop("_turn"), sizes
+
+
 def annotated(df: DataFrame, text_col: str, make: Callable[[], Callable], fields: list[tuple[str, str]]) -> DataFrame:
     """All columns of ``df`` and new ones computed from whole texts, without moving a row.
 

@@ -21,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import annotated, narrow, restored, slices
+from wellspring.llm.common import annotated, drawn, narrow, restored, slices
 
 WINDOW, HIDDEN = 96, 8
 #: Bounds of the training sample: documents of a language, windows of a document.
@@ -200,8 +200,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """A network trained on the bounded sample; None if no document has language and letters."""
     rows = narrow(docs, doc_id=id_col, text=text_col, lang=lang_col)
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id")) != 0))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = usable.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_LANGUAGE)
+    ranked, _ = drawn(usable, ["lang"], PER_LANGUAGE)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

@@ -26,10 +26,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import CACHE_CHUNKS, annotated, narrow, restored, slices
+from wellspring.llm.common import CACHE_CHUNKS, annotated, drawn, narrow, restored, slices
 
 #: Hashed features; labelled documents of a combination of labels; folds of the chain.
 FEATURES, PER_GROUP, FOLDS = 1 << 18, 2500, 3
@@ -174,12 +174,10 @@ def fit(
     )
     ys = [f"y{k}" for k in range(len(names))]
     known = known.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.max(y).alias(y) for y in ys])
-    order = Window.partitionBy(*ys).orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PER_GROUP).drop("n")
-    sizes = {tuple(r[y] for y in ys): r["count"] for r in known.groupBy(*ys).count().collect()}
+    chosen, sizes = drawn(known, ys, PER_GROUP)
     # PER_GROUP rows of each combination of labels at most
     rows = narrow(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sample = rows.join(F.broadcast(drawn), "doc_id").where(F.col("text").isNotNull())
+    sample = rows.join(F.broadcast(chosen), "doc_id").where(F.col("text").isNotNull())
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
