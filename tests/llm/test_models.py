@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wellspring.llm import language, toxicity
+from wellspring.llm.common import MAX_GROUPS, drawn
 from wellspring.llm.queries import TOXICITY
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
@@ -150,3 +151,23 @@ def test_held_out_toxic_documents(spark):
     # a few labelled texts are junk throughout and hold no toxic word
     assert seen[1, True] >= 0.9 * (seen[1, True] + seen.get((1, False), 0))
     assert seen.get((0, True), 0) <= 0.015 * seen[0, False]
+
+
+def test_a_sample_is_bounded_in_large_groups_and_whole_in_small_ones(spark):
+    rows = spark.range(30_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 1000 == 0, "rare").when(F.col("id") % 3 > 0, "hot").alias("lang"),
+    )
+    sample, sizes = drawn(rows, ["lang"], 200)
+    assert sizes == {("rare",): 30, ("hot",): 19_980, (None,): 9_990}
+    assert {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()} == {"rare": 30, "hot": 200, None: 200}
+    least = rows.where("lang = 'hot'").orderBy(F.xxhash64("doc_id"), "doc_id").limit(200)
+    assert {r["doc_id"] for r in sample.where("lang = 'hot'").collect()} == {r["doc_id"] for r in least.collect()}
+    nothing, none = drawn(rows.where("false"), ["lang"], 200)
+    assert (nothing.count(), none) == (0, {})
+
+
+def test_too_many_groups_to_draw_from_are_refused(spark):
+    rows = spark.range(MAX_GROUPS + 1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="more than"):
+        drawn(rows, ["lang"], 10)
