@@ -20,7 +20,7 @@ def documents(spark: SparkSession):
         full = [(i, t, "en", "s", len(t or "")) for i, t in rows]
         df = spark.createDataFrame(full, SCHEMA)
         if extra:  # names that operators use themselves, and one that differs in case
-            for name in ("kept", "fp", "shard", "rank", "spans", "length", "c0", "recognised", "sequence_id", "__sha"):
+            for name in ("kept", "fp", "shard", "rank", "spans", "length", "c0", "recognised", "sequence_id", "key", "sha", "keep", "upper"):
                 df = df.withColumn(name, df["n_chars"])
             df = df.toDF(*df.columns[:-1], "TEXT")
         return df

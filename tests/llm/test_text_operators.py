@@ -159,10 +159,10 @@ def test_grace_levels_leave_no_file(tmp_path):
 
 
 def test_keep_one_returns_all_columns(documents, odd):
-    df = documents(odd, extra=False)
+    df = documents(odd)
     kept = grace_dedup.keep_one(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id, len(r.text or "")) for r in kept.collect()) == [
+    assert sorted((r[0], len(r[1] or "")) for r in kept.collect()) == [
         (2, 16), (4, 0), (5, 4), (6, 200_000), (7, 150_000), (8, len(odd[10][1])), (9, 7)
     ]
 

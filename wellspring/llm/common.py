@@ -22,23 +22,28 @@ CACHE_CHUNKS = 200_000
 MAX_GROUPS = 500
 
 
+def position(df: DataFrame, column: str) -> int:
+    """Where a column stands; of those that differ only in case, the one spelled exactly so."""
+    names = list(df.columns)
+    found = [i for i, n in enumerate(names) if n == column] or [
+        i for i, n in enumerate(names) if n.lower() == column.lower()
+    ]
+    if not found:
+        raise ValueError(f"no column {column} in {names}")
+    return found[0]
+
+
+def by_place(df: DataFrame) -> DataFrame:
+    """All columns, named c0, c1, … by their places, so that no added name can clash."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names.
 
-    Further columns are dropped before any operator adds its own, so none can clash. Of
-    columns that differ only in case, the one spelled exactly as asked is taken.
+    Further columns are dropped before any operator adds its own, so none can clash.
     """
-    names = list(df.columns)
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    at = {}
-    for new, old in columns.items():
-        found = [i for i, n in enumerate(names) if n == old] or [
-            i for i, n in enumerate(names) if n.lower() == old.lower()
-        ]
-        if not found:
-            raise ValueError(f"no column {old} in {names}")
-        at[new] = found[0]
-    return plain.select(*[F.col(f"c{i}").alias(new) for new, i in at.items()])
+    return by_place(df).select(*[F.col(f"c{position(df, old)}").alias(new) for new, old in columns.items()])
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -97,9 +102,7 @@ def annotated(df: DataFrame, text_col: str, make: Callable[[], Callable], fields
     arrays of the new columns. Columns keep their places, so names in ``df`` may clash in
     any way; the new ones come last.
     """
-    names = list(df.columns)
-    at = names.index(text_col)
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    at, plain = position(df, text_col), by_place(df)
     types = [f"{f.name} {f.dataType.simpleString()}" for f in plain.schema]
     added = [name for name, _ in fields]
 
@@ -112,9 +115,9 @@ def annotated(df: DataFrame, text_col: str, make: Callable[[], Callable], fields
     return plain.mapInArrow(run, ", ".join([*types, *(f"{n} {t}" for n, t in fields)]))
 
 
-def restored(annotated_df: DataFrame, df: DataFrame) -> DataFrame:
-    """The columns of ``df`` alone, out of what ``annotated`` returned for it."""
-    return annotated_df.select(*[F.col(f"c{i}") for i in range(len(df.columns))]).toDF(*df.columns)
+def restored(placed: DataFrame, df: DataFrame) -> DataFrame:
+    """The columns of ``df`` alone, out of a table that has them by place (c0, c1, …)."""
+    return placed.select(*[F.col(f"c{i}") for i in range(len(df.columns))]).toDF(*df.columns)
 
 
 #: White space next to a space; Python's \s also holds the separators U+001C to U+001F.

@@ -27,10 +27,10 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import narrow, slices
+from wellspring.llm.common import by_place, narrow, position, restored, slices
 
 #: Content that a task's table holds before records of other texts are set aside.
 TABLE_BYTES = 48 << 20
@@ -229,12 +229,10 @@ def exact_groups(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without later copies, all their columns; repeated rows stay once."""
     # one key column for known and null ids, so that the join's partitioning serves the rest
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(key.alias("__id"), F.col("text_sha256").alias("__sha"))
-    marked = docs.select(
-        "*",
-        F.coalesce(docs[id_col].cast("long").cast("string"), F.lit("null")).alias("__id"),
-        F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256).alias("__sha"),
-    )
-    one = marked.join(kept, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
-    return one.drop("__id", "__sha")
+    def key(doc_id: Column) -> Column:
+        return F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")).alias("key")
+
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(key(F.col("doc_id")), F.col("text_sha256").alias("sha"))
+    text = F.coalesce(F.col(f"c{position(docs, text_col)}"), F.lit("")).cast("binary")
+    marked = by_place(docs).select("*", key(F.col(f"c{position(docs, id_col)}")), F.sha2(text, 256).alias("sha"))
+    return restored(marked.join(kept, ["key", "sha"], "left_semi").dropDuplicates(["key", "sha"]), docs)
