@@ -26,7 +26,7 @@ an empty table stays empty; other columns are kept in their places, whatever the
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ from wellspring.llm.common import annotated
 LEAST, TIMES = 6, 4
 #: Periods that are scanned directly.
 SHORT = 15
+#: Texts that are laid end to end have about so many characters together.
+CHARACTERS = 1_000_000
 RUNS = "array<struct<start:bigint,length:bigint,period:bigint>>"
 _RUN_TYPE = pa.list_(pa.struct([(n, pa.int64()) for n in ("start", "length", "period")]))
 
@@ -150,19 +152,37 @@ def kept_words(n: int, runs: list[tuple[int, int, int]]) -> np.ndarray:
     return kept
 
 
+def _some_at_a_time(texts: list[str | None]) -> Iterator[list[str]]:
+    """Consecutive texts of together about ``CHARACTERS``, or one that is longer by itself."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text or "")
+        size += len(some[-1])
+        if size >= CHARACTERS:
+            yield some
+            some, size = [], 0
+    yield some
+
+
+def _analysed(texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int, int]], str]]:
+    """Number of words, runs and collapsed text of each text."""
+    split = [t.encode().split() for t in texts]  # at ASCII white space alone
+    numbers: dict[bytes, int] = {}
+    coded = [np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in split]
+    for words, runs in zip(split, find_runs(coded)):
+        kept = [words[i] for i in np.flatnonzero(kept_words(len(words), runs))] if runs else words
+        yield len(words), runs, b" ".join(kept).decode()
+
+
 def _work() -> Callable[[list[str | None]], list[pa.Array]]:
     def work(texts: list[str | None]) -> list[pa.Array]:
-        split = [(t or "").encode().split() for t in texts]  # at ASCII white space alone
-        numbers: dict[bytes, int] = {}
-        coded = [np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int64) for words in split]
-        runs = find_runs(coded)
-        collapsed = []
-        for words, found in zip(split, runs):
-            if found:
-                words = [words[i] for i in np.flatnonzero(kept_words(len(words), found))]
-            collapsed.append(b" ".join(words).decode())
-        rows = [[dict(zip(("start", "length", "period"), r)) for r in found] for found in runs]
-        return [pa.array([len(w) for w in split], pa.int64()), pa.array(rows, _RUN_TYPE), pa.array(collapsed, pa.string())]
+        found = [row for some in _some_at_a_time(texts) for row in _analysed(some)]
+        runs = [[dict(zip(("start", "length", "period"), r)) for r in row[1]] for row in found]
+        return [
+            pa.array([row[0] for row in found], pa.int64()),
+            pa.array(runs, _RUN_TYPE),
+            pa.array([row[2] for row in found], pa.string()),
+        ]
 
     return work
 
