@@ -190,35 +190,123 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
+def final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_a_step_exchanges_its_flows_once_and_no_edges(spark, m, p, no_broadcast):
     edges = {None: {"a": 1.0}, "a": {"a": 0.5, "regional coal": 1.0}}
     out, inp = graph(spark, FUEL, edges)
-    plans = {}
-    for depth in (1, 2, 3):
-        df = upstream_expand(out, inp, m, p.with_(depth=depth))
-        plans[depth] = df._jdf.queryExecution().executedPlan().toString()
-        assert plans[depth].count("Bucketed: true") == depth
-    for kind in ("REPARTITION_BY_NUM", "ENSURE_REQUIREMENTS", "SortMergeJoin"):
-        counts = [plans[d].count(kind) for d in (1, 2, 3)]
-        step = 0 if kind == "ENSURE_REQUIREMENTS" else 1
-        assert [b - a for a, b in zip(counts, counts[1:])] == [step, step]
-
-
-def test_many_fuels_of_one_scenario_and_year_spread_over_tasks(spark, p, no_broadcast):
-    base = Mappings.published()
-    fuels = tuple((f"s{k}", "b", "t", f"f{k}", "one", 0.0, None) for k in range(40))
-    m = Mappings(fuels, base.co2_ef, base.nonco2_gwp, base.fuel_delivery_cost, base.scenario_definitions)
-    out = outputs(spark, [(f"s{k}", "b", "t", 1.0) for k in range(40)] + [(f"g{k}", "b", "t", 1.0) for k in range(40)])
-    inp = inputs(
-        spark,
-        [(f"s{k}", "b", "t", f"g{k}", 1.0) for k in range(40)]
-        + [(f"g{k}", "b", "t", f"g{(k + 1) % 40}", 0.5) for k in range(40)],
-    )
+    made = {}
+    for depth in (2, 3, 4):
+        lines = final_plan(upstream_expand(out, inp, m, p.with_(depth=depth))).splitlines()
+        moved = [x for x in lines if "Exchange hashpartitioning" in x and "ReusedExchange" not in x]
+        scans = [x for x in lines if "Bucketed: true" in x]
+        joins = [x for x in lines if "SortMergeJoin" in x]
+        made[depth] = len(moved), len(scans), len(joins)
+    for fewer, more in ((2, 3), (3, 4)):
+        assert [b - a for a, b in zip(made[fewer], made[more])] == [1, 1, 1]
+
+
+@pytest.fixture
+def many_buckets(spark, no_broadcast, monkeypatch):
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    monkeypatch.setattr(upstream, "_LEAST_UNIT", 1)
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+
+
+def hub(rng, sectors=60):
+    """Half of all edges leave one sector, and half of the open ones lead to it."""
+    names = [f"s{k}" for k in range(sectors)]
+    edges = {None: {"hub": 1.0, "s1": 0.5, "regional oil": 0.25}, "hub": {n: rng.uniform(0.01, 0.02) for n in names}}
+    edges["hub"] |= {"regional coal": 0.5, "CH4": 0.1, "hub": 0.01}
+    for n in names:
+        edges[n] = {"hub": rng.uniform(0.1, 0.3)} | ({"regional gas": 1.0, "N2O": 0.2} if n < "s3" else {})
+    return edges
+
+
+def test_a_sector_with_half_of_all_edges_is_spread_over_tasks(spark, m, p, many_buckets):
+    out, inp = graph(spark, FUEL, hub(random.Random(1)))
     absorbing = [*m.primary_commodities, *p.ghgs]
-    flow = upstream.first_step(out, inp, m).select("scenario", "year", "commodity")
-    placed = flow.repartition(4, "scenario", "year", "commodity").groupBy(F.spark_partition_id()).count()
-    assert len(absorbing) and placed.count() > 1
-    assert expand(out, inp, m, p, 3) == {}
+    edges = upstream.written_edges(out, inp, absorbing)
+    cut = collected(edges.heavy, "commodity")
+    assert cut["hub"][2] >= 8 and cut["hub"][3] >= 2
+    onward, follows = upstream._follows(edges.table)
+    size = edges.heavy.where("commodity = 'hub'")
+    flows = spark.createDataFrame([(f"f{k}", SCENARIO, 2020, "hub", 1.0) for k in range(30)], "fuel string, scenario string, year int, commodity string, value double")
+    flows = flows.join(size, ["scenario", "year", "commodity"]).select(*upstream.FLOW, F.explode(upstream._cells("parts", "slots", "fuel")).alias("cell"), "value")
+    joined = flows.repartition(edges.buckets, *upstream.PLACE).join(onward, follows)
+    assert joined.count() == 30 * len(hub(random.Random(1))["hub"])  # each flow meets each edge once
+    by_task = collected(joined.groupBy(F.spark_partition_id().alias("task")).count(), "task")
+    assert len(by_task) >= 8 and max(by_task.values()) <= sum(by_task.values()) / 4
+
+
+def test_heavy_sectors_change_no_result(spark, m, p, many_buckets):
+    edges = hub(random.Random(2), 30)
+    out, inp = graph(spark, FUEL, edges)
+    close(expand(out, inp, m, p, 6), brute_force(edges, {*m.primary_commodities, *p.ghgs}, 6))
+
+
+def test_few_sectors_are_heavy_however_many_edges_there_are(spark, many_buckets):
+    rows = [("x", 2020, f"v{k % 500}", f"n{k % 7}", False, 1.0) for k in range(4000)]
+    edges = spark.createDataFrame(rows, "scenario string, year int, via string, next string, stops boolean, coef double")
+    cut = upstream.heavy_sectors(edges.unionByName(edges.withColumn("via", F.col("next"))), 16).collect()
+    assert 0 < len(cut) <= 2 * 16 / upstream.SHARE
+    assert all(r.parts * r.slots <= 16 / upstream.SHARE for r in cut)
+
+
+def close_runs(spark, m, p, edges, **kw):
+    out, inp = graph(spark, FUEL, edges)
+    found = upstream.upstream_converge(out, inp, m, p, **kw)
+    return found, found.runs.collect(), collected(found.absorbed.select("commodity", "value"), "commodity")
+
+
+def test_convergence_of_a_cycle(spark, m, p):
+    edges = {None: {"a": 1.0}, "a": {"b": 0.4, "regional coal": 1.0}, "b": {"a": 0.3, "N2O": 2.0}}
+    found, runs, got = close_runs(spark, m, p, edges, tolerance=1e-9)
+    assert len(runs) == 1
+    # open flow after k steps: 0.12 ** (k // 2), times 0.4 if k is odd
+    left = [0.12 ** (k // 2) * (0.4 if k % 2 else 1.0) for k in range(40)]
+    depth = next(k for k, x in enumerate(left) if x <= 1e-9)
+    assert runs[0].depth == depth and runs[0].open == pytest.approx(left[depth]) and runs[0].first == 1.0
+    missing = 1 / (1 - 0.12) - got["regional coal"]
+    assert 0 <= missing <= runs[0].bound == pytest.approx(left[depth] * 1.0 / (1 - 0.4))
+    close({(k, 0): v for k, v in got.items()}, {
+        (k, 0): sum(v for (c, _), v in brute_force(edges, {*m.primary_commodities, *p.ghgs}, depth).items() if c == k) for k in got
+    })
+    assert [n for _, n in found.steps][-1] == 0 and all(n == 1 for _, n in found.steps[:-1])
+
+
+def test_runs_end_one_by_one(spark, m, p):
+    runs = []
+    for scenario, back in (("slow", 0.9), ("fast", 0.01), ("never", 1.5)):
+        runs.append(graph(spark, FUEL, {None: {"a": 1.0}, "a": {"a": back, "regional coal": 1.0}}, 1.0, scenario))
+    runs.append(graph(spark, FUEL, {None: {"regional coal": 1.0}}, 1.0, "direct"))
+    out, inp = runs[0]
+    for o, i in runs[1:]:
+        out, inp = out.unionByName(o), inp.unionByName(i)
+    found = upstream.upstream_converge(out, inp, m, p, tolerance=1e-3, most=70)
+    state = {r.scenario: r for r in found.runs.collect()}
+    assert set(state) == {"slow", "fast", "never"}
+    assert (state["slow"].depth, state["fast"].depth, state["never"].depth) == (66, 2, 70)
+    assert state["never"].bound is None and state["fast"].bound == pytest.approx(1e-4 / 0.99)
+    assert state["slow"].bound == pytest.approx(0.9**66 / 0.1)
+    got = collected(found.absorbed.select("scenario", "value"), "scenario")
+    assert got["slow"] == pytest.approx((1 - 0.9**66) / 0.1)
+    assert got["fast"] == pytest.approx(1.01)
+    assert got["direct"] == 1.0
+
+
+def test_unknown_flows_end_a_run_without_a_bound(spark, m, p):
+    out = outputs(spark, [(*FUEL, 1.0), ("a", "x", "x", 1.0)])
+    inp = inputs(spark, [(*FUEL, "a", 1.0), ("a", "x", "x", "b", 0.5), ("b", "x", "x", "c", 1.0), ("c", "x", "x", "regional coal", 1.0)])
+    found = upstream.upstream_converge(out, inp, m, p, tolerance=1e-9)
+    (run,) = found.runs.collect()
+    assert (run.depth, run.open, run.bound) == (2, None, None)
+    assert found.absorbed.count() == 0
 
 
 def test_level_is_declared_over_narrowed_tables(spark, m):

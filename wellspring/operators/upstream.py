@@ -6,21 +6,32 @@ are reached. All fuels, scenarios and years advance together, and after every st
 flows of a fuel into one commodity are summed, so the working set is bounded by fuels x
 scenarios x years x commodities however many paths lead to a commodity.
 
-The edges are written once, bucketed and sorted by scenario, year and sector, and never move
-again. A step joins them with the flows, which one exchange by scenario, year and commodity
-has placed; the same exchange serves the sum of the flows that the step makes. No scenario,
-year or fuel is a unit of work. Flows are written after every ``STEPS_PER_TABLE`` steps:
-what was absorbed stays in the written table, and only open flows go on.
+Only flows that are still open take part in the steps. What is absorbed follows from them
+at the end, in one join of the open flows of all steps with the edges that stop.
+
+The edges are written once, bucketed and sorted by scenario, year, sector and cell, and never
+move again. A step joins them with the flows, which one exchange by the same key has placed;
+that exchange serves the sum of the flows too. No scenario, year or fuel is a unit of work,
+and neither is a sector: one that holds more edges than its share, or that more edges lead to
+than its share, is cut into cells (``heavy_sectors``). Its edges are dealt to ``parts`` by
+their target, and each flow goes to every part; flows into it are dealt to ``slots`` by fuel
+and origin, and each slot has its own copy of the edges. A flow is then summed only within its
+slot, which is sound because every step is linear in the flows.
+
+Flows are written after every ``STEPS_PER_TABLE`` steps. ``upstream_converge`` goes on until
+what is still open is a small share of what each fuel set out with.
 """
 
 from __future__ import annotations
 
+from collections.abc import Generator
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from wellspring.functions.numeric import strict_sum
+from wellspring.functions.numeric import missing, strict_sum
 from wellspring.operators.flows import SECTOR_KEYS, TECH_KEYS, io_coefficients, sector_totals
 from wellspring.params import LcaParams
 from wellspring.sources.mappings import Mappings
@@ -30,8 +41,14 @@ PRIMARY, GHG = "primary", "ghg"
 
 CELL = ["scenario", "year"]
 FLOW = ["fuel", "scenario", "year", "commodity"]
+PLACE = [*CELL, "commodity", "cell"]
+RUN = ["fuel", *CELL]
 
 STEPS_PER_TABLE = 4
+#: A sector is cut where it has more than this part of one bucket's share of all edges.
+SHARE = 0.25
+#: A cell's number is part * _PARTS + slot.
+_PARTS = 1 << 16
 
 
 def fuel_technologies(df: DataFrame, m: Mappings) -> DataFrame:
@@ -64,15 +81,24 @@ def upstream_expand(
     ``by_depth=False`` all steps are summed, the rows are fewer, and depth is NULL.
     """
     absorbing = [*m.primary_commodities, *p.ghgs]
-    buckets = int(outputs_tech.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = materialize_buckets(
-        sector_edges(outputs_tech, inputs_tech, absorbing), "edges", buckets, [*CELL, "via"]
-    )
-    flow = first_step(outputs_tech, inputs_tech, m)
-    absorbed = _expand(flow, edges, absorbing, p.depth, by_depth, buckets)
+    edges = written_edges(outputs_tech, inputs_tech, absorbing)
+    first = first_step(outputs_tech, inputs_tech, m)
+    # A flow of step d is absorbed at step d + 1, so the flows of the last step are not needed.
+    tables = [
+        open_flows
+        for open_flows, _ in _steps(_open(first, absorbing), edges, max(p.depth, 1), lazy_end=True)
+    ]
+    at_once = _taken(first, absorbing).withColumn("step", F.lit(-1))
+    parts = [at_once] if p.depth < 1 else [at_once, _stopped(reduce(DataFrame.unionByName, tables), edges)]
+    return _absorbed(reduce(DataFrame.unionByName, parts), p, by_depth)
+
+
+def _absorbed(rows: DataFrame, p: LcaParams, by_depth: bool) -> DataFrame:
+    """Flows with the step they come from, summed by where and when they are absorbed."""
+    depth = (F.col("step") + 1).cast("int") if by_depth else F.lit(None).cast("int")
     kind = F.when(F.col("commodity").isin(*p.ghgs), GHG).otherwise(PRIMARY)
-    depth = F.col("depth") if by_depth else F.lit(None).cast("int")
-    return absorbed.select(*FLOW, kind.alias("kind"), depth.alias("depth"), "value")
+    summed = _collapse(rows.withColumn("depth", depth), *FLOW, "depth")
+    return summed.select(*FLOW, kind.alias("kind"), "depth", "value")
 
 
 def first_step(outputs_tech: DataFrame, inputs_tech: DataFrame, m: Mappings) -> DataFrame:
@@ -126,50 +152,267 @@ def sector_edges(
     )
 
 
+@dataclass(frozen=True)
+class Edges:
+    """The written edges: bucketed by scenario, year, via and cell, and their heavy sectors.
+
+    An edge has besides ``next_parts`` and ``next_slots``, into how many its target is cut.
+    """
+
+    table: DataFrame
+    heavy: DataFrame
+    buckets: int
+
+
+def written_edges(outputs_tech: DataFrame, inputs_tech: DataFrame, absorbing: list[str]) -> Edges:
+    """Edges written in buckets; written anew, in cells, only if some sector is heavy."""
+    spark = outputs_tech.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges = sector_edges(outputs_tech, inputs_tech, absorbing)
+    whole = {"cell": F.lit(0), "next_parts": F.lit(1), "next_slots": F.lit(1)}
+    keys = [*CELL, "via", "cell"]
+    table = materialize_buckets(edges.withColumns(whole), "edges", buckets, keys)
+    rows = heavy_sectors(table, buckets).collect()  # bounded, see there
+    heavy = F.broadcast(spark.createDataFrame(rows, "scenario string, year int, commodity string, parts int, slots int"))
+    if rows:
+        table = materialize_buckets(in_cells(table.drop(*whole), heavy), "edges", buckets, keys)
+    return Edges(table, heavy, buckets)
+
+
+def heavy_sectors(edges: DataFrame, buckets: int) -> DataFrame:
+    """scenario, year, commodity, parts, slots of the sectors that are cut.
+
+    A sector weighs the edges that leave it (parts) and the open edges that lead to it
+    (slots), each against ``SHARE`` of an even bucket. All edges together make
+    ``buckets / SHARE`` such units, so at most twice as many sectors are heavy, however many
+    edges there are. Parts and slots together make no more cells than there are units.
+    """
+    units = int(buckets / SHARE)
+    out = edges.groupBy(*CELL, F.col("via").alias("commodity")).agg(F.count("*").alias("out"), F.lit(0).cast("long").alias("in"))
+    into = edges.where(~F.col("stops")).groupBy(*CELL, F.col("next").alias("commodity"))
+    into = into.agg(F.lit(0).cast("long").alias("out"), F.count("*").alias("in"))
+    # the least unit keeps a handful of edges together
+    unit = max(edges.count() / units, _LEAST_UNIT)
+    ends = out.unionByName(into).groupBy(*CELL, "commodity").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    parts = F.least(F.ceil(F.col("out") / unit), F.lit(units)).cast("int")
+    slots = F.greatest(F.least(F.ceil(F.col("in") / unit), F.floor(F.lit(units) / F.col("parts"))), F.lit(1)).cast("int")
+    cut = ends.where("out > 0").withColumn("parts", parts).withColumn("slots", slots)
+    return cut.where("parts > 1 OR slots > 1").select(*CELL, "commodity", "parts", "slots")
+
+
+#: Edges that are not worth cutting apart.
+_LEAST_UNIT = 1_000
+
+
+def _number(of: int, *by: str) -> Column:
+    return F.pmod(F.xxhash64(*by), F.col(of)).cast("int")
+
+
+def in_cells(edges: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Edges dealt to the parts of their sector and copied to each of its slots."""
+
+    def sizes(prefix: str, key: str) -> DataFrame:
+        return heavy.select(
+            F.col("scenario"), F.col("year"), F.col("commodity").alias(key),
+            F.col("parts").alias(f"{prefix}parts"), F.col("slots").alias(f"{prefix}slots"),
+        )
+
+    found = edges.join(sizes("", "via"), [*CELL, "via"], "left").join(sizes("next_", "next"), [*CELL, "next"], "left")
+    found = found.fillna(1, ["parts", "slots", "next_parts", "next_slots"])
+    slot = F.explode(F.sequence(F.lit(0), F.col("slots") - 1))
+    copied = found.select("*", slot.alias("slot"))
+    cell = _number("parts", "next") * _PARTS + F.col("slot")
+    return copied.select(*CELL, "via", "next", "stops", "coef", cell.alias("cell"), "next_parts", "next_slots")
+
+
+def _cells(parts: str, slots: str, *origin: str) -> Column:
+    """The cells a flow goes to: its slot in every part."""
+    return F.transform(F.sequence(F.lit(0), F.col(parts) - 1), lambda p: p * _PARTS + _number(slots, *origin))
+
+
 def _collapse(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(strict_sum(F.col("value")).alias("value"))
 
 
-def _mark(stops: Column, step: int, by_depth: bool) -> Column:
-    """Step at which a newly reached commodity is absorbed; NULL while it stays open."""
-    return F.when(stops, F.lit(step if by_depth else 0))
+def _taken(first: DataFrame, absorbing: list[str]) -> DataFrame:
+    return first.where(F.col("commodity").isin(*absorbing)).select(*FLOW, "value")
 
 
-def _expand(
-    flow: DataFrame, edges: DataFrame, absorbing: list[str], steps: int, by_depth: bool, buckets: int
-) -> DataFrame:
-    """Absorbed rows; between two written tables they travel along with the open ones."""
-    place, keys = [*CELL, "commodity"], [*FLOW, "depth"]
-    edges = edges.withColumnsRenamed({"scenario": "edge_scenario", "year": "edge_year"})
-    # Absorbed commodities have no edges, so their rows pass the outer join unchanged.
-    follows = (
+def _open(first: DataFrame, absorbing: list[str]) -> DataFrame:
+    return first.where(~F.col("commodity").isin(*absorbing)).select(*FLOW, "value")
+
+
+def _follows(edges: DataFrame) -> tuple[DataFrame, Column]:
+    renamed = edges.withColumnsRenamed({"scenario": "edge_scenario", "year": "edge_year", "cell": "edge_cell"})
+    return renamed, (
         (F.col("scenario") == F.col("edge_scenario"))
         & (F.col("year") == F.col("edge_year"))
         & (F.col("commodity") == F.col("via"))
+        & (F.col("cell") == F.col("edge_cell"))
     )
-    is_open = F.col("depth").isNull()
-    reached = F.coalesce("next", "commodity").alias("commodity")
-    carried = F.when(is_open, F.col("value") * F.col("coef")).otherwise(F.col("value"))
+
+
+def _steps(
+    start: DataFrame, edges: Edges, steps: int, lazy_end: bool = False
+) -> Generator[tuple[DataFrame, int], DataFrame | None, None]:
+    """Tables of the open flows of ``steps`` steps (FLOW, cell, value, step) and each one's last step.
+
+    Step 0 is ``start``. Each table is written, unless it is the last and ``lazy_end``. Who
+    takes a table may send back the runs (fuel, scenario, year) that go on.
+    """
+    onward, follows = _follows(edges.table.where(~F.col("stops")))
 
     def summed(rows: DataFrame) -> DataFrame:
-        return _collapse(rows.repartition(buckets, *place), *keys)
-
-    mark = _mark(F.col("commodity").isin(*absorbing), 0, by_depth)
-    rows = summed(flow.withColumn("depth", mark))
-    tables = []
-    for step in range(1, steps + 1):
-        mark = F.coalesce("depth", _mark(F.col("stops"), step, by_depth)).alias("depth")
-        moved = (
-            rows.join(edges, follows, "left")
-            .where(~is_open | F.col("next").isNotNull())
-            .select("fuel", *CELL, reached, mark, carried.alias("value"))
-        )
-        rows = summed(moved)
-        if step < steps and step % STEPS_PER_TABLE == 0:
-            table = materialize(rows, "flow")
-            tables.append(table.where(F.col("depth").isNotNull()))
-            rows = table.where(is_open).repartition(buckets, *place)
-    tables.append(rows.where(F.col("depth").isNotNull()))
-    absorbed = reduce(DataFrame.unionByName, tables)
-    # with one depth for all steps, a commodity may have been reached in several tables
-    return absorbed if by_depth or len(tables) == 1 else _collapse(absorbed, *keys)
+        return _collapse(rows.repartition(edges.buckets, *PLACE), "fuel", *PLACE)
+
+    def ahead(flow: DataFrame) -> DataFrame:
+        cell = F.explode(_cells("next_parts", "next_slots", "fuel", "via")).alias("cell")
+        value = (F.col("value") * F.col("coef")).alias("value")
+        return summed(flow.join(onward, follows).select("fuel", *CELL, F.col("next").alias("commodity"), cell, value))
+
+    sized = start.join(edges.heavy, [*CELL, "commodity"], "left").fillna(1, ["parts", "slots"])
+    flow, step = summed(sized.select(*FLOW, F.explode(_cells("parts", "slots", "fuel")).alias("cell"), "value")), 0
+    while True:
+        here = [flow.withColumn("step", F.lit(step))]
+        while len(here) < STEPS_PER_TABLE and step + 1 < steps:
+            flow, step = ahead(flow), step + 1
+            here.append(flow.withColumn("step", F.lit(step)))
+        table, ended = reduce(DataFrame.unionByName, here), step + 1 >= steps
+        if not (ended and lazy_end):
+            table = materialize(table, "flow")
+        going = yield table, step
+        if ended:
+            return
+        flow = table.where(F.col("step") == step).drop("step")
+        if going is not None:
+            flow = flow.join(going, RUN, "left_semi")
+        flow, step = ahead(flow.repartition(edges.buckets, *PLACE)), step + 1
+
+
+def _stopped(flows: DataFrame, edges: Edges) -> DataFrame:
+    """What the open flows of every step bring to absorbed commodities one step on."""
+    ends, follows = _follows(edges.table.where(F.col("stops")))
+    placed = flows.repartition(edges.buckets, *PLACE)
+    return placed.join(ends, follows).select(
+        "fuel", *CELL, F.col("next").alias("commodity"), (F.col("value") * F.col("coef")).alias("value"), "step"
+    )
+
+
+@dataclass(frozen=True)
+class Converged:
+    """``absorbed`` as by ``upstream_expand``; ``runs``: how far each run went and what is left.
+
+    ``runs`` has fuel, scenario, year, depth, first, open, bound: the depth that absorbed
+    flows include, the open flow after the technology step and at that depth, and the most
+    that any greater depth could add to the absorbed primary commodities (NULL where the
+    coefficients do not bound it). ``steps`` tells for each written table its last step and
+    how many runs were still open.
+    """
+
+    absorbed: DataFrame
+    runs: DataFrame
+    steps: list[tuple[int, int]]
+
+
+def upstream_converge(
+    outputs_tech: DataFrame,
+    inputs_tech: DataFrame,
+    m: Mappings,
+    p: LcaParams,
+    *,
+    tolerance: float = 1e-6,
+    most: int = 100,
+    by_depth: bool = False,
+) -> Converged:
+    """Expand every fuel, scenario and year until its open flow is a small share of its first.
+
+    A run ends at the first step whose open flow is at most ``tolerance`` times that of step
+    0, or is missing (an unknown flow cannot shrink), or at step ``most``. After each written
+    table the ended runs are set aside and only the others go on; that table's write observes
+    how many there are, so the loop needs no further job to decide.
+    """
+    absorbing = [*m.primary_commodities, *p.ghgs]
+    edges = written_edges(outputs_tech, inputs_tech, absorbing)
+    first = first_step(outputs_tech, inputs_tech, m)
+    steps = _steps(_open(first, absorbing), edges, most + 1)
+    flows, ended, going, seen = [], [], None, []
+    table, last = next(steps)
+    while True:
+        flows.append(table)
+        marked = _ends(table, seen[-1][0] + 1 if seen else 0, last, tolerance, going, last >= most)
+        counted = Observation(f"open runs at step {last}")
+        state = materialize(marked.observe(counted, F.count_if(~F.col("over")).alias("open")), "runs")
+        ended.append(state.where("over"))
+        seen.append((last, counted.get["open"]))
+        if not seen[-1][1]:
+            break
+        going = state.where(~F.col("over")).select(*RUN, "first")
+        try:
+            table, last = steps.send(going)
+        except StopIteration:
+            break
+    runs = reduce(DataFrame.unionByName, ended).select(*RUN, "depth", "first", "open")
+    kept = reduce(DataFrame.unionByName, flows).join(runs.select(*RUN, F.col("depth").alias("_depth")), RUN)
+    kept = kept.where(F.col("step") < F.col("_depth")).drop("_depth")
+    at_once = _taken(first, absorbing).withColumn("step", F.lit(-1))
+    absorbed = _absorbed(at_once.unionByName(_stopped(kept, edges)), p, by_depth)
+    return Converged(absorbed, _bounded(runs, edges, p), seen)
+
+
+def _ends(table: DataFrame, low: int, last: int, tolerance: float, before: DataFrame | None, forced: bool) -> DataFrame:
+    """Runs with their first and open flow, whether they are over, and at which depth.
+
+    ``table`` has the steps from ``low`` to ``last``. A flow may lie in several parts, each of
+    them whole; part 0 is counted. A run that has no flow at a step has an open flow of 0 there.
+    """
+    whole = table.where(F.col("cell") < _PARTS)
+    sums = whole.groupBy(*RUN, "step").agg(strict_sum(F.abs("value")).alias("open"))
+    by_step = F.map_from_entries(F.collect_list(F.struct("step", "open")))
+    packed = sums.groupBy(*RUN).agg(by_step.alias("by_step"))
+    if before is not None:  # a run without any flow in this table is over as well
+        packed = before.join(packed, RUN, "left")
+    else:
+        packed = packed.withColumn("first", F.try_element_at("by_step", F.lit(0)))
+    at = F.sequence(F.lit(low), F.lit(last))
+
+    def open_at(step: Column) -> Column:
+        present = F.coalesce(F.array_contains(F.map_keys("by_step"), step), F.lit(False))
+        return F.when(present, F.try_element_at("by_step", step)).otherwise(0.0)
+
+    states = F.transform(at, lambda s: F.struct(s.alias("step"), open_at(s).alias("open")))
+    small = F.filter(states, lambda s: missing(s["open"]) | missing(F.col("first")) | (s["open"] <= F.col("first") * tolerance))
+    over = F.size(small) > 0
+    chosen = F.when(over, F.get(small, F.lit(0))).otherwise(F.element_at(states, -1))
+    return packed.select(
+        *RUN, "first", chosen["open"].alias("open"), chosen["step"].alias("depth"), (over | F.lit(forced)).alias("over")
+    )
+
+
+def _bounded(runs: DataFrame, edges: Edges, p: LcaParams) -> DataFrame:
+    """Add the bound: open x greatest stopping sum / (1 - greatest onward sum) of any sector.
+
+    Each step multiplies the sum of open flows by at most the greatest sum of a sector's
+    onward coefficients; below 1, all steps to come make a geometric series. Only sectors that
+    some sector needs count.
+    """
+    size = F.abs("coef")
+    onward = ~F.col("stops")
+    primary = F.col("stops") & ~F.col("next").isin(*p.ghgs)
+    # the edges of a heavy sector are copied to its slots; slot 0 has each once
+    once = edges.table.where(F.pmod("cell", F.lit(_PARTS)) == 0)
+    # after a step, flows are open only where an edge leads to
+    reached = edges.table.where(onward).select(*CELL, F.col("next").alias("via"))
+    once = once.join(reached, [*CELL, "via"], "left_semi")
+    sectors = once.groupBy(*CELL, "via").agg(
+        strict_sum(F.when(onward, size).otherwise(0.0)).alias("onward"),
+        strict_sum(F.when(primary, size).otherwise(0.0)).alias("stopping"),
+    )
+    unknown = F.max(missing(F.col("onward")) | missing(F.col("stopping")))
+    most = sectors.groupBy(*CELL).agg(
+        F.max("onward").alias("_onward"), F.max("stopping").alias("_stopping"), unknown.alias("_unknown")
+    )
+    bound = F.col("open") * F.col("_stopping") / (1 - F.col("_onward"))
+    found = runs.join(most, CELL, "left")
+    no_edges = F.col("_onward").isNull() & F.col("_unknown").isNull()
+    value = F.when(missing(F.col("open")) | F.col("_unknown") | (F.col("_onward") >= 1), None).otherwise(bound)
+    return found.select(*RUN, "depth", "first", "open", F.when(no_edges, 0.0).otherwise(value).alias("bound"))

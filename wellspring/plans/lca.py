@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,8 @@ from wellspring.operators import assemble, flows, intensity, luc, prices, report
 from wellspring.params import LcaParams
 from wellspring.sources import sinks
 from wellspring.sources.mappings import Mappings
-from wellspring.sources.schemas import check_result
+from wellspring.sources.project import Project
+from wellspring.sources.schemas import RESULTS, check_result
 from wellspring.sources.tables import FactTables
 from wellspring.sources.workspace import materialize
 
@@ -80,6 +82,12 @@ class LcaPlan:
             self.outputs_tech, self.inputs_tech, self.m, self.p, by_depth=by_depth
         )
 
+    def converge(self, tolerance: float = 1e-6, most: int = 100, by_depth: bool = False) -> upstream.Converged:
+        """The expansion carried on until little is left open, with what is left bounded."""
+        return upstream.upstream_converge(
+            self.outputs_tech, self.inputs_tech, self.m, self.p, tolerance=tolerance, most=most, by_depth=by_depth
+        )
+
     @cached_property
     def absorbed(self) -> DataFrame:
         absorbed = self.expand(by_depth=False)
@@ -155,14 +163,20 @@ class LcaPlan:
     def decode(self, df: DataFrame) -> DataFrame:
         return assemble.decode_scenario(df, self.m, self.p)
 
-    def results(self) -> dict[str, DataFrame]:
-        """The three result tables with decoded scenarios, by name."""
+    def results(self, names: Sequence[str] = tuple(RESULTS)) -> dict[str, DataFrame]:
+        """The named ones of the three result tables with decoded scenarios."""
         tables = {
-            "fuels_lca_ghg": self.ghg,
-            "fuels_primary_energy": self.primary_energy,
-            "fuels_prices": self.prices,
+            "fuels_lca_ghg": lambda: self.ghg,
+            "fuels_primary_energy": lambda: self.primary_energy,
+            "fuels_prices": lambda: self.prices,
         }
-        return {name: self.decode(check_result(df, name)) for name, df in tables.items()}
+        return {name: self.decode(check_result(tables[name](), name)) for name in names}
+
+    def publish(self, folder: str, block: str = "results") -> Project:
+        """Write all results and show them together: a reader sees all three or the former ones."""
+        project = Project(folder)
+        project.deliver(self.facts.spark, self.results(), block, "replace")
+        return project
 
     def save(self, folder: str, format: str = "parquet") -> None:
         """Write the results, as Parquet by scenario or as headed CSV."""

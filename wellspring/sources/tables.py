@@ -67,6 +67,20 @@ class FactTables:
         }
         return replace(self, **kept)
 
+    def of_scenarios(self, scenarios: DataFrame) -> FactTables:
+        """Keep the scenarios of the main runs that ``scenarios`` lists."""
+        names = scenarios.select("scenario").distinct()
+        kept = {
+            f.name: getattr(self, f.name).join(names, "scenario", "left_semi")
+            for f in fields(self)
+            if f.name not in LUC_TABLES and getattr(self, f.name) is not None
+        }
+        return replace(self, **kept)
+
+    @property
+    def spark(self) -> SparkSession:
+        return next(t.sparkSession for f in fields(self) if (t := getattr(self, f.name)) is not None)
+
     def scenario(self, name: str) -> FactTables:
         return self.where(F.col("scenario") == name)
 

@@ -19,6 +19,7 @@ from wellspring.standin.config import (
 P = PARAMS
 ABSORBING = [*MAPPINGS.primary_commodities, *P.ghgs]
 MAX_DEPTH = max(P.depth, *P.sensitivity_depths)
+MOST_STEPS, TOLERANCE = 40, 1e-4
 
 
 def lit(value) -> str:
@@ -336,6 +337,50 @@ CTES |= {
                      AND b.reporting_fuel = a.reporting_fuel AND b.luc_fuel = 'base'
                    WHERE a.luc_fuel <> 'base') f
           ON c.reporting_fuel = f.reporting_fuel AND c.Policy = f.Policy""",
+    # Expansion to convergence
+    "open_flow": f"""
+        WITH RECURSIVE f AS (
+            SELECT fuel, scenario, year, commodity, value, 0 AS step FROM step0
+            WHERE commodity NOT IN {listed(ABSORBING)}
+            UNION ALL
+            SELECT f.fuel, f.scenario, f.year, c.input, {strict("f.value * c.value")}, min(f.step) + 1
+            FROM f JOIN coefs_sector c ON f.scenario = c.scenario AND f.year = c.year AND f.commodity = c.sector
+            WHERE c.input NOT IN {listed(ABSORBING)} AND f.step < {MOST_STEPS}
+            GROUP BY f.fuel, f.scenario, f.year, c.input)
+        SELECT * FROM f""",
+    "open_sums": f"""
+        SELECT fuel, scenario, year, step, {strict("abs(value)")} AS open
+        FROM open_flow GROUP BY fuel, scenario, year, step""",
+    "run_steps": f"""
+        SELECT r.*, CASE WHEN s.step IS NULL THEN 0 ELSE s.open END AS open
+        FROM (SELECT fuel, scenario, year, open AS first, unnest(range({MOST_STEPS + 1})) AS step
+              FROM open_sums WHERE step = 0) r
+        LEFT JOIN open_sums s USING (fuel, scenario, year, step)""",
+    "run_ends": f"""
+        SELECT fuel, scenario, year, first, coalesce(min(step) FILTER (
+                 WHERE {missing("open")} OR {missing("first")} OR open <= first * {TOLERANCE!r}), {MOST_STEPS}) AS depth
+        FROM run_steps GROUP BY fuel, scenario, year, first""",
+    "sector_sums": f"""
+        SELECT scenario, year, sector,
+               {strict(f"CASE WHEN input IN {listed(ABSORBING)} THEN 0 ELSE abs(value) END")} AS onward,
+               {strict(f"CASE WHEN input IN {listed(MAPPINGS.primary_commodities)} THEN abs(value) ELSE 0 END")} AS stopping
+        FROM coefs_sector c WHERE sector NOT IN {listed(ABSORBING)} AND (scenario, year, sector) IN (
+            SELECT (scenario, year, input) FROM coefs_sector
+            WHERE sector NOT IN {listed(ABSORBING)} AND input NOT IN {listed(ABSORBING)})
+        GROUP BY scenario, year, sector""",
+    "run_bounds": """
+        SELECT scenario, year, CASE WHEN count(onward) = count(*) AND count(stopping) = count(*) AND max(onward) < 1
+               THEN max(stopping) / (1 - max(onward)) END AS factor
+        FROM sector_sums GROUP BY scenario, year""",
+    "run_absorbed": f"""
+        SELECT fuel, scenario, year, {strict("value")} AS absorbed FROM (
+            SELECT fuel, scenario, year, value FROM step0 WHERE commodity IN {listed(MAPPINGS.primary_commodities)}
+            UNION ALL
+            SELECT f.fuel, f.scenario, f.year, f.value * c.value
+            FROM open_flow f JOIN run_ends e ON f.fuel = e.fuel AND f.scenario = e.scenario AND f.year = e.year AND f.step < e.depth
+            JOIN coefs_sector c ON f.scenario = c.scenario AND f.year = c.year AND f.commodity = c.sector
+            WHERE c.input IN {listed(MAPPINGS.primary_commodities)})
+        GROUP BY fuel, scenario, year""",
     "no_luc": "SELECT NULL::VARCHAR AS fuel, NULL::VARCHAR AS Policy, NULL::DOUBLE AS LUC_kgCO2_GJ",
     # Results
     "ghg": all_sources(""),
@@ -468,4 +513,29 @@ def queries() -> dict[str, str]:
         "mappings_csv": text["tailpipe_co2"],
         "lca_ghg_standard": "SELECT scenario, fuel, GHG, source, year, kgCO2e_GJ FROM ghg_standard",
     }
+    segment, policy = ('"Market segment"', '"Policy"')
+    text["upstream_converged"] = f"""SELECT fuel, scenario, year, CAST(depth AS INTEGER) AS depth,
+        {rounded('first', 10)} AS first, {rounded('open', 9)} AS open, {rounded('open * factor', 9)} AS bound,
+        {rounded('absorbed', 7)} AS absorbed
+        FROM run_ends JOIN (SELECT fuel, scenario, year, step AS depth, open FROM run_steps) USING (fuel, scenario, year, depth)
+        LEFT JOIN run_bounds USING (scenario, year) LEFT JOIN run_absorbed USING (fuel, scenario, year)"""
+    text["project_scenario"] = f"{text['outputs_tech']} WHERE scenario = 'm1p2'"
+    times = "CASE WHEN scenario IN ('m1p2', 'm2p2') THEN 2 WHEN scenario = 'm3p1' THEN 3 ELSE 1 END"
+    text["block_redelivered"] = f"SELECT {flow}, {rounded(f'value * {times}', 8)} AS value FROM outputs_tech"
+    dearer = CTES["fuel_prices"].replace(
+        "FROM costs_by_tech c", "FROM (SELECT * REPLACE (CASE WHEN scenario = 'm2p1' THEN value * 2 ELSE value END AS value) FROM costs_by_tech) c"
+    )
+    text["prices_updated"] = decoded(
+        f"reporting_fuel, year, {rounded('price_USDperGJ', P.digits)} AS price_USDperGJ", f"({dearer})"
+    )
+    parts = {
+        "fuels_lca_ghg": ("fuel", "GHG || ' ' || source", "kgCO2e_GJ", text["lca_ghg"]),
+        "fuels_primary_energy": ("fuel", "Primary_fuel", "IO", text["primary_energy"]),
+        "fuels_prices": ("reporting_fuel", "NULL::VARCHAR", "price_USDperGJ", text["fuel_prices"]),
+    }
+    text["results_published"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS result, scenario, {fuel} AS fuel, year, {kind} AS kind, {segment} AS segment,
+        {policy} AS "Policy", {value} AS value FROM ({sql})"""
+        for name, (fuel, kind, value, sql) in parts.items()
+    )
     return {name: statement(q) for name, q in text.items()}

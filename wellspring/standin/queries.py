@@ -7,21 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspring.functions.numeric import strict_sum
 from wellspring.operators import assemble, flows, intensity, luc
 from wellspring.plans.lca import LcaPlan
-from wellspring.sources import schemas, sinks
+from wellspring.plans.update import update
+from wellspring.sources import datasource, schemas, sinks
 from wellspring.sources.extract import carbon_markets, land_use
 from wellspring.sources.mappings import Mappings
+from wellspring.sources.project import Project
 from wellspring.sources.tables import folder_of, read_fact, read_results
 from wellspring.sources.workspace import new_folder
 from wellspring.standin.config import MAPPINGS, PARAMS
 from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, facts, facts_lazily, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+OUTPUTS_TITLE = "outputs by tech"
 
 
 def _plan(spark: SparkSession, sf_dir: str, *need: str) -> LcaPlan:
@@ -284,6 +289,74 @@ def lca_ghg_standard(spark, sf_dir):
     return LcaPlan(facts(spark, sf_dir, [FLOWS, LUC]), MAPPINGS, PARAMS.with_(greet_convention=False)).ghg
 
 
+def upstream_converged(spark, sf_dir):
+    """How deep each fuel has to be expanded, what is left open there, and its bound."""
+    found = _plan(spark, sf_dir, FLOWS).converge(tolerance=1e-4, most=40)
+    primary = found.absorbed.where(F.col("kind") == "primary")
+    run = ["fuel", "scenario", "year"]
+    totals = primary.groupBy(*run).agg(strict_sum(F.col("value")).alias("absorbed"))
+    out = found.runs.join(totals, run, "left").select(*run, "depth", "first", "open", "bound", "absorbed")
+    return _rounded(_rounded(_rounded(out, 10, "first"), 9, "open", "bound"), 7, "absorbed")
+
+
+def _delivered(spark, sf_dir, name):
+    """A project with the outputs in two blocks of scenarios; also the outputs themselves."""
+    rows = facts(spark, sf_dir, [OUTPUTS]).outputs_by_tech
+    project = Project(new_folder(spark, name))
+    for policy in ("p1", "p2"):
+        block = rows.where(F.col("scenario").rlike(f"{policy}$"))
+        project.deliver(spark, {OUTPUTS_TITLE: block}, policy)
+    return project, rows
+
+
+def project_scenario(spark, sf_dir):
+    """The outputs of one scenario, by the project data source."""
+    project, _ = _delivered(spark, sf_dir, "project")
+    datasource.register(spark)
+    read = spark.read.format("lca_project").option("title", OUTPUTS_TITLE)
+    return _rounded(flows.clean_outputs(read.option("scenario", "m1p2").load(project.root), PARAMS), 8, "value")
+
+
+def block_redelivered(spark, sf_dir):
+    """Outputs after two scenarios of a block came again, one came in another block."""
+    project, rows = _delivered(spark, sf_dir, "redelivered")
+    twice = rows.where(F.col("scenario").isin("m1p2", "m2p2")).withColumn("value", F.col("value") * 2)
+    project.deliver(spark, {OUTPUTS_TITLE: twice}, "p2")
+    moved = rows.where(F.col("scenario") == "m3p1").withColumn("value", F.col("value") * 3)
+    project.deliver(spark, {OUTPUTS_TITLE: moved}, "p2", conflict="replace")
+    return _rounded(flows.clean_outputs(project.read(spark, OUTPUTS_TITLE), PARAMS), 8, "value")
+
+
+def results_published(spark, sf_dir):
+    """All three results, published together and read again."""
+    plan = LcaPlan(facts(spark, sf_dir, [FLOWS, PRICES, LUC]), MAPPINGS, PARAMS)
+    project = plan.publish(new_folder(spark, "published"))
+    parts = {
+        "fuels_lca_ghg": ("fuel", F.concat_ws(" ", "GHG", "source"), "kgCO2e_GJ"),
+        "fuels_primary_energy": ("fuel", F.col("Primary_fuel"), "IO"),
+        "fuels_prices": ("reporting_fuel", F.lit(None).cast("string"), "price_USDperGJ"),
+    }
+    reread = [
+        project.read(spark, name).select(
+            F.lit(name).alias("result"), "scenario", F.col(fuel).alias("fuel"), "year", kind.alias("kind"),
+            F.col("Market segment").alias("segment"), "Policy", F.col(value).alias("value"),
+        )
+        for name, (fuel, kind, value) in parts.items()
+    ]
+    return reduce(DataFrame.unionByName, reread)
+
+
+def prices_updated(spark, sf_dir):
+    """Prices of all scenarios after the costs of one have changed; only that one is computed."""
+    found = facts(spark, sf_dir, [PRICES])
+    project = Project(new_folder(spark, "updated"))
+    update(LcaPlan(found, MAPPINGS, PARAMS), project, ["fuels_prices"])
+    dearer = F.when(F.col("scenario") == "m2p1", F.col("value") * 2).otherwise(F.col("value"))
+    later = replace(found, costs_by_tech=found.costs_by_tech.withColumn("value", dearer))
+    update(LcaPlan(later, MAPPINGS, PARAMS), project, ["fuels_prices"])
+    return project.read(spark, "fuels_prices")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -328,5 +401,10 @@ QUERIES: dict[str, Query] = {
         results_reread,
         mappings_csv,
         lca_ghg_standard,
+        upstream_converged,
+        project_scenario,
+        block_redelivered,
+        results_published,
+        prices_updated,
     )
 } | {"carbon_markets": markets, "scenario_block": scenario_block}
