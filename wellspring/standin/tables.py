@@ -93,7 +93,6 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice")
     return (
         table(spark, sf_dir, "lineitem")
-        .repartition("l_orderkey")  # the join's own exchange, placed before any small scan is broadcast
         .join(orders.join(customers, "c_custkey"), "l_orderkey")
         .join(suppliers, "l_suppkey")
         .join(parts, "l_partkey")
