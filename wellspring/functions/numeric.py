@@ -41,3 +41,25 @@ def strict_sum(c: Column) -> Column:
 def sum_present(c: Column) -> Column:
     """Sum over the terms that are neither NULL nor NaN; 0 when there are none."""
     return F.coalesce(F.sum(F.when(~missing(c), c)), F.lit(0.0))
+
+
+#: Doubles from here on have no digits left behind a unit of 1e-15 of their size.
+_DIGITS_OF_A_DOUBLE = 15
+
+
+def round_nearest(c: Column, digits: int) -> Column:
+    """Round to the nearer of the two neighbouring decimals, as doubles; a tie to the even one.
+
+    The candidates are the numbers of ``digits`` decimals below and above. Which is nearer is
+    decided on the doubles themselves, so 0.15 (a little less than its name) becomes 0.1 and
+    2.5 becomes 2. Numbers with no digits left to round stay as they are.
+    """
+    scale, size = F.lit(10.0**digits), F.abs(c)
+    low = F.floor(size * scale)
+    below, above = low / scale, F.ceil(size * scale) / scale
+    to_below, to_above = size - below, above - size
+    nearer = F.when(
+        (to_below < to_above) | ((to_below == to_above) & (F.pmod(low, F.lit(2)) == 0)), below
+    ).otherwise(above)
+    signed = F.when((c < 0) & (nearer != 0), -nearer).otherwise(nearer)
+    return F.when(F.isnan(c) | (size >= 10.0 ** (_DIGITS_OF_A_DOUBLE - digits)), c).otherwise(signed)

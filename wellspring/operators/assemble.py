@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.functions.numeric import missing
+from wellspring.functions.numeric import missing, round_nearest
 from wellspring.functions.text import code_pieces, last_chars, lookup
 from wellspring.params import LcaParams
 from wellspring.sources.mappings import Mappings
@@ -93,7 +93,7 @@ def lca_ghg(
     rows = parts[0].select(*columns)
     for part in parts[1:]:
         rows = rows.unionByName(part.select(*columns))
-    return rows.withColumn("kgCO2e_GJ", F.round("kgCO2e_GJ", p.digits))
+    return rows.withColumn("kgCO2e_GJ", round_nearest(F.col("kgCO2e_GJ"), p.digits))
 
 
 def decode_scenario(df: DataFrame, m: Mappings, p: LcaParams) -> DataFrame:

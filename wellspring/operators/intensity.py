@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.functions.numeric import ieee_div, strict_sum
+from wellspring.functions.numeric import ieee_div, round_nearest, strict_sum
 from wellspring.operators.upstream import GHG, PRIMARY
 from wellspring.params import LcaParams
 from wellspring.sources.mappings import Mappings
@@ -86,7 +86,7 @@ def primary_energy(
         "year",
         *by,
         "Primary_fuel",
-        F.round(ratio, p.digits).alias("IO"),
+        round_nearest(ratio, p.digits).alias("IO"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wellspring.functions.numeric import fill_missing, ieee_div, strict_sum
+from wellspring.functions.numeric import fill_missing, ieee_div, round_nearest, strict_sum
 from wellspring.operators.flows import TECH_KEYS
 from wellspring.operators.upstream import fuel_technologies
 from wellspring.params import LcaParams
@@ -99,7 +99,7 @@ def fuel_prices(
             "scenario",
             "reporting_fuel",
             "year",
-            F.round(ieee_div(F.col("_spent"), F.col("_bought")), p.digits).alias(
+            round_nearest(ieee_div(F.col("_spent"), F.col("_bought")), p.digits).alias(
                 "price_USDperGJ"
             ),
         )

@@ -46,5 +46,6 @@ def sum_land_leaves(df: DataFrame) -> DataFrame:
 
 
 def land_use(df: DataFrame, leaf_column: str = "LandLeaf") -> DataFrame:
-    """Land-use change by region, from rows by region or by land leaf."""
-    return sum_land_leaves(between_years(df)) if leaf_column in df.columns else df
+    """Land-use change by region within the year bounds, from rows by region or by land leaf."""
+    rows = between_years(df)
+    return sum_land_leaves(rows) if leaf_column in df.columns else rows

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 
+from wellspring.sources.mappings import Mappings
 from wellspring.standin.config import (
     LUC_LEVELS,
     MAPPINGS,
@@ -401,7 +402,7 @@ def statement(query: str) -> str:
 
     visit(query)
     parts = ",\n".join(f"{name} AS MATERIALIZED ({CTES[name]})" for name in ordered)
-    return f"WITH {parts}\n{query}"
+    return f"WITH {parts}\n{query}" if parts else query
 
 
 def decoded(columns: str, table: str) -> str:
@@ -513,6 +514,30 @@ def queries() -> dict[str, str]:
         "mappings_csv": text["tailpipe_co2"],
         "lca_ghg_standard": "SELECT scenario, fuel, GHG, source, year, kgCO2e_GJ FROM ghg_standard",
     }
+    text["land_use_by_region"] = text["land_leaves_summed"]
+    tied = f"""(SELECT luc_run AS scenario, 2 * year - {P.years[0]} AS year, (min(value) + max(value)) / 2 AS value FROM (
+        SELECT luc_run, year, sum(l_extendedprice) / 1e6 AS value
+        FROM base GROUP BY luc_run, year, sector, technology, output) GROUP BY luc_run, year)"""
+    text["ties_interpolated"] = f"""SELECT scenario, year, {rounded('value', 10)} AS value
+        FROM ({interpolated(tied, 'scenario', 'value')})"""
+    text["ties_interpolated_sql"] = text["ties_interpolated"]
+    code = f"""'h' || (c_nationkey % 4 + 1) || 'r' || (c_nationkey % 3 + 1) || 'b' || (c_nationkey % 2 + 1)
+        || 'n' || (c_custkey % 2 + 1) || 'c' || (c_custkey // 2 % 2 + 1)
+        || 'p' || (list_position({list(SEGMENTS)}, c_mktsegment) % 3 + 1)"""
+    published = Mappings.published()
+    levels = ", ".join(listed(r) for r in published.scenario_definitions)
+    variables = list(dict.fromkeys(published.column("scenario_definitions", "variable_name")))
+    spelled = ", ".join(
+        f"(SELECT description FROM (VALUES {levels}) AS l(string, name, description) WHERE string = substr(scenario, {2 * i + 1}, 2)) AS \"{v}\"" for i, v in enumerate(variables)
+    )
+    text["six_pieces_decoded"] = f"""SELECT scenario, {spelled}, customers
+        FROM (SELECT {code} AS scenario, count(*) AS customers FROM customer GROUP BY ALL)"""
+    text["six_pieces_decoded_sql"] = text["six_pieces_decoded"]
+    text["broken_rows_set_aside"] = """SELECT scenario, sector, technology, output,
+        CASE WHEN reason IS NULL THEN year END AS year, CASE WHEN reason IS NULL THEN value END AS value, reason FROM (
+            SELECT *, CASE technology WHEN 'SMALL' THEN 'value' WHEN 'LARGE' THEN 'year' END AS reason FROM (
+                SELECT scenario, sector, technology, output, year, round(sum(l_extendedprice) / 1e6, 8) AS value
+                FROM base GROUP BY ALL))"""
     segment, policy = ('"Market segment"', '"Policy"')
     text["upstream_converged"] = f"""SELECT fuel, scenario, year, CAST(depth AS INTEGER) AS depth,
         {rounded('first', 10)} AS first, {rounded('open', 9)} AS open, {rounded('open * factor', 9)} AS bound,

@@ -12,18 +12,21 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wellspring.functions import catalog, series
 from wellspring.functions.numeric import strict_sum
 from wellspring.operators import assemble, flows, intensity, luc
+from wellspring.params import LcaParams
 from wellspring.plans.lca import LcaPlan
 from wellspring.plans.update import update
 from wellspring.sources import datasource, schemas, sinks
+from wellspring.sources.checked import read_checked
 from wellspring.sources.extract import carbon_markets, land_use
 from wellspring.sources.mappings import Mappings
 from wellspring.sources.project import Project
 from wellspring.sources.tables import folder_of, read_fact, read_results
 from wellspring.sources.workspace import new_folder
-from wellspring.standin.config import MAPPINGS, PARAMS
-from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, facts, facts_lazily, table
+from wellspring.standin.config import MAPPINGS, PARAMS, SEGMENTS
+from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, Only, facts, facts_lazily, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 OUTPUTS_TITLE = "outputs by tech"
@@ -39,6 +42,11 @@ def _single(spark: SparkSession, sf_dir: str, *need: str) -> LcaPlan:
     return LcaPlan(facts(spark, sf_dir, need), MAPPINGS, PARAMS, shared=False)
 
 
+def _narrow(spark: SparkSession, sf_dir: str, only: Only) -> LcaPlan:
+    """Flows of some scenarios and years, filtered in the scans of the star schema."""
+    return LcaPlan(facts(spark, sf_dir, [FLOWS], only), MAPPINGS, PARAMS, shared=False)
+
+
 def _lazy(spark: SparkSession, sf_dir: str, *need: str) -> LcaPlan:
     return LcaPlan(facts_lazily(spark, sf_dir, need), MAPPINGS, PARAMS)
 
@@ -181,11 +189,13 @@ def report_ghg_final_year(spark, sf_dir):
 
 
 def report_pe_final_year(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, FLOWS).report_pe_final_year(), 5, "IO")
+    only = Only(f"^{PARAMS.base_scenario}$", (PARAMS.final_year,))
+    return _rounded(_narrow(spark, sf_dir, only).report_pe_final_year(), 5, "IO")
 
 
 def report_pe_scenarios(spark, sf_dir):
-    return _rounded(_plan(spark, sf_dir, FLOWS).report_pe_scenarios(), 5, "IO")
+    only = Only(PARAMS.contrasted_scenarios, (PARAMS.final_year,))
+    return _rounded(_narrow(spark, sf_dir, only).report_pe_scenarios(), 5, "IO")
 
 
 def report_prices(spark, sf_dir):
@@ -204,7 +214,7 @@ def markets(spark, sf_dir):
 
 def scenario_block(spark, sf_dir):
     """Outputs of the scenarios whose name matches a pattern."""
-    plan = _lazy(spark, sf_dir, OUTPUTS).only(like="p2$")
+    plan = LcaPlan(facts_lazily(spark, sf_dir, [OUTPUTS], Only("p2$")), MAPPINGS, PARAMS).only(like="p2$")
     return _rounded(plan.outputs_tech, 8, "value")
 
 
@@ -289,6 +299,72 @@ def lca_ghg_standard(spark, sf_dir):
     return LcaPlan(facts(spark, sf_dir, [FLOWS, LUC]), MAPPINGS, PARAMS.with_(greet_convention=False)).ghg
 
 
+def land_use_by_region(spark, sf_dir):
+    """Land-use rows that are by region already, within the year bounds."""
+    rows = facts_lazily(spark, sf_dir, [LUC]).luc_by_region.withColumn("year", F.col("year") + 15)
+    return _rounded(land_use(rows).select("scenario", "region", "year", "value"), 8, "value")
+
+
+def _tied(spark, sf_dir):
+    """Two values for each land-use run and year: its least and greatest technology's."""
+    rows = facts_lazily(spark, sf_dir, [LUC]).luc_outputs_by_tech
+    ends = rows.groupBy("scenario", "year").agg(F.array(F.min("value"), F.max("value")).alias("values"))
+    return ends.select("scenario", "year", F.explode("values").alias("value"))
+
+
+def ties_interpolated(spark, sf_dir):
+    """A yearly series whose known years have two values each, which are averaged."""
+    grid = series.complete_years(_tied(spark, sf_dir), ["scenario"], "value", PARAMS.luc_years)
+    return _rounded(series.interpolate_linear(grid, ["scenario"], "value"), 10, "value")
+
+
+def ties_interpolated_sql(spark, sf_dir):
+    """The same by the function for SQL."""
+    catalog.register(spark, MAPPINGS, PARAMS)
+    _tied(spark, sf_dir).createOrReplaceTempView("tied_values")
+    years = f"sequence({min(PARAMS.luc_years)}, {max(PARAMS.luc_years)})"
+    return spark.sql(f"""
+        SELECT scenario, year, round(interpolated(points, year), 10) AS value
+        FROM (SELECT scenario, collect_list(struct(year, value)) AS points FROM tied_values GROUP BY scenario)
+        LATERAL VIEW explode({years}) AS year""")
+
+
+def _six_pieces(spark, sf_dir):
+    """Customers by a scenario code of six pieces."""
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment"))
+    digits = {"h": nation % 4, "r": nation % 3, "b": nation % 2, "n": key % 2, "c": F.floor(key / 2) % 2, "p": segment % 3}
+    code = F.concat(*[x for k, d in digits.items() for x in (F.lit(k), (d + 1).cast("int").cast("string"))])
+    return table(spark, sf_dir, "customer").groupBy(code.alias("scenario")).agg(F.count(F.lit(1)).alias("customers"))
+
+
+def six_pieces_decoded(spark, sf_dir):
+    """Scenario codes of six pieces, spelled out by the published definitions."""
+    return assemble.decode_scenario(_six_pieces(spark, sf_dir), Mappings.published(), LcaParams())
+
+
+def six_pieces_decoded_sql(spark, sf_dir):
+    """The same by the table function for SQL."""
+    catalog.register(spark, Mappings.published(), LcaParams())
+    _six_pieces(spark, sf_dir).createOrReplaceTempView("customers_by_code")
+    return spark.sql("SELECT c.scenario, d.*, c.customers FROM customers_by_code c, LATERAL decode_scenario(c.scenario) d")
+
+
+def broken_rows_set_aside(spark, sf_dir):
+    """Outputs from headed CSV in which some numbers do not parse: both kinds of rows."""
+    folder = new_folder(spark, "broken")
+    rows = facts_lazily(spark, sf_dir, [OUTPUTS]).outputs_by_tech
+    value = F.when(F.col("technology") == "SMALL", F.lit("n.d.")).otherwise(F.col("value").cast("string"))
+    year = F.when(F.col("technology") == "LARGE", F.concat(F.lit("Y"), F.col("year"))).otherwise(F.col("year").cast("string"))
+    sinks.save_csv(rows.withColumns({"value": value, "year": year}), f"{folder}/{folder_of(OUTPUTS_TITLE)}")
+    read = read_checked(spark, [folder], OUTPUTS_TITLE)
+    keys = ["scenario", "sector", "technology", "output"]
+    good = read.good.select(*keys, "year", F.round("value", 8).alias("value"), F.lit(None).cast("string").alias("reason"))
+    raw = [F.get_json_object("record", f"$.{k}").alias(k) for k in keys]
+    bad = read.quarantine.select(*raw, F.lit(None).cast("int").alias("year"), F.lit(None).cast("double").alias("value"), "reason")
+    return good.unionByName(bad)
+
+
 def upstream_converged(spark, sf_dir):
     """How deep each fuel has to be expanded, what is left open there, and its bound."""
     found = _plan(spark, sf_dir, FLOWS).converge(tolerance=1e-4, most=40)
@@ -401,6 +477,12 @@ QUERIES: dict[str, Query] = {
         results_reread,
         mappings_csv,
         lca_ghg_standard,
+        land_use_by_region,
+        ties_interpolated,
+        ties_interpolated_sql,
+        six_pieces_decoded,
+        six_pieces_decoded_sql,
+        broken_rows_set_aside,
         upstream_converged,
         project_scenario,
         block_redelivered,

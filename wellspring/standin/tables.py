@@ -10,8 +10,9 @@ there.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
-from dataclasses import fields
+from dataclasses import dataclass, fields
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,22 +65,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+@dataclass(frozen=True)
+class Only:
+    """Scenarios (a pattern of their codes) and years that a query needs of the main runs."""
+
+    scenarios: str = ""
+    years: tuple[int, ...] = YEARS
+
+    @property
+    def codes(self) -> list[tuple[str, int]]:
+        """Segment and policy of every scenario that matches."""
+        return [
+            (s, policy)
+            for k, s in enumerate(SEGMENTS, 1)
+            for policy in (1, 2)
+            if re.search(self.scenarios, f"m{k}p{policy}")
+        ]
+
+
+def base(spark: SparkSession, sf_dir: str, only: Only = Only()) -> DataFrame:
     """One row per order line with its consuming and producing nation.
 
+    What ``only`` leaves out is filtered in the scans of customers and orders. A pattern that
+    is no product of segments and policies lets some other scenarios through.
+
     A supplier, part, customer or order with very many lines is left to adaptive execution,
     which splits a skewed side of a shuffled join.
     """
 
+    segments = list(dict.fromkeys(s for s, _ in only.codes))
+    policies = {p for _, p in only.codes}
+    urgent = F.coalesce(F.col("o_orderpriority").isin(*URGENT), F.lit(False))
     segment = F.array_position(F.array(*[F.lit(s) for s in SEGMENTS]), F.col("c_mktsegment"))
     customers = table(spark, sf_dir, "customer").select(
-        "c_custkey", segment.cast("int").alias("segment"), F.col("c_nationkey").alias("consumer")
+        "c_custkey", segment.cast("int").alias("segment"), F.col("c_nationkey").alias("consumer"), "c_mktsegment"
     )
+    if only.scenarios:
+        customers = customers.where(F.col("c_mktsegment").isin(*segments))
+    customers = customers.drop("c_mktsegment")
     date = F.col("o_orderdate")
     dated = table(spark, sf_dir, "orders").where(
-        (date >= F.lit(datetime(min(YEARS), 1, 1)).cast("timestamp_ntz"))
-        & (date < F.lit(datetime(max(YEARS) + 1, 1, 1)).cast("timestamp_ntz"))
+        (date >= F.lit(datetime(min(only.years), 1, 1)).cast("timestamp_ntz"))
+        & (date < F.lit(datetime(max(only.years) + 1, 1, 1)).cast("timestamp_ntz"))
     )
+    if len(policies) == 1:
+        dated = dated.where(urgent if policies == {2} else ~urgent)
     orders = dated.select(
         F.col("o_orderkey").alias("l_orderkey"),
         F.col("o_custkey").alias("c_custkey"),
@@ -99,7 +129,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sums(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> DataFrame:
+def sums(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL, only: Only = Only()) -> DataFrame:
     """The measures of ``base`` by each needed grouping set; ``set`` names the set."""
     wanted = sets_of(need)
     price = F.col("l_extendedprice")
@@ -116,7 +146,9 @@ def sums(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> DataFra
         }
     if PRICES in need:
         measures |= {"unit": unit, "retail": F.col("p_retailprice") * price}
-    rows = base(spark, sf_dir).select(*keys, *[c.alias(n) for n, c in measures.items()])
+    if LUC in need and only != Only():
+        raise ValueError("land-use runs need all scenarios and years")
+    rows = base(spark, sf_dir, only).select(*keys, *[c.alias(n) for n, c in measures.items()])
     totals = [F.sum(n).alias(n) for n in measures]
     if PRICES in need:
         totals += [F.count(F.lit(1)).alias("lines"), F.count("unit").alias("units")]
@@ -135,14 +167,14 @@ def _grouping_id(keys: list[str], grouped: list[str]) -> int:
     return int("".join("0" if k in grouped else "1" for k in keys), 2)
 
 
-def facts(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> FactTables:
+def facts(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL, only: Only = Only()) -> FactTables:
     """The needed groups of facts over one written pass through the star schema."""
-    return facts_from(materialize(sums(spark, sf_dir, need), "sums", by="set"), spark, sf_dir, need)
+    return facts_from(materialize(sums(spark, sf_dir, need, only), "sums", by="set"), spark, sf_dir, need)
 
 
-def facts_lazily(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL) -> FactTables:
+def facts_lazily(spark: SparkSession, sf_dir: str, need: Iterable[str] = ALL, only: Only = Only()) -> FactTables:
     """The same without a written pass, for a query that reads a fact once."""
-    return facts_from(sums(spark, sf_dir, need), spark, sf_dir, need)
+    return facts_from(sums(spark, sf_dir, need, only), spark, sf_dir, need)
 
 
 def facts_from(
