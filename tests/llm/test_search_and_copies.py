@@ -42,6 +42,32 @@ def signed(p: int) -> int:
     return p - (1 << 64) if p >> 63 else p
 
 
+def test_large_components_that_cancel_lose_no_row():
+    """Sums whose terms are 1e18 and whose value is small: rounding exceeds the value."""
+    rng = np.random.default_rng(5)
+    vectors = rng.integers(-50, 50, (3000, 6))
+    vectors[:, :2] = 10**9
+    queries = rng.integers(-50, 50, (100, 6))
+    queries[:, 0], queries[:, 1] = 10**9, -(10**9)
+    ids = np.arange(3000)
+    tree = kdtree.Tree.build(ids, vectors, leaf=32)
+    unknown = np.full(100, kdtree.UNKNOWN)
+    for (_, found, scores), query in zip(tree.search(queries, np.full(100, -1), 20, unknown), queries):
+        exact = vectors @ query
+        best = np.lexsort((ids, -exact))[:20]
+        assert found.tolist() == best.tolist() and scores.tolist() == exact[best].tolist()
+
+
+def test_scores_beyond_the_doubles_are_ranked_exactly(spark):
+    rows = [(k, [float(2**14), float(k % 5)]) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = kdtree.top_k(df, "vec_id = 3", k=8, scale=float(1 << 16), shard_rows=10).collect()
+    q = [[int(x * (1 << 16)) for x in v] for _, v in rows]
+    want = sorted(((-sum(a * b for a, b in zip(q[3], q[k])), k) for k in range(60) if k != 3))[:8]
+    got = {(r.rank, r.vec_id, r.score) for r in out}
+    assert got == {(i + 1, k, -s) for i, (s, k) in enumerate(want)}
+
+
 def test_fingerprint_equals_the_hash_of_the_engine(spark):
     text = "The Quick  brown\tfox"
     want = spark.sql("SELECT xxhash64('quick brown fox') AS h").first().h % (1 << 64)

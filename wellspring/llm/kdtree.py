@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from wellspring.llm.common import narrow, written
 
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16_384, 16_384, 256
+#: The k-th score of a query that has fewer than k candidates so far: no score is less.
+UNKNOWN = -(2**63)
 _FOUND = "query_id long, vec_id long, score long"
 
 
@@ -81,9 +83,12 @@ class Tree:
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, kth: np.ndarray) -> Iterator[tuple]:
         """(query id, ids, scores) of each query's candidates at or above its ``kth`` score."""
-        positive, negative = np.maximum(queries, 0), np.minimum(queries, 0)
-        bounds = positive.astype(float) @ self.high.T.astype(float) + negative.astype(float) @ self.low.T.astype(float)
-        bounds += 1e-9 * np.abs(bounds)  # sums of doubles may fall short by a rounding
+        positive, negative = np.maximum(queries, 0).astype(float), np.minimum(queries, 0).astype(float)
+        high, low = self.high.T.astype(float), self.low.T.astype(float)
+        bounds = positive @ high + negative @ low
+        # a sum of doubles falls short by at most so much of the sum of its terms' sizes,
+        # which cancelling terms leave far greater than the sum itself
+        bounds += (queries.shape[1] + 4) * 2.0**-51 * (positive @ np.abs(high) - negative @ np.abs(low))
         for query, own, least, bound in zip(queries, query_ids.tolist(), kth.tolist(), bounds.tolist()):
             best_ids, best_scores, floor = np.empty(0, np.int64), np.empty(0, np.int64), least
             frontier = [(-bound[0], 0)]
@@ -107,7 +112,7 @@ class Tree:
                     top = np.lexsort((best_ids, -best_scores))[:k]
                     best_ids, best_scores = best_ids[top], best_scores[top]
                     if len(top) == k:
-                        floor = max(floor, float(best_scores[-1]))
+                        floor = max(floor, int(best_scores[-1]))
             yield own, best_ids, best_scores
 
 
@@ -133,7 +138,7 @@ def _search(k: int):
         greatest = float(np.abs(vectors).max(initial=0)) * float(np.abs(wanted).max(initial=0)) * max(width, 1)
         kind = np.float64 if greatest < 2.0**52 else np.int64
         tree = Tree.build(shard.column("vec_id").to_numpy(), vectors.astype(kind))
-        kth = queries.column("kth").to_numpy(zero_copy_only=False).astype(float)
+        kth = queries.column("kth").to_numpy(zero_copy_only=False)
         found = [(q, i, s) for q, i, s in tree.search(wanted.astype(kind), queries.column("vec_id").to_numpy(), k, kth) if len(i)]
         if not found:
             return empty
@@ -160,7 +165,7 @@ def top_k(
     asked = vectors.where(is_query).groupBy("vec_id").agg(F.max("vector").alias("vector"))
     asked = written(asked.withColumn("home", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards))))
 
-    unknown = asked.withColumn("kth", F.lit(float("-inf")))
+    unknown = asked.withColumn("kth", F.lit(UNKNOWN).cast("long"))
     home = written(
         unknown.withColumnRenamed("home", "shard").groupBy("shard").cogroup(placed.groupBy("shard"))
         .applyInArrow(_swapped(k), _FOUND)
@@ -168,11 +173,11 @@ def top_k(
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     # the k-th score so far; of fewer than k candidates nothing is known yet
     floor = home.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select(
-        F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("kth")
+        F.col("query_id").alias("vec_id"), F.col("score").alias("kth")
     )
     blocks = max(1, -(-asked.count() // block_rows))
     travelling = asked.join(floor, "vec_id", "left").select(
-        "vec_id", "vector", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), "home",
+        "vec_id", "vector", F.coalesce("kth", F.lit(UNKNOWN)).alias("kth"), "home",
         F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).alias("block"),
     )
     every = travelling.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"))).where("shard <> home").drop("home")
