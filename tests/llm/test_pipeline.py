@@ -13,6 +13,7 @@ from test_search_and_copies import brute_classes, brute_print
 from test_text_operators import crc, library
 
 from wellspring.llm import language, toxicity
+from wellspring.llm.common import FOLDERS, discard, written
 from wellspring.llm.queries import TOKENIZERS, TOXICITY
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -68,8 +69,42 @@ def test_result_equals_the_stages_by_hand(spark, folder):
     want = Counter(
         (i, s, len(x[s : s + 1024]), crc(x[s : s + 1024]), len(x)) for i, x in ids.items() for s in range(0, len(x), 1024)
     )
+    before = list(FOLDERS)
     got = corpus_pipeline.run(spark, folder).collect()
+    assert FOLDERS[:-1] == before and os.path.isdir(FOLDERS[-1].removeprefix("file:"))  # only the result stays
     assert Counter(tuple(r)[:5] for r in got) == want
     assert 9000 not in kept or 9001 not in kept
     filled = np.bincount([r.sequence_id for r in got], [r.length for r in got])
     assert filled.max() <= 1024 and (filled > 0).all()
+
+
+def test_empty_tables_and_odd_documents(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    empty = str(tmp_path / "empty")
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    labels.limit(0).write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
+
+    odd = str(tmp_path / "odd")
+    rows = [tuple(r) for r in docs.limit(40).collect()]
+    rows += [(None, "word " * 50_000, "en", "s", 1), (None, None, None, None, None), (7, "x" * 300_000, None, None, None)]
+    wide = spark.createDataFrame(rows, docs.schema)
+    for name in ("kept", "length", "sequence_id", "fingerprint", "spans"):
+        wide = wide.withColumn(name, wide["n_chars"])
+    wide.write.parquet(f"{odd}/documents.parquet")
+    labels.withColumn("text", labels["toxic"]).write.parquet(f"{odd}/labels.parquet")
+    packed = corpus_pipeline.run(spark, odd)
+    assert packed.where("length > 1024").count() == 0 and packed.count() > 0
+
+
+def test_discarded_tables_are_gone(spark):
+    before = len(FOLDERS)
+    kept = written(spark.range(3))
+    gone, last = written(spark.range(4)), written(spark.range(5))
+    paths = FOLDERS[before:]
+    discard(spark, since=before + 1, keep=1)
+    assert [os.path.isdir(p.removeprefix("file:")) for p in paths] == [True, False, True]
+    assert kept.count() == 3 and last.count() == 5 and gone.schema == kept.schema
+    discard(spark, since=before)
+    assert FOLDERS[before:] == []

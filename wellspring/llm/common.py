@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import itertools
 import os
 import re
 import struct
@@ -11,13 +13,18 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows turned into Python objects at a time inside a task.
 ROWS_AT_ONCE = 256
-#: Distinct chunks a worker's young generation remembers before it becomes the old one.
+#: Distinct chunks that a worker's caches remember before they start anew.
 CACHE_CHUNKS = 200_000
+#: Distinct chunks that a tokenizer remembers (about 200 bytes each); it starts anew beyond them.
+TOKEN_CHUNKS = 600_000
+#: Distinct matches whose merges a tokenizer remembers (about 170 bytes each).
+TOKEN_MATCHES = 400_000
 #: Groups that a training sample is drawn from, at most.
 MAX_GROUPS = 500
 
@@ -54,13 +61,45 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+#: Folders that this process has had tables written to, in order.
+FOLDERS: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and scanned from there: its lineage ends."""
     path = shared_folder(df.sparkSession)
+    FOLDERS.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Remove the tables written since there were ``since`` folders, but for the last ``keep``.
+
+    What still reads them can no longer be computed: call it when their results are written.
+    """
+    end = len(FOLDERS) - keep
+    for path in FOLDERS[since:end]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del FOLDERS[since:end]
+
+
+#: Bytes of text that are encoded at a time, about.
+BYTES_AT_ONCE = 8 << 20
+
+
+def slices_by_size(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut where the texts of column ``at`` together reach ``BYTES_AT_ONCE``."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        group = (np.cumsum(sizes, dtype=np.int64) - 1).clip(0) // BYTES_AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            if end > begin:
+                yield batch.slice(begin, end - begin)
+
+
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut small enough to be turned into Python objects."""
     for batch in batches:
@@ -158,14 +197,52 @@ def _byte_characters() -> dict[int, int]:
     return dict(zip(visible, visible)) | {b: 256 + k for k, b in enumerate(hidden)}
 
 
+class _Store:
+    """Sequences of ids end to end, found by number."""
+
+    def __init__(self) -> None:
+        self.starts, self.lengths = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+
+    def add(self, ids: np.ndarray, lengths: np.ndarray) -> range:
+        first = len(self.starts)
+        starts = len(self.ids) + np.cumsum(lengths) - lengths
+        self.starts = np.concatenate([self.starts, starts.astype(np.int32)])
+        self.lengths = np.concatenate([self.lengths, lengths.astype(np.int32)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
+        return range(first, len(self.starts))
+
+    def laid_out(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of many sequences end to end, and the length of each."""
+        lengths = self.lengths[places]
+        whole = np.cumsum(lengths, dtype=np.int64)
+        if len(whole) and whole[-1] >= 1 << 31:  # a batch of one text of many gigabytes
+            shift, steps = self.starts[places] - (whole - lengths), np.int64
+        else:
+            shift, steps = self.starts[places] - (whole - lengths).astype(np.int32), np.int32
+        at = np.repeat(shift, lengths)
+        at += np.arange(len(at), dtype=steps)
+        return self.ids[at], lengths
+
+
+#: What Python counts as white space, as a class for Arrow's regular expressions.
+_SPACE_CLASS = (
+    r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+)
+_NEXT_TO_SPACE = f"{_SPACE_CLASS} | {_SPACE_CLASS}"
+_NOT_PLAIN = r"[^\n\x20-~\x{a1}-\x{ff}]"
+
+
 class CachedTokenizer:
     """Ids of whole texts by a tokenizers file, remembering the ids of space-separated chunks.
 
     Results equal those of the library on the whole text: chunks are cut where neither the
-    normalizer nor the pre-tokenizer of the file looks across. New chunks of plain
-    characters are split here and merged by the library's model; any other chunk goes
-    through the library as it is. ``word_ends`` tells a file that drops white space and
-    lower-cases from a byte-level one.
+    normalizer nor the pre-tokenizer of the file looks across. Arrow cuts the texts of a batch
+    and numbers their distinct chunks; only those are looked up, and numpy lays the ids of all
+    chunks end to end. New chunks of plain characters are, for the same reason, split as one
+    text, and each new match is merged by the library's model; any other chunk goes through
+    the library as it is. ``word_ends`` tells a file that drops white space and lower-cases
+    from a byte-level one.
     """
 
     def __init__(self, path: str, word_ends: bool):
@@ -178,49 +255,144 @@ class CachedTokenizer:
         self.model = self.tokenizer.model
         self.matches = (_WORD_MATCHES if word_ends else _BYTE_MATCHES).findall
         self.characters = _byte_characters()
-        self.merged: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}  # frequent chunks come back from here
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _chunks(self, text: str) -> list[str]:
-        if not self.word_ends:
-            return space_chunks(text)
-        return [text] if _SEPARATORS.search(text) else text.split()
-
-    def _merge(self, match: str) -> bytes:
-        word = match.encode().decode("latin-1").translate(self.characters)
-        ids = self.merged[match] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
-        return ids
-
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.merged) > CACHE_CHUNKS:
-            self.merged.clear()
-        merged, other = self.merged, []
-        for chunk in missing:
-            if _PLAIN.fullmatch(chunk):
-                found = self.matches(chunk.lower() if self.word_ends else chunk)
-                self.cache[chunk] = b"".join([merged.get(m) or self._merge(m) for m in found])
+        self.merged: dict[str, int] = {}
+        self.of_matches = _Store()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}  # chunk to its number in the store
+        self.spaced: dict[str, int] = {}  # the same without the space that it begins with
+        self.of_chunks = _Store()
+
+    def _merge(self, matches: list[str]) -> None:
+        """Merge new matches by the library's model."""
+        if len(self.merged) > TOKEN_MATCHES:
+            self.merged, self.of_matches = {}, _Store()
+        words = "\0".join(matches).encode().decode("latin-1").translate(self.characters)
+        merge = self.model.tokenize
+        ids = [[t.id for t in merge(w)] for w in words.split(chr(self.characters[0]))]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        self.merged.update(zip(matches, self.of_matches.add(flat, lengths)))
+
+    def _split(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks that may stand side by side, end to end, and how many each has."""
+        if self.word_ends:
+            chunks = [c.lower() for c in chunks]  # keeps the number of plain characters
+        found = self.matches((" " if self.word_ends else "").join(chunks))
+        get = self.merged.get
+        numbers = list(map(get, found))
+        if None in numbers:
+            new = list(dict.fromkeys([m for m, k in zip(found, numbers) if k is None]))
+            before = self.of_matches
+            self._merge(new)
+            if self.of_matches is not before:  # all were forgotten: merge what is needed again
+                self._merge([m for m in dict.fromkeys(found) if m not in self.merged])
+                get = self.merged.get
+            numbers = list(map(get, found))
+        ids, lengths = self.of_matches.laid_out(np.array(numbers, np.int64))
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        last = np.searchsorted(np.cumsum(np.fromiter(map(len, found), np.int64, len(found))), ends) + 1
+        upto = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])[last]
+        return ids, np.diff(upto, prepend=0)
+
+    def _apart(self, chunk: str) -> bool:
+        """Whether a chunk between others could change their ids or its own."""
+        if self.word_ends:
+            return chunk == "" or "\n" in chunk or " " in chunk
+        return len(chunk) < 2 or chunk[0] != " " or chunk[1] == "\n" or chunk[1] == " " or chunk[-1] == "\n" or chunk[-1] == " "
+
+    def _learn(self, missing: list[str]) -> Iterator[tuple[str, int]]:
+        """Encode new chunks; yields each with its number."""
+        plain = missing
+        if not _PLAIN.fullmatch("".join(missing)):
+            plain = [c for c in missing if _PLAIN.fullmatch(c)]
+        apart = [c for c in plain if self._apart(c)]
+        if apart or len(plain) < len(missing):
+            other = dict.fromkeys([*apart, *set(missing).difference(plain)])
+            plain = [c for c in missing if c not in other]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False)]
+            lengths = np.array([len(i) for i in ids], np.int64)
+            yield from zip(other, self.of_chunks.add(np.concatenate([np.asarray(i, np.uint32) for i in ids]), lengths))
+        if plain:
+            yield from zip(plain, self.of_chunks.add(*self._split(plain)))
+
+    def _places(self, chunks: list[str], space: str = "") -> np.ndarray:
+        """The number of each chunk after ``space``; unknown ones are learned."""
+        known = self.spaced if space else self.known
+        found = list(map(known.get, chunks))
+        if None in found:
+            missing = list(dict.fromkeys([c for c, place in zip(chunks, found) if place is None]))
+            if space:
+                known.update((c[1:], k) for c, k in self._learn([space + c for c in missing]))
             else:
-                other.append(chunk)
-        for chunk, ids in zip(other, self._library(other) if other else []):
-            self.cache[chunk] = np.asarray(ids, dtype="<u4").tobytes()
+                known.update(self._learn(missing))
+            found = list(map(known.get, chunks))
+        return np.array(found, np.int32)
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the chunks of texts that Arrow can cut, and how many each text has."""
+        cut = pc.ascii_split_whitespace(texts) if self.word_ends else pc.split_pattern(texts, " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        numbered = cut.flatten().dictionary_encode()
+        distinct, codes = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        if self.word_ends:
+            return self._places(distinct)[codes], np.diff(offsets)
+        places = self._places(distinct, " ")[codes]
+        # the first chunk of a text has no space before it
+        firsts = offsets[:-1] - offsets[0]
+        places[firsts] = self._places([distinct[code] for code in codes[firsts].tolist()])
+        return places, np.diff(offsets)
+
+    def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text begins (one more than texts)."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if len(self.of_chunks.starts) > TOKEN_CHUNKS:
+            self._forget()
+        if self.word_ends:
+            apart = pc.match_substring_regex(texts, _NOT_PLAIN)
+        else:
+            apart = pc.match_substring_regex(texts, _NEXT_TO_SPACE)
+        apart = apart.to_numpy(zero_copy_only=False)
+        counts, here = np.zeros(len(texts), np.int64), np.flatnonzero(~apart)
+        places, chunks = [], []
+        if len(here):
+            plain, counts[here] = self._cut(texts.take(pa.array(here)))
+            places.append(plain)
+        for k in np.flatnonzero(apart).tolist():
+            text = texts[k].as_py()
+            cut = space_chunks(text) if not self.word_ends else [text] if _SEPARATORS.search(text) else text.split()
+            chunks += cut
+            counts[k] = len(cut)
+        if chunks:
+            places.append(self._places(chunks))
+        # places lie by text: first those cut by Arrow, then the others
+        order = np.concatenate([here, np.flatnonzero(apart)])
+        at = np.concatenate([*places, np.zeros(0, np.int32)])
+        ids, lengths = self.of_chunks.laid_out(at)
+        text_of = np.repeat(np.arange(len(texts)), counts[order])
+        sizes = np.bincount(text_of, weights=lengths, minlength=len(texts)).astype(np.int64)
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        if not apart.any():
+            return ids, offsets
+        begins = np.zeros(len(texts), np.int64)
+        begins[order] = offsets[:-1]
+        ends = np.zeros(len(texts), np.int64)
+        ends[order] = offsets[1:]
+        whole = [ids[b:e] for b, e in zip(begins.tolist(), ends.tolist())]
+        return np.concatenate([*whole, ids[:0]]), np.concatenate([[0], np.cumsum(ends - begins)])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        chunks = [self._chunks(t) for t in texts]
-        if len(self.cache) > CACHE_CHUNKS:
-            self.old, self.cache = self.cache, {}
-        missing = set().union(*chunks).difference(self.cache)
-        if known := missing.intersection(self.old):
-            self.cache.update((c, self.old[c]) for c in known)
-            missing -= known
-        if missing:
-            self._learn(missing)
-        get = self.cache.__getitem__
-        return [b"".join(map(get, c)) for c in chunks]
+        ids, offsets = self.encode_array(pa.array(texts, pa.large_string()))
+        data, at = ids.astype("<u4", copy=False).tobytes(), (4 * offsets).tolist()
+        return [data[b:e] for b, e in zip(at, at[1:])]
+
+
+@functools.lru_cache(maxsize=2)
+def cached_tokenizer(path: str, word_ends: bool) -> CachedTokenizer:
+    """The tokenizer of a file, kept by a Python worker from one task to the next."""
+    return CachedTokenizer(path, word_ends)
 
 
 def little_u4(number: int) -> bytes:

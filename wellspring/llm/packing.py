@@ -16,6 +16,7 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import CachedTokenizer, crc32_of, little_u4, narrow, slices, written
+from wellspring.llm.common import cached_tokenizer, narrow, slices_by_size, written
 
 #: Pieces that share a bucket of a length's numbering, about.
 BUCKET_ROWS = 250_000
@@ -38,20 +39,30 @@ def pieces(
     schema = _PIECE + (", ids array<long>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = CachedTokenizer(tokenizer_path, word_ends)
-        for batch in slices(batches):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            out: list[list] = [[] for _ in range(6 if with_ids else 5)]
-            for doc_id, data in zip(batch.column(0).to_pylist(), tokens.encode(texts)):
-                ids = np.frombuffer(data + little_u4(end_id), "<u4")
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    row = (doc_id, start, len(piece), crc32_of(piece), len(ids), piece.astype(np.int64))
-                    for values, value in zip(out, row):
-                        values.append(value)
-            types = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], names[: len(out)])
+        tokens = cached_tokenizer(tokenizer_path, word_ends)
+        for batch in slices_by_size(batches, 1):
+            ids, offsets = tokens.encode_array(batch.column(1))
+            ends = offsets[1:]
+            ids = np.insert(ids, ends, end_id)  # after each document
+            sizes = np.diff(offsets) + 1
+            begins = np.cumsum(sizes) - sizes
+            count = -(-sizes // capacity)  # pieces of each document
+            of = np.repeat(np.arange(len(sizes)), count)
+            start = (np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)) * capacity
+            length = np.minimum(sizes[of] - start, capacity)
+            at = begins[of] + start
+            data = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(data[4 * b : 4 * e]) for b, e in zip(at.tolist(), (at + length).tolist())]
+            columns = [
+                batch.column(0).take(pa.array(of)),
+                *(pa.array(c, pa.int64()) for c in (start, length, crc, sizes[of])),
+            ]
+            if with_ids:
+                bounds = pa.array(np.append(at, len(ids)), pa.int32())
+                columns.append(pa.ListArray.from_arrays(bounds, pa.array(ids.astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 6 if with_ids else 5]
 
     rows = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, schema)

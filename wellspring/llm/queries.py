@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
+from public_tokenizers import PATTERN
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +26,9 @@ from wellspring.llm import (
     toxicity,
 )
 
-#: Where the public vocabularies are, by file name; a parameter, never copied.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-
-
-def vocabulary(name: str) -> str:
-    return f"{TOKENIZERS}/{name}"
+#: Where the public vocabularies are, by file name; never copied.
+vocabulary = public_tokenizers.path
+TOKENIZERS = os.path.dirname(vocabulary("LICENSES.txt"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,10 +94,6 @@ def op9_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.array_join(runs, ",").alias("deleted"), "text")
 
 
-#: The splitting pattern of the rank file. Fixed value of the public vocabulary.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
 def op10_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded bytes of every document."""
     return bpe_tree.round_trip_digest(documents(spark, sf_dir), vocabulary("byte_bpe_multi_50k.tiktoken"), PATTERN)

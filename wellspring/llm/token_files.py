@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wellspring.llm.common import CachedTokenizer, crc32_of, little_u4, narrow, shared_folder, slices
+from wellspring.llm.common import cached_tokenizer, crc32_of, little_u4, narrow, shared_folder, slices_by_size
 
 MAGIC = b"WTID"
 HEADER, HEADER_BYTES = "<4sII32s", 44
@@ -57,6 +57,14 @@ class TokenFiles:
     dictionary_sha256: str
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a folder and the folder's path in it; s3a and s3n are read as s3."""
+    scheme, found, rest = folder.partition("://")
+    if not found:
+        return pafs.LocalFileSystem(), folder.removeprefix("file:")
+    return pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+
+
 def _serialized(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
@@ -99,10 +107,10 @@ def write(
     share = SAMPLE_DOCUMENTS / max(1, rows.count())
     drawn = rows.where(F.xxhash64("doc_id", "text") < F.lit(min(2.0**63, (share - 0.5) * 2.0**64)))
     sample = drawn.select(F.substring("text", 1, 8 * SAMPLE_IDS).alias("text")).limit(2 * SAMPLE_DOCUMENTS).collect()
-    encoded = CachedTokenizer(tokenizer_path, word_ends).encode([r.text for r in sample])
+    encoded = cached_tokenizer(tokenizer_path, word_ends).encode([r.text for r in sample])
     content = _dictionary([_serialized(e[: 4 * SAMPLE_IDS] + little_u4(end_id), width) for e in encoded])
     sha = hashlib.sha256(content).digest()
-    fs, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    fs, root = file_system(folder)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary") as out:
         out.write(content)
@@ -110,12 +118,12 @@ def write(
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"shard-{task.partitionId():06d}-{task.taskAttemptId()}.ids"
-        files = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")[0]
-        tokens = CachedTokenizer(tokenizer_path, word_ends)
+        files = file_system(folder)[0]
+        tokens = cached_tokenizer(tokenizer_path, word_ends)
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_loaded(content), write_content_size=True)
         index, total, at = [], 0, HEADER_BYTES
         out = None
-        for batch in slices(batches):
+        for batch in slices_by_size(batches, 1):
             if out is None:
                 out = files.open_output_stream(f"{root}/{name}")
                 out.write(struct.pack(HEADER, MAGIC, 1, width, sha))
@@ -149,7 +157,7 @@ class ShardReader:
     """One shard file: whole scans, or single documents through the index."""
 
     def __init__(self, folder: str, file: str):
-        fs, root = pafs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        fs, root = file_system(folder)
         self.source = fs.open_input_file(f"{root}/{file}")
         self.source.seek(self.source.size() - FOOTER_BYTES)
         at, count, self.ids, check, magic = struct.unpack(FOOTER, self.source.read(FOOTER_BYTES))
