@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wellspring.functions import exact
+
 NAN = float("nan")
 INFINITY = float("inf")
 
@@ -35,12 +37,14 @@ def ieee_div(n: Column, d: Column) -> Column:
 
 def strict_sum(c: Column) -> Column:
     """Sum that is NULL as soon as one term is NULL."""
-    return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+    total = exact.exact_sum(c) if exact.wanted() else F.sum(c)
+    return F.when(F.count(c) == F.count(F.lit(1)), total)
 
 
 def sum_present(c: Column) -> Column:
     """Sum over the terms that are neither NULL nor NaN; 0 when there are none."""
-    return F.coalesce(F.sum(F.when(~missing(c), c)), F.lit(0.0))
+    present = F.when(~missing(c), c)
+    return F.coalesce(exact.exact_sum(present) if exact.wanted() else F.sum(present), F.lit(0.0))
 
 
 #: Doubles from here on have no digits left behind a unit of 1e-15 of their size.

@@ -514,6 +514,12 @@ def queries() -> dict[str, str]:
         "mappings_csv": text["tailpipe_co2"],
         "lca_ghg_standard": "SELECT scenario, fuel, GHG, source, year, kgCO2e_GJ FROM ghg_standard",
     }
+    # whole units and their 2**52nd parts are whole numbers, which add without error
+    text["outputs_sector_exact"] = f"""SELECT scenario, sector, year,
+        (sum(trunc(x)::HUGEINT) * (1::HUGEINT << 52) + sum(((x - trunc(x)) * 4503599627370496)::HUGEINT))::DOUBLE
+          / 4503599627370496 / 1e6 AS value
+        FROM (SELECT scenario, sector, year, l_extendedprice::DOUBLE AS x FROM base
+              WHERE l_returnflag <> 'R' AND year IN {YEARS}) GROUP BY ALL"""
     text["land_use_by_region"] = text["land_leaves_summed"]
     tied = f"""(SELECT luc_run AS scenario, 2 * year - {P.years[0]} AS year, (min(value) + max(value)) / 2 AS value FROM (
         SELECT luc_run, year, sum(l_extendedprice) / 1e6 AS value

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wellspring.functions import catalog, series
+from wellspring.functions.exact import exact_sum
 from wellspring.functions.numeric import strict_sum
 from wellspring.operators import assemble, flows, intensity, luc
 from wellspring.params import LcaParams
@@ -26,7 +27,7 @@ from wellspring.sources.project import Project
 from wellspring.sources.tables import folder_of, read_fact, read_results
 from wellspring.sources.workspace import new_folder
 from wellspring.standin.config import MAPPINGS, PARAMS, SEGMENTS
-from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, Only, facts, facts_lazily, table
+from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, Only, base, facts, facts_lazily, named, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 OUTPUTS_TITLE = "outputs by tech"
@@ -299,6 +300,15 @@ def lca_ghg_standard(spark, sf_dir):
     return LcaPlan(facts(spark, sf_dir, [FLOWS, LUC]), MAPPINGS, PARAMS.with_(greet_convention=False)).ghg
 
 
+def outputs_sector_exact(spark, sf_dir):
+    """Output by sector, summed exactly from single order lines: compared to the last bit."""
+    rows = base(spark, sf_dir).where(F.col("l_returnflag") != "R")
+    total = exact_sum(F.col("l_extendedprice")) / F.lit(1e6)
+    return named(rows.groupBy("segment", "policy", "consumer", "year").agg(total.alias("value"))).select(
+        "scenario", "sector", "year", "value"
+    )
+
+
 def land_use_by_region(spark, sf_dir):
     """Land-use rows that are by region already, within the year bounds."""
     rows = facts_lazily(spark, sf_dir, [LUC]).luc_by_region.withColumn("year", F.col("year") + 15)
@@ -477,6 +487,7 @@ QUERIES: dict[str, Query] = {
         results_reread,
         mappings_csv,
         lca_ghg_standard,
+        outputs_sector_exact,
         land_use_by_region,
         ties_interpolated,
         ties_interpolated_sql,
