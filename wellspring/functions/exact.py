@@ -51,15 +51,16 @@ def exact_sum(c: Column) -> Column:
         F.coalesce(F.sum(((above - below) / F.lit(u)).cast("bigint")), F.lit(0).cast("bigint"))
         for above, below, u in zip(rests, rests[1:], _UNITS)
     ]
-    # carry, so that all parts but the first lie between 0 and the unit above
-    size = F.lit(1 << _BITS)
+    # carry, so that all parts but the first are at most half the unit above, of either sign:
+    # adding them, least first, then loses no more than the last bit
+    half = F.lit(1 << (_BITS - 1))
     total = None
     carry = F.lit(0).cast("bigint")
     for part, unit in reversed(list(zip(sums[1:], _UNITS[1:]))):
         whole = part + carry
-        term = F.pmod(whole, size).cast("double") * F.lit(unit)
+        carry = F.shiftright(whole + half, _BITS)
+        term = (whole - F.shiftleft(carry, _BITS)).cast("double") * F.lit(unit)
         total = term if total is None else total + term
-        carry = F.shiftright(whole, _BITS)  # rounds down
     total = total + (sums[0] + carry).cast("double") * F.lit(_UNITS[0])
     others = F.sum(F.when(~inside | F.isnan(c), c))
     return F.when(F.count(c) > 0, F.when(others.isNull(), total).otherwise(others + total))
