@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 ROWS_AT_ONCE = 256
 #: Distinct chunks that a worker's caches remember before they start anew.
 CACHE_CHUNKS = 200_000
-#: Distinct chunks that a tokenizer remembers (about 200 bytes each); it starts anew beyond them.
-TOKEN_CHUNKS = 600_000
+#: Distinct chunks that a tokenizer remembers (about 50 bytes each); it starts anew beyond them.
+TOKEN_CHUNKS = 1_000_000
 #: Distinct matches whose merges a tokenizer remembers (about 170 bytes each).
-TOKEN_MATCHES = 400_000
+TOKEN_MATCHES = 300_000
 #: Groups that a training sample is drawn from, at most.
 MAX_GROUPS = 500
 
@@ -86,7 +86,7 @@ def discard(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
 
 
 #: Bytes of text that are encoded at a time, about.
-BYTES_AT_ONCE = 8 << 20
+BYTES_AT_ONCE = 4 << 20
 
 
 def slices_by_size(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
@@ -238,8 +238,8 @@ class CachedTokenizer:
 
     Results equal those of the library on the whole text: chunks are cut where neither the
     normalizer nor the pre-tokenizer of the file looks across. Arrow cuts the texts of a batch
-    and numbers their distinct chunks; only those are looked up, and numpy lays the ids of all
-    chunks end to end. New chunks of plain characters are, for the same reason, split as one
+    and numbers their distinct chunks, and looks those up among the known; numpy lays the ids
+    of all chunks end to end. New chunks of plain characters are, for the same reason, split as one
     text, and each new match is merged by the library's model; any other chunk goes through
     the library as it is. ``word_ends`` tells a file that drops white space and lower-cases
     from a byte-level one.
@@ -260,8 +260,8 @@ class CachedTokenizer:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}  # chunk to its number in the store
-        self.spaced: dict[str, int] = {}  # the same without the space that it begins with
+        self.known = {space: pa.array([], pa.large_string()) for space in ("", " ")}  # chunks after it
+        self.places = {space: np.zeros(0, np.int32) for space in ("", " ")}  # their numbers in the store
         self.of_chunks = _Store()
 
     def _merge(self, matches: list[str]) -> None:
@@ -302,50 +302,54 @@ class CachedTokenizer:
             return chunk == "" or "\n" in chunk or " " in chunk
         return len(chunk) < 2 or chunk[0] != " " or chunk[1] == "\n" or chunk[1] == " " or chunk[-1] == "\n" or chunk[-1] == " "
 
-    def _learn(self, missing: list[str]) -> Iterator[tuple[str, int]]:
-        """Encode new chunks; yields each with its number."""
-        plain = missing
-        if not _PLAIN.fullmatch("".join(missing)):
-            plain = [c for c in missing if _PLAIN.fullmatch(c)]
-        apart = [c for c in plain if self._apart(c)]
-        if apart or len(plain) < len(missing):
-            other = dict.fromkeys([*apart, *set(missing).difference(plain)])
-            plain = [c for c in missing if c not in other]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(other), add_special_tokens=False)]
-            lengths = np.array([len(i) for i in ids], np.int64)
-            yield from zip(other, self.of_chunks.add(np.concatenate([np.asarray(i, np.uint32) for i in ids]), lengths))
-        if plain:
-            yield from zip(plain, self.of_chunks.add(*self._split(plain)))
-
-    def _places(self, chunks: list[str], space: str = "") -> np.ndarray:
-        """The number of each chunk after ``space``; unknown ones are learned."""
-        known = self.spaced if space else self.known
-        found = list(map(known.get, chunks))
-        if None in found:
-            missing = list(dict.fromkeys([c for c, place in zip(chunks, found) if place is None]))
-            if space:
-                known.update((c[1:], k) for c, k in self._learn([space + c for c in missing]))
-            else:
-                known.update(self._learn(missing))
-            found = list(map(known.get, chunks))
-        return np.array(found, np.int32)
+    def _learn(self, missing: list[str]) -> np.ndarray:
+        """Encode new chunks; returns the number of each."""
+        numbers = np.zeros(len(missing), np.int32)
+        if _PLAIN.fullmatch("".join(missing)):
+            apart = np.array([k for k, c in enumerate(missing) if self._apart(c)], np.int64)
+        else:
+            apart = np.array([k for k, c in enumerate(missing) if self._apart(c) or not _PLAIN.fullmatch(c)], np.int64)
+        if len(apart):
+            encoded = self.tokenizer.encode_batch_fast([missing[k] for k in apart.tolist()], add_special_tokens=False)
+            ids = [np.asarray(e.ids, np.uint32) for e in encoded]
+            numbers[apart] = self.of_chunks.add(np.concatenate(ids), np.array([len(i) for i in ids]))
+        if len(apart) < len(missing):
+            side_by_side = np.delete(np.arange(len(missing)), apart)
+            chunks = [missing[k] for k in side_by_side.tolist()] if len(apart) else missing
+            numbers[side_by_side] = self.of_chunks.add(*self._split(chunks))
+        return numbers
+
+    def _places(self, chunks: pa.Array, space: str = "") -> np.ndarray:
+        """The number of each of distinct chunks after ``space``; unknown ones are learned."""
+        known = pc.index_in(chunks, value_set=self.known[space])
+        missing = known.is_null().to_numpy(zero_copy_only=False)
+        places = np.zeros(len(chunks), np.int32)
+        places[~missing] = self.places[space][known.drop_null().to_numpy()]
+        if missing.any():
+            new = chunks.filter(pa.array(missing))
+            places[missing] = numbers = self._learn([space + c for c in new.to_pylist()] if space else new.to_pylist())
+            self.known[space] = pa.concat_arrays([self.known[space], new])
+            self.places[space] = np.concatenate([self.places[space], numbers])
+        return places
 
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of the chunks of texts that Arrow can cut, and how many each text has."""
         cut = pc.ascii_split_whitespace(texts) if self.word_ends else pc.split_pattern(texts, " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         numbered = cut.flatten().dictionary_encode()
-        distinct, codes = numbered.dictionary.to_pylist(), numbered.indices.to_numpy()
+        distinct, codes = numbered.dictionary, numbered.indices.to_numpy()
         if self.word_ends:
             return self._places(distinct)[codes], np.diff(offsets)
         places = self._places(distinct, " ")[codes]
         # the first chunk of a text has no space before it
         firsts = offsets[:-1] - offsets[0]
-        places[firsts] = self._places([distinct[code] for code in codes[firsts].tolist()])
+        used, which = np.unique(codes[firsts], return_inverse=True)
+        places[firsts] = self._places(distinct.take(pa.array(used)))[which]
         return places, np.diff(offsets)
 
     def encode_array(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, and where each text begins (one more than texts)."""
+        pa.default_memory_pool().release_unused()
         texts = texts.cast(pa.large_string()).fill_null("")
         if len(self.of_chunks.starts) > TOKEN_CHUNKS:
             self._forget()
@@ -365,7 +369,8 @@ class CachedTokenizer:
             chunks += cut
             counts[k] = len(cut)
         if chunks:
-            places.append(self._places(chunks))
+            numbered = pa.array(chunks, pa.large_string()).dictionary_encode()
+            places.append(self._places(numbered.dictionary)[numbered.indices.to_numpy()])
         # places lie by text: first those cut by Arrow, then the others
         order = np.concatenate([here, np.flatnonzero(apart)])
         at = np.concatenate([*places, np.zeros(0, np.int32)])
