@@ -266,11 +266,11 @@ def close_runs(spark, m, p, edges, **kw):
 
 def test_convergence_of_a_cycle(spark, m, p):
     edges = {None: {"a": 1.0}, "a": {"b": 0.4, "regional coal": 1.0}, "b": {"a": 0.3, "N2O": 2.0}}
-    found, runs, got = close_runs(spark, m, p, edges, tolerance=1e-9)
+    found, runs, got = close_runs(spark, m, p, edges, tolerance=1e-4)
     assert len(runs) == 1
     # open flow after k steps: 0.12 ** (k // 2), times 0.4 if k is odd
     left = [0.12 ** (k // 2) * (0.4 if k % 2 else 1.0) for k in range(40)]
-    depth = next(k for k, x in enumerate(left) if x <= 1e-9)
+    depth = next(k for k, x in enumerate(left) if x <= 1e-4)
     assert runs[0].depth == depth and runs[0].open == pytest.approx(left[depth]) and runs[0].first == 1.0
     missing = 1 / (1 - 0.12) - got["regional coal"]
     assert 0 <= missing <= runs[0].bound == pytest.approx(left[depth] * 1.0 / (1 - 0.4))
@@ -282,21 +282,21 @@ def test_convergence_of_a_cycle(spark, m, p):
 
 def test_runs_end_one_by_one(spark, m, p):
     runs = []
-    for scenario, back in (("slow", 0.9), ("fast", 0.01), ("never", 1.5)):
+    for scenario, back in (("slow", 0.7), ("fast", 0.01), ("never", 1.5)):
         runs.append(graph(spark, FUEL, {None: {"a": 1.0}, "a": {"a": back, "regional coal": 1.0}}, 1.0, scenario))
     runs.append(graph(spark, FUEL, {None: {"regional coal": 1.0}}, 1.0, "direct"))
     out, inp = runs[0]
     for o, i in runs[1:]:
         out, inp = out.unionByName(o), inp.unionByName(i)
-    found = upstream.upstream_converge(out, inp, m, p, tolerance=1e-3, most=70)
+    found = upstream.upstream_converge(out, inp, m, p, tolerance=2e-2, most=14)
     state = {r.scenario: r for r in found.runs.collect()}
     assert set(state) == {"slow", "fast", "never"}
-    assert (state["slow"].depth, state["fast"].depth, state["never"].depth) == (66, 2, 70)
-    assert state["never"].bound is None and state["fast"].bound == pytest.approx(1e-4 / 0.99)
-    assert state["slow"].bound == pytest.approx(0.9**66 / 0.1)
+    assert (state["slow"].depth, state["fast"].depth, state["never"].depth) == (11, 1, 14)
+    assert state["never"].bound is None and state["fast"].bound == pytest.approx(0.01 / 0.99)
+    assert state["slow"].bound == pytest.approx(0.7**11 / 0.3)
     got = collected(found.absorbed.select("scenario", "value"), "scenario")
-    assert got["slow"] == pytest.approx((1 - 0.9**66) / 0.1)
-    assert got["fast"] == pytest.approx(1.01)
+    assert got["slow"] == pytest.approx((1 - 0.7**11) / 0.3)
+    assert got["fast"] == pytest.approx(1.0)
     assert got["direct"] == 1.0
 
 
