@@ -123,7 +123,8 @@ def base(spark: SparkSession, sf_dir: str, only: Only = Only()) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_retailprice")
     return (
         table(spark, sf_dir, "lineitem")
-        .join(orders.join(customers, "c_custkey"), "l_orderkey")
+        # orders grow with their lines: both are always shuffled and merged, never broadcast
+        .join(orders.join(customers, "c_custkey").hint("merge"), "l_orderkey")
         .join(suppliers, "l_suppkey")
         .join(parts, "l_partkey")
     )
