@@ -100,6 +100,29 @@ def test_encode_decode_and_digest(spark, documents, odd, tiktoken_ids):
     assert bpe_tree.round_trip_digest(documents([]), path, PATTERN).count() == 0
 
 
+def test_decoding_is_a_tree_reduction(ranks, monkeypatch):
+    rng, tree = random.Random(4), bpe_tree.MergeTree(ranks)
+    ids = [rng.randrange(1000) for _ in range(5000)]
+    flat = b"".join(tree.bytes_of[i] for i in ids)
+    leaves = []
+    monkeypatch.setattr(bpe_tree, "LEAF_IDS", 7)
+    plain = bpe_tree.MergeTree.decode
+    monkeypatch.setattr(bpe_tree.MergeTree, "decode", lambda self, x: (len(x) <= 7 and leaves.append(len(x))) or plain(self, x))
+    assert tree.decode(ids) == flat and sum(leaves) == 5000 and max(leaves) <= 7
+    assert tree.decode([]) == b"" and tree.decode(ids[:123]) + tree.decode(ids[123:]) == flat
+
+
+def test_digests_decode_the_ids_of_the_document(ranks):
+    encoder = bpe_tree.TextEncoder(ranks, PATTERN)
+    text = "the cat and the dog " * 200
+    n, decimals, data = encoder.digested(text)
+    ids = [int(i) for i in decimals.decode().split(",")[:-1]]
+    assert data == text.encode() and n == len(ids)
+    encoder.tree.bytes_of[ids[0]] = b"?"
+    assert encoder.digested(text)[2] == b"".join(encoder.tree.bytes_of[i] for i in ids) != data
+
+
+
 def test_token_files_round_trip(spark, documents, odd):
     rows = odd + [(100 + k, f"document number {k} of many") for k in range(60)]
     files = token_files.write(documents(rows), vocabulary("word_bpe_49k.json"), end_id=1, vocabulary=49_408)

@@ -4,8 +4,8 @@ Ids of a byte string by rank merges are the only sequence of tokens in which eve
 neighbours are what their own joined bytes encode to: merges inside a pair's bytes do not
 depend on bytes outside it, as long as no merge crosses the pair's ends. So two encoded
 halves are joined by re-encoding a window around the border, which grows until the pairs at
-both of its ends hold; tokens outside are then final. Decoding concatenates token bytes,
-which is associative, so documents are decoded up the same tree.
+both of its ends hold; tokens outside are then final. Decoding is the same reduction with
+a plain concatenation: the halves of a document's ids are decoded alone and joined up the tree.
 
 Each match of the splitting pattern is encoded by itself; texts are cut at spaces where no
 match can cross (see ``space_chunks``) and what a chunk encodes to is remembered.
@@ -29,6 +29,8 @@ from wellspring.llm.common import CACHE_CHUNKS, narrow, slices, space_chunks
 
 #: Byte strings up to this length are merged directly.
 LEAF_BYTES = 32
+#: Ids up to this number are decoded directly.
+LEAF_IDS = 256
 _NONE = 1 << 62
 
 
@@ -122,8 +124,11 @@ class MergeTree:
         return self.joined(self._halves(data[:middle]), self._halves(data[middle:]))
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of ids, concatenated."""
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Bytes of ids, by halves: token bytes are joined in the leaves, the halves up the tree."""
+        if len(ids) <= LEAF_IDS:
+            return b"".join(map(self.bytes_of.__getitem__, ids))
+        middle = len(ids) // 2
+        return self.decode(ids[:middle]) + self.decode(ids[middle:])
 
 
 class TextEncoder:
@@ -134,8 +139,8 @@ class TextEncoder:
 
         self.tree = MergeTree(ranks)
         self.matches = regex.compile(pattern).findall
-        self.young: dict[str, tuple[int, bytes, bytes]] = {}
-        self.old: dict[str, tuple[int, bytes, bytes]] = {}
+        self.young: dict[str, tuple[list[int], bytes]] = {}
+        self.old: dict[str, tuple[list[int], bytes]] = {}
         self.matched: dict[str, list[int]] = {}
 
     def ids(self, text: str) -> list[int]:
@@ -152,24 +157,22 @@ class TextEncoder:
         return out
 
     def digested(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, decimal ids each followed by a comma, and the decoded bytes."""
-        young, found = self.young, []
+        """Number of ids, decimal ids each followed by a comma, and the bytes that all the ids decode to."""
+        young, all_ids, decimals = self.young, [], []
         for chunk in space_chunks(text):
             entry = young.get(chunk)
             if entry is None:
                 entry = self.old.get(chunk)
                 if entry is None:
                     ids = self.ids(chunk)
-                    entry = len(ids), "".join([f"{i}," for i in ids]).encode(), self.tree.decode(ids)
+                    entry = ids, "".join([f"{i}," for i in ids]).encode()
                 if len(chunk) <= 64:
                     young[chunk] = entry
-            found.append(entry)
+            all_ids += entry[0]
+            decimals.append(entry[1])
         if len(young) > CACHE_CHUNKS:
             self.old, self.young = young, {}
-        if not found:
-            return 0, b"", b""
-        counts, decimals, decoded = zip(*found)
-        return sum(counts), b"".join(decimals), b"".join(decoded)
+        return len(all_ids), b"".join(decimals), self.tree.decode(all_ids)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
