@@ -10,8 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wellspring.llm import language, toxicity
-from wellspring.llm.common import MAX_GROUPS, drawn
+from wellspring.llm import common, language, toxicity
+from wellspring.llm.common import drawn
 from wellspring.llm.queries import TOXICITY
 
 SF_DIR = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
@@ -167,7 +167,70 @@ def test_a_sample_is_bounded_in_large_groups_and_whole_in_small_ones(spark):
     assert (nothing.count(), none) == (0, {})
 
 
-def test_too_many_groups_to_draw_from_are_refused(spark):
-    rows = spark.range(MAX_GROUPS + 1).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("lang"))
-    with pytest.raises(ValueError, match="more than"):
-        drawn(rows, ["lang"], 10)
+def test_groups_beyond_the_largest_are_drawn_from_together(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_GROUPS", 3)
+    sizes = {"a": 400, "b": 300, None: 200, **{f"rare{k}": 4 for k in range(100)}}
+    rows = spark.createDataFrame(
+        [(n, lang) for n, lang in enumerate(lang for lang, size in sizes.items() for _ in range(size))], "doc_id long, lang string"
+    )
+    sample, found = drawn(rows, ["lang"], 50)
+    assert found == {("a",): 400, ("b",): 300, (None,): 200, (): 400}
+    pools = Counter("rare" if (r.lang or "").startswith("rare") else r.lang for r in sample.collect())
+    assert pools == {"a": 50, "b": 50, None: 50, "rare": 50}
+
+
+def test_chain_and_network_learn_from_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "MAX_GROUPS", 1)
+    monkeypatch.setattr(language, "STEPS", 20)
+    docs, labels = labelled(spark)
+    chain = toxicity.fit(docs, labels, TOXICITY)
+    assert toxicity.classify(docs, chain, list(TOXICITY)).where("toxic").count() == 80
+    network = language.fit(docs.withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 40)))
+    assert len(network.languages) == 40
+
+
+def test_chosen_features_are_all_that_a_model_uses(spark):
+    docs, labels = labelled(spark)
+    known = toxicity.labels_of(labels, TOXICITY).join(docs, "doc_id").orderBy("doc_id").collect()
+    features = [sorted({f for w in toxicity.distinct_words(r.text) for f in toxicity.word_features(w)}) for r in known]
+    rows = [(r.doc_id % 3, f, r.y0 if r.doc_id % 7 else None, r.y1) for r, f in zip(known, features)]
+    kept = toxicity.chosen_features(spark.createDataFrame(rows, "fold int, features array<int>, y0 int, y1 int"), ["y0", "y1"])
+    want = np.zeros(toxicity.FEATURES, bool)
+    for k in (2, 3):
+        for apart in (None, 0, 1, 2):
+            seen = [r for r in rows if r[0] != apart and r[k] is not None]
+            starts = np.cumsum([0, *(len(r[1]) for r in seen)])
+            want |= toxicity.telling(toxicity.Documents(np.concatenate([r[1] for r in seen]), starts), np.array([float(r[k]) for r in seen]))
+    assert (kept == want).all() and 0 < kept.sum() < len(set().union(*features))
+
+
+def test_equal_texts_share_a_fold_and_repeated_ids_count_once(spark, monkeypatch):
+    docs, labels = labelled(spark, 60)
+    copies = docs.withColumn("doc_id", F.col("doc_id") + 1000)
+    more = labels.unionByName(labels.withColumn("doc_id", F.col("doc_id") + 1000))
+    again = docs.limit(20).withColumn("text", F.concat("text", F.lit(" again")))
+    seen = {}
+    plain = toxicity.fit_chain
+    monkeypatch.setattr(toxicity, "fit_chain", lambda d, c, t, w, fold: seen.update(fold=fold) or plain(d, c, t, w, fold))
+    assert toxicity.fit(docs.unionByName(copies).unionByName(again).unionByName(docs), more, TOXICITY)
+    fold = seen["fold"]
+    assert len(fold) == 120 and set(fold) == {0, 1, 2}
+    assert (fold[20:60] == fold[80:]).all()
+
+
+def test_labels_with_names_that_differ_in_case(spark):
+    docs, labels = labelled(spark, 90)
+    wide = labels.select(F.lit(7).alias("DOC_ID"), F.lit(9).alias("Toxic"), "doc_id", "quality", "toxic", F.lit(1).alias("y0"), F.lit("x").alias("text"))
+    got = toxicity.classify(docs, toxicity.fit(docs, wide, TOXICITY), list(TOXICITY)).where("toxic").count()
+    assert got == toxicity.classify(docs, toxicity.fit(docs, labels, TOXICITY), list(TOXICITY)).where("toxic").count() == 30
+
+
+def test_symbols_beyond_ascii_are_blanks():
+    blank = language.windows_of("ab  cd é")
+    assert (language.windows_of("ab…“cd é") == blank).all() and (language.windows_of("AB€٣cd É") == blank).all()
+    assert language.windows_of("की")[0, :6].all()  # a mark belongs to its letter
+
+
+def test_without_a_network_texts_with_letters_stay(documents):
+    df = documents([(1, "some words"), (2, "12 34"), (3, None), (4, "")])
+    assert [r[0] for r in language.keep_recognised(df, None).collect()] == [1]

@@ -25,7 +25,7 @@ CACHE_CHUNKS = 200_000
 TOKEN_CHUNKS = 1_000_000
 #: Distinct matches whose merges a tokenizer remembers (about 170 bytes each).
 TOKEN_MATCHES = 300_000
-#: Groups that a training sample is drawn from, at most.
+#: Groups that a training sample is drawn from one by one; smaller ones are drawn from together.
 MAX_GROUPS = 500
 
 
@@ -45,6 +45,14 @@ def by_place(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def spelled(df: DataFrame, words: Iterable[str]) -> DataFrame:
+    """All columns; of names that differ only in case, the one spelled as in ``words`` (else the first) keeps its own."""
+    lower = [n.lower() for n in df.columns]
+    wanted = {n.lower(): position(df, n) for n in words if n in df.columns}
+    keeps = [wanted.get(n, lower.index(n)) == i for i, n in enumerate(lower)]
+    return df.toDF(*[n if kept else f"_other{i}" for i, (n, kept) in enumerate(zip(df.columns, keeps))])
+
+
 def narrow(df: DataFrame, **columns: str) -> DataFrame:
     """Only the columns that an operator reads, under its own names.
 
@@ -115,21 +123,28 @@ def crc32_of(ids: np.ndarray) -> int:
 def drawn(rows: DataFrame, groups: list[str], bound: int, id_col: str = "doc_id") -> tuple[DataFrame, dict[tuple, int]]:
     """At most ``bound`` rows of each group, drawn by a hash of the id, and the groups' sizes.
 
-    Groups are few (labels, languages): more than ``MAX_GROUPS`` are refused. A hash below a
-    group's share lets through half as many rows again as are wanted, however large the
-    group, so that no more than those meet where they are ranked.
+    The ``MAX_GROUPS`` largest groups (labels, languages) are drawn from one by one. All
+    smaller ones are one pool, drawn from like a group; its size stands under ``()``. A hash
+    below a group's share lets through half as many rows again as are wanted, however large
+    the group, so that no more than those meet where they are ranked.
     """
-    sizes = {tuple(r)[:-1]: r["n"] for r in rows.groupBy(*groups).agg(F.count("*").alias("n")).limit(MAX_GROUPS + 1).collect()}
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups by {', '.join(groups)}")
+    counts = rows.groupBy(*groups).agg(F.count("*").alias("n"))
+    largest = counts.orderBy(F.col("n").desc(), *groups).limit(MAX_GROUPS + 1).collect()
+    sizes = {tuple(r)[:-1]: r["n"] for r in largest[:MAX_GROUPS]}
     place = F.xxhash64(id_col) / F.lit(2.0**64) + 0.5
-    below = F.lit(False)
+    below, named = F.lit(False), F.lit(False)
     for values, n in sizes.items():
         same = F.lit(True)
         for name, value in zip(groups, values):
             same = same & F.col(name).eqNullSafe(F.lit(value))
         below = below | (same & (place < min(2.0, 1.5 * bound / n)))
-    order = Window.partitionBy(*groups).orderBy(F.xxhash64(id_col), id_col)
+        named = named | same
+    group = [F.col(name) for name in groups]
+    if len(largest) > MAX_GROUPS:
+        sizes[()] = rows.count() - sum(sizes.values())
+        below = below | (~named & (place < min(2.0, 1.5 * bound / sizes[()])))
+        group = [named, *[F.when(named, F.col(name)) for name in groups]]
+    order = Window.partitionBy(*group).orderBy(F.xxhash64(id_col), id_col)
     ranked = rows.where(below).withColumn("_turn", F.row_number().over(order))
     return ranked.where(F.col("_turn") <= bound).drop("_turn"), sizes
 

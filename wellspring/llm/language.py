@@ -1,6 +1,6 @@
 """Language of texts by a bidirectional gated recurrent network over bytes.
 
-Texts are lower-cased; bytes that belong to no letter become one blank symbol. The whole
+Texts are lower-cased; what belongs to no letter (marks of letters do) becomes a blank symbol. The whole
 text is read in windows of ``WINDOW`` bytes. A gated recurrent layer reads each window
 forwards and another backwards; from both states every position gets a probability for
 each language, and the document's probabilities are their mean over letter positions. The
@@ -16,6 +16,9 @@ are ignored.
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -37,11 +40,21 @@ UNKNOWN = "und"
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[97:123] = np.arange(97, 123)
 _SYMBOL[128:] = np.arange(128, 256)
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+")
+
+
+@functools.lru_cache(1 << 16)
+def _letters(run: str) -> str:
+    """A run of characters beyond ASCII with a space for each that is no letter and no mark."""
+    return "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in run)
 
 
 def windows_of(text: str) -> np.ndarray:
     """Symbols of the whole text, one row for each window, filled up with blanks."""
-    symbols = _SYMBOL[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)]
+    text = text.lower()
+    if not text.isascii():
+        text = _BEYOND_ASCII.sub(lambda run: _letters(run[0]), text)
+    symbols = _SYMBOL[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
     rows = -(-len(symbols) // WINDOW)
     out = np.zeros(rows * WINDOW, np.uint8)
     out[: len(symbols)] = symbols
@@ -266,12 +279,17 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
 def keep_recognised(
     docs: DataFrame, network: Network | None, least_score: float = 0.4, text_col: str = "text"
 ) -> DataFrame:
-    """Documents with a recognised language, all their columns: not ``und``, and a clear score."""
+    """Documents with a recognised language, all their columns: not ``und``, and a clear score.
+
+    Without a network no language is known to reject a document by: all texts with a letter stay.
+    """
 
     def make() -> Callable:
         label = labeller(network)
 
         def work(texts: list[str | None]) -> list[pa.Array]:
+            if not network:
+                return [pa.array(map(has_letter, texts), pa.bool_())]
             names, scores = label(texts)
             return [pa.array([n != UNKNOWN and s >= least_score for n, s in zip(names, scores)], pa.bool_())]
 
