@@ -207,8 +207,42 @@ def test_repeated_lines(documents, odd, min_lines, min_words):
     assert line_dedup.delete_repeats(documents([])).count() == 0
 
 
-def test_every_window_has_its_least_line():
-    text = "\n".join(f"line {k % 7} {k}" for k in range(40))
-    held = line_dedup.winnowed(text, 4, 1000)
-    spans = sorted((a, b) for windows in held.values() for _, a, b in windows)
-    assert spans == [(k, k + 3) for k in range(37)]
+def test_only_window_minima_are_selected(documents):
+    rows = [(k, "\n".join(f"line {(k * 13 + n) % 50}" for n in range(60))) for k in range(9)]
+    found = line_dedup.positions(documents(rows), 4, 1000).collect()
+    digests = [[xxhash.xxh128_digest(x) for x in t.split("\n")] for _, t in rows]
+    hashes = [[int.from_bytes(d[:8], "little", signed=True) for d in ds] for ds in digests]
+    want = {(i, max(a for a in range(k, k + 4) if h[a] == min(h[k : k + 4]))) for i, h in enumerate(hashes) for k in range(57)}
+    assert {(r.doc_id, r.line) for r in found} == want and len(found) == len(want) < 9 * 60 * 0.6
+    for r in found:
+        held = [(r.line - w.before, r.line + w.after) for w in r.windows]
+        assert bytes(r.around) == b"".join(digests[r.doc_id][held[0][0] : held[-1][1] + 1])
+        assert all(b - a == 3 for a, b in held) and r.fingerprint == hashes[r.doc_id][r.line]
+    spans = sorted((r.doc_id, r.line - w.before) for r in found for w in r.windows)
+    assert spans == [(i, k) for i in range(9) for k in range(57)]
+
+
+def test_a_long_run_is_one_match(documents):
+    passage = [f"passage {k}" for k in range(40)]
+    hot = ["hot", "hot", "hot"]
+    rows = [
+        (1, "\n".join(["a 1", *passage, *hot, "a 2"])),
+        (2, "\n".join(["b 1", "", *passage[5:30], "b 2", *hot, *passage[:4]])),
+        (3, "\n".join(["c 1", *passage[5:30], "b 2", *hot])),
+    ]
+    got = {(r.doc_id, r.first, r.last, r.earlier.doc_id, r.earlier.first) for r in line_dedup.matches(documents(rows)).collect()}
+    assert got == {
+        (2, 1, 25, 1, 6),
+        (2, 27, 29, 1, 41),
+        (2, 30, 33, 1, 1),
+        (3, 1, 25, 1, 6),
+        (3, 24, 28, 2, 24),
+        (3, 27, 29, 1, 41),
+    }
+
+
+def test_windows_inside_spans():
+    found = [(0, 0), (1, 3), (2, 4), (3, 5), (6, 6)]
+    assert line_dedup.inside(found, [(3, 5), (0, 2), (6, 9)]) == [(0, 0), (3, 5), (6, 6)]
+    assert line_dedup.inside(found, [(1, 4), (0, 0)]) == [(0, 0), (1, 3), (2, 4)]
+    assert line_dedup.inside([], [(0, 9)]) == line_dedup.inside(found, []) == []

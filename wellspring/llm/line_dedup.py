@@ -6,13 +6,16 @@ windows depend on their lines alone, so equal runs have equal windows. The least
 of each window (the rightmost of equal ones) is selected as a fingerprint: two equal runs
 share at least one, at the same place in both.
 
-1. Fingerprint positions are joined on their hash; those found once end here.
-2. Around each shared position the match is extended both ways: the windows that hold it are
-   compared by their whole content with the first place where that content stands. Each
-   position is compared with one other, so a line that a third of all documents have makes
-   no pairs among them.
-3. The lines of every window that stands anywhere earlier are deleted; windows that overlap
-   or touch make one run.
+1. Selected positions alone are kept, each with the digests of the lines around it, as far as
+   the windows reach that it is the least line of. They are joined on their fingerprint;
+   those found once end here.
+2. Each position is paired with the first position of its fingerprint around which the same
+   lines stand: one pair for each window that it is selected in. So a line that a third of all
+   documents have makes no pairs among them.
+3. Pairs of one document with one other at one distance are a match: it is extended both ways
+   as long as the pairs overlap or follow on one another, and is one run of equal lines then.
+4. The windows that lie in a match stand earlier as well; their lines are deleted. Windows
+   that overlap or touch make one run.
 
 Earlier means a lesser id, then (for rows that repeat an id) a lesser text digest, then a
 lower line number. What remains of lines that repeat within one text is one period.
@@ -29,13 +32,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wellspring.llm.common import narrow, slices, written
 
 MIN_LINES, MIN_WORDS = 3, 50
-_POSITION = "doc_id long, digest binary, fingerprint long, windows array<struct<content: binary, first: int, last: int>>"
+#: Bytes of a line's digest; its first eight are the line's hash.
+_DIGEST = 16
+_POSITION = "doc_id long, digest binary, line int, fingerprint long, around binary, windows array<struct<before: int, after: int>>"
 
 
 def windows(lines: list[str], min_lines: int, min_words: int) -> list[tuple[int, int]]:
@@ -53,58 +58,107 @@ def windows(lines: list[str], min_lines: int, min_words: int) -> list[tuple[int,
     return out
 
 
-def winnowed(text: str, min_lines: int, min_words: int) -> dict[tuple[int, int], list[tuple[bytes, int, int]]]:
-    """Windows by the place and hash of their fingerprint: content digest, first and last line of the text."""
-    places = [(k, line.strip()) for k, line in enumerate(text.split("\n"))]
-    places = [(k, line) for k, line in places if line]
-    lines = [line for _, line in places]
-    hashes = [xxhash.xxh64_intdigest(line) for line in lines]
-    found: dict[int, list] = {}
-    for first, last in windows(lines, min_lines, min_words):
-        least = min(range(first, last + 1), key=lambda k: (hashes[k], -k))
-        content = xxhash.xxh128_digest("\n".join(lines[first : last + 1]))
-        found.setdefault(least, []).append((content, places[first][0], places[last][0]))
-    return {(k, hashes[k]): held for k, held in found.items()}
+def lines_of(text: str) -> tuple[list[int], list[str]]:
+    """Numbers and stripped contents of the lines that are not blank."""
+    places = [(k, line) for k, raw in enumerate(text.split("\n")) if (line := raw.strip())]
+    return [k for k, _ in places], [line for _, line in places]
+
+
+def selected(hashes: list[int], found: list[tuple[int, int]]) -> dict[int, list[tuple[int, int]]]:
+    """Lines that are the least of some window (the rightmost of equal ones), with those windows."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for first, last in found:
+        out.setdefault(min(range(first, last + 1), key=lambda k: (hashes[k], -k)), []).append((first, last))
+    return out
 
 
 def positions(
     docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """Selected fingerprints of every document, with the windows that they stand for."""
+    """Selected lines of every document, numbered without blank lines, and the digests of the lines around.
+
+    ``windows``: how many lines before and after it each window has that it was selected in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window = pa.list_(pa.struct([("content", pa.binary()), ("first", pa.int32()), ("last", pa.int32())]))
+        window = pa.list_(pa.struct([("before", pa.int32()), ("after", pa.int32())]))
         for batch in slices(batches):
-            ids, digests, prints, spans = [], [], [], []
+            ids, digests, at, prints, around, spans = [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if not text:
                     continue
-                digest = xxhash.xxh128_digest(text)
-                for (_, value), held in winnowed(text, min_lines, min_words).items():
+                digest, (_, lines) = xxhash.xxh128_digest(text), lines_of(text)
+                contents = [xxhash.xxh128_digest(line) for line in lines]
+                hashes = [int.from_bytes(c[:8], "little", signed=True) for c in contents]
+                for k, held in selected(hashes, windows(lines, min_lines, min_words)).items():
                     ids.append(doc_id)
                     digests.append(digest)
-                    prints.append(value - (1 << 64) if value >> 63 else value)
-                    spans.append([{"content": c, "first": a, "last": b} for c, a, b in held])
-            columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(prints, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, window)], ["doc_id", "digest", "fingerprint", "windows"])
+                    at.append(k)
+                    prints.append(hashes[k])
+                    around.append(b"".join(contents[held[0][0] : held[-1][1] + 1]))
+                    spans.append([{"before": k - a, "after": b - k} for a, b in held])
+            columns = [pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(at, pa.int32())]
+            columns += [pa.array(prints, pa.int64()), pa.array(around, pa.binary()), pa.array(spans, window)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "line", "fingerprint", "around", "windows"])
 
     rows = narrow(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, _POSITION)
 
 
-def repeated_lines(
+def matches(
     docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, digest of the text and the spans to delete, of documents with later repeats."""
+    """Runs of lines that stand earlier: doc_id, digest of the text, first and last line, and where they stand first.
+
+    Lines are numbered without blank ones; ``earlier``: id, text digest and first line.
+    """
     found = written(positions(docs, min_lines, min_words, id_col, text_col))
     shared = found.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
     met = found.join(shared, "fingerprint", "left_semi")
-    spans = met.select("doc_id", "digest", F.inline("windows"))
+    # the lines of a window: so many before the selected one, itself, and so many after it
+    reach = F.col("windows")[0]["before"]
+    each = met.select("doc_id", "digest", "line", "around", reach.alias("reach"), F.inline("windows"))
+    begin, size = (F.col("reach") - F.col("before")) * _DIGEST + 1, (F.col("before") + F.col("after") + 1) * _DIGEST
+    seeds = each.select(
+        "doc_id", "digest", (F.col("line") - F.col("before")).alias("first"), (F.col("line") + F.col("after")).alias("last"),
+        F.col("around").substr(begin, size).alias("content"),
+    )
     place = F.struct("doc_id", "digest", "first")
-    # a content found once has nothing to be compared with
-    firsts = spans.groupBy("content").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
-    later = spans.join(firsts.select("content", "place"), "content").where(place > F.col("place"))
-    return later.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    # a content found once has nothing to be paired with
+    firsts = seeds.groupBy("content").agg(F.min(place).alias("place"), F.count("*").alias("n")).where("n > 1")
+    pairs = seeds.join(firsts.select("content", "place"), "content").where(place > F.col("place")).drop("content")
+    aligned = pairs.withColumn("shift", F.col("first") - F.col("place.first")).withColumns(
+        {"of": F.col("place.doc_id"), "by": F.col("place.digest")}
+    )
+    keys = ["doc_id", "digest", "of", "by", "shift"]
+    order = Window.partitionBy(*keys).orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.coalesce(F.col("first") > reached + 1, F.lit(True)).cast("int")
+    runs = aligned.withColumn("begins", begins).withColumn("run", F.sum("begins").over(order))
+    extended = runs.groupBy(*keys, "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    earlier = F.struct(F.col("of").alias("doc_id"), F.col("by").alias("digest"), (F.col("first") - F.col("shift")).alias("first"))
+    return extended.select("doc_id", "digest", "first", "last", earlier.alias("earlier"))
+
+
+def repeated_lines(
+    docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """doc_id, digest of the text and the spans that stand earlier, of documents with later repeats."""
+    found = matches(docs, min_lines, min_words, id_col, text_col)
+    return found.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+
+
+def inside(found: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Windows that lie in one of the spans; both ascend by their first line, windows by their last too."""
+    out, k, reach = [], 0, -1
+    spans = sorted(spans)
+    for first, last in found:
+        while k < len(spans) and spans[k][0] <= first:
+            reach = max(reach, spans[k][1])
+            k += 1
+        if last <= reach:
+            out.append((first, last))
+    return out
 
 
 def delete_repeats(
@@ -123,16 +177,19 @@ def delete_repeats(
         for batch in slices(batches):
             counts, runs, texts = [], [], []
             for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                lines, joined = text.split("\n") if text else [], []
-                for first, last in sorted((s["first"], s["last"]) for s in spans or []):
+                lines, joined, gone = text.split("\n") if text else [], [], []
+                if spans:
+                    places, kept = lines_of(text)
+                    gone = inside(windows(kept, min_lines, min_words), [(s["first"], s["last"]) for s in spans])
+                for first, last in ((places[a], places[b]) for a, b in gone):
                     if joined and first <= joined[-1]["last"] + 1:
                         joined[-1]["last"] = max(joined[-1]["last"], last)
                     else:
                         joined.append({"first": first, "last": last})
                 counts.append(len(lines))
                 runs.append(joined)
-                gone = {k for r in joined for k in range(r["first"], r["last"] + 1)}
-                texts.append("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text)
+                numbers = {k for r in joined for k in range(r["first"], r["last"] + 1)}
+                texts.append("\n".join(x for k, x in enumerate(lines) if k not in numbers) if numbers else text)
             columns = [batch.column("doc_id"), pa.array(counts, pa.int32()), pa.array(runs, run), pa.array(texts, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_lines", "deleted", "text"])
 
