@@ -10,7 +10,7 @@ from wellspring import FactTables, Mappings
 from wellspring import fixed_values as fv
 from wellspring.sources import extract, sinks, workspace
 from wellspring.sources.schemas import FACTS, check_result
-from wellspring.sources.tables import folder_of, read_fact
+from wellspring.sources.tables import folder_of, read_blocks, read_fact
 
 
 def fact(spark, title, *rows):
@@ -66,6 +66,22 @@ def test_scenarios_are_saved_by_name_pattern(spark, blocks, tmp_path):
     }
 
 
+def test_blocks_are_written_in_one_pass_and_picked_by_their_files(spark, blocks, tmp_path):
+    df, folder = read_fact(spark, blocks[:2], "CO2 prices"), str(tmp_path / "together")
+    sinks.save_blocks(df, {"one": "1$", "2": "^2020$"}, folder, "CO2 prices")
+    assert sorted(r.scenario for r in read_fact(spark, [folder], "CO2 prices").collect()) == ["2020", "a1", "b1"]
+    picked = read_blocks(spark, folder, "CO2 prices", ["one"], ["b1", "2020"])
+    assert picked.columns == FACTS["CO2 prices"].names and [r.scenario for r in picked.collect()] == ["b1"]
+    scan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in scan and "(block#" in scan.split("PartitionFilters", 1)[1]
+    assert [r.scenario for r in read_blocks(spark, folder, "CO2 prices", ["2"]).collect()] == ["2020"]
+    only = str(tmp_path / "only")
+    sinks.save_blocks(df, {"b": "^b"}, only, "CO2 prices")
+    assert [r.scenario for r in read_blocks(spark, only, "CO2 prices").collect()] == ["b1"]
+    with pytest.raises(Exception, match="scenario .1 is in blocks x, y"):
+        sinks.save_blocks(df, {"x": "1$", "y": "^[ab]"}, str(tmp_path / "twice"), "CO2 prices")
+
+
 def test_missing_columns_are_named(spark, tmp_path):
     bad = fact(spark, "CO2 prices", ("", "a", "USACO2", 2020, 1.0)).drop("market", "year")
     sinks.save_fact(bad, str(tmp_path), "CO2 prices")

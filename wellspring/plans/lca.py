@@ -21,9 +21,9 @@ from wellspring.sources.workspace import materialize
 class LcaPlan:
     """The DataFrames of one analysis. Each is declared on first use.
 
-    Everything is lazy except the edge table inside the upstream expansion and the absorbed
-    flows, which several results share and which are written to the shared folder. With
-    ``shared=False`` the absorbed flows stay lazy, for a plan asked for one result only.
+    Everything is lazy except the edge table inside the upstream expansion, and the primary
+    outputs and absorbed flows, which several results share and which are written to the shared
+    folder. With ``shared=False`` these two stay lazy, for a plan asked for one result only.
     """
 
     def __init__(
@@ -44,6 +44,11 @@ class LcaPlan:
     def outputs_tech(self) -> DataFrame:
         return flows.clean_outputs(self.facts.outputs_by_tech, self.p)
 
+    @cached_property
+    def outputs(self) -> DataFrame:
+        """``outputs_tech``, written once if the plan is shared: nearly every part reads them."""
+        return materialize(self.outputs_tech, "outputs") if self.shared else self.outputs_tech
+
     @cached_property
     def outputs_sector(self) -> DataFrame:
         return flows.sector_totals(self.outputs_tech)
@@ -52,7 +57,7 @@ class LcaPlan:
     def inputs_tech(self) -> DataFrame:
         f = self.facts
         return flows.assemble_inputs(
-            f.inputs_by_tech, self.outputs_tech, f.co2_sequestration_by_tech, f.nonco2_by_tech, self.p
+            f.inputs_by_tech, self.outputs, f.co2_sequestration_by_tech, f.nonco2_by_tech, self.p
         )
 
     @cached_property
@@ -75,17 +80,17 @@ class LcaPlan:
 
     @cached_property
     def production(self) -> DataFrame:
-        return upstream.fuel_production(self.outputs_tech, self.m)
+        return upstream.fuel_production(self.outputs, self.m)
 
     def expand(self, by_depth: bool = True) -> DataFrame:
         return upstream.upstream_expand(
-            self.outputs_tech, self.inputs_tech, self.m, self.p, by_depth=by_depth
+            self.outputs, self.inputs_tech, self.m, self.p, by_depth=by_depth
         )
 
     def converge(self, tolerance: float = 1e-6, most: int = 100, by_depth: bool = False) -> upstream.Converged:
         """The expansion carried on until little is left open, with what is left bounded."""
         return upstream.upstream_converge(
-            self.outputs_tech, self.inputs_tech, self.m, self.p, tolerance=tolerance, most=most, by_depth=by_depth
+            self.outputs, self.inputs_tech, self.m, self.p, tolerance=tolerance, most=most, by_depth=by_depth
         )
 
     @cached_property
@@ -109,7 +114,7 @@ class LcaPlan:
 
     @cached_property
     def tailpipe_co2(self) -> DataFrame:
-        return tailpipe.tailpipe_co2(self.outputs_tech, self.m, self.p)
+        return tailpipe.tailpipe_co2(self.outputs, self.m, self.p)
 
     @cached_property
     def tailpipe_nonco2(self) -> DataFrame:
@@ -141,7 +146,7 @@ class LcaPlan:
             self.facts.costs_by_tech,
             self.delivery_costs,
             self.co2_penalties,
-            self.outputs_tech,
+            self.outputs,
             self.m,
             self.p,
         )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def save_scenarios_like(df: DataFrame, pattern: str, root: str, title: str) -> N
     save_fact(df.where(F.col("scenario").rlike(pattern)), root, title)
 
 
+def save_blocks(df: DataFrame, blocks: Mapping[str, str], folder: str, title: str) -> None:
+    """Write several blocks of scenarios in one pass over the rows, as <title>/block=…/scenario=….
+
+    ``blocks`` gives each block's name the pattern of its scenarios. A scenario that matches
+    no pattern is left out; one that matches two would be doubled, and fails the job.
+    """
+    scenario = F.col("scenario")
+    hits = F.filter(
+        F.array(*[F.when(scenario.rlike(pattern), F.lit(block)) for block, pattern in blocks.items()]), lambda b: b.isNotNull()
+    )
+    twice = F.raise_error(F.concat(F.lit("scenario "), scenario, F.lit(" is in blocks "), F.array_join(hits, ", ")))
+    placed = df.withColumn("block", F.when(F.size(hits) > 1, twice).otherwise(F.get(hits, F.lit(0))).cast("string"))
+    out = placed.where(F.col("block").isNotNull()).hint("rebalance", "block", "scenario").write
+    out = out.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+    out.partitionBy("block", "scenario").parquet(f"{folder.rstrip('/')}/{folder_of(title)}")
+
+
 def save_csv(df: DataFrame, path: str) -> None:
     """Write headed CSV files with NA for missing values and NaN kept apart."""
     (

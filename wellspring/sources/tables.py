@@ -101,12 +101,23 @@ def read_fact(
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
+def read_blocks(
+    spark: SparkSession, folder: str, title: str, blocks: Sequence[str] = (), scenarios: Sequence[str] = ()
+) -> DataFrame:
+    """One query title of blocks written together, or of some blocks and scenarios by their files alone."""
+    rows = _read_block(spark, f"{folder.rstrip('/')}/{folder_of(title)}", "parquet")
+    for column, kept in (("block", blocks), ("scenario", scenarios)):
+        if kept:
+            rows = rows.where(F.col(column).isin(*kept))
+    return conform(rows, FACTS[title], title)
+
+
 def _read_block(spark: SparkSession, path: str, format: str) -> DataFrame:
     if format == "csv":
         return spark.read.option("header", True).option("nullValue", "NA").csv(path)
     # A declared type keeps codes such as 2020 or 1e5 text where they name a folder.
     columns = spark.read.format(format).load(path).schema
-    named = StructType([StructField(f.name, StringType()) if f.name == "scenario" else f for f in columns])
+    named = StructType([StructField(f.name, StringType()) if f.name in ("scenario", "block") else f for f in columns])
     return spark.read.format(format).schema(named).load(path)
 
 

@@ -551,6 +551,7 @@ def queries() -> dict[str, str]:
         FROM run_ends JOIN (SELECT fuel, scenario, year, step AS depth, open FROM run_steps) USING (fuel, scenario, year, depth)
         LEFT JOIN run_bounds USING (scenario, year) LEFT JOIN run_absorbed USING (fuel, scenario, year)"""
     text["project_scenario"] = f"{text['outputs_tech']} WHERE scenario = 'm1p2'"
+    text["block_scenario_picked"] = text["project_scenario"]
     times = "CASE WHEN scenario IN ('m1p2', 'm2p2') THEN 2 WHEN scenario = 'm3p1' THEN 3 ELSE 1 END"
     text["block_redelivered"] = f"SELECT {flow}, {rounded(f'value * {times}', 8)} AS value FROM outputs_tech"
     dearer = CTES["fuel_prices"].replace(

@@ -24,7 +24,7 @@ from wellspring.sources.checked import read_checked
 from wellspring.sources.extract import carbon_markets, land_use
 from wellspring.sources.mappings import Mappings
 from wellspring.sources.project import Project
-from wellspring.sources.tables import folder_of, read_fact, read_results
+from wellspring.sources.tables import folder_of, read_blocks, read_fact, read_results
 from wellspring.sources.workspace import new_folder
 from wellspring.standin.config import MAPPINGS, PARAMS, SEGMENTS
 from wellspring.standin.tables import FLOWS, LUC, OUTPUTS, PRICES, Only, base, facts, facts_lazily, named, table
@@ -49,7 +49,7 @@ def _narrow(spark: SparkSession, sf_dir: str, only: Only) -> LcaPlan:
 
 
 def _lazy(spark: SparkSession, sf_dir: str, *need: str) -> LcaPlan:
-    return LcaPlan(facts_lazily(spark, sf_dir, need), MAPPINGS, PARAMS)
+    return LcaPlan(facts_lazily(spark, sf_dir, need), MAPPINGS, PARAMS, shared=False)
 
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
@@ -134,7 +134,7 @@ def co2_penalties(spark, sf_dir):
 
 
 def _prices(spark, sf_dir):
-    return LcaPlan(facts(spark, sf_dir, [PRICES]), MAPPINGS, PARAMS)
+    return LcaPlan(facts(spark, sf_dir, [PRICES]), MAPPINGS, PARAMS, shared=False)
 
 
 def fuel_prices(spark, sf_dir):
@@ -263,11 +263,21 @@ def land_leaves_summed(spark, sf_dir):
 
 def project_blocks(spark, sf_dir):
     """Outputs written in two blocks of scenarios and read by their query title."""
-    title, folder = "outputs by tech", new_folder(spark, "blocks")
+    read = read_fact(spark, [_blocks(spark, sf_dir)], OUTPUTS_TITLE)
+    return _rounded(flows.clean_outputs(read, PARAMS), 8, "value")
+
+
+def _blocks(spark, sf_dir):
+    """A folder with the outputs in two blocks of scenarios, by one pass over the star schema."""
+    folder = new_folder(spark, "blocks")
     rows = facts_lazily(spark, sf_dir, [OUTPUTS]).outputs_by_tech
-    for policy in ("p1", "p2"):
-        sinks.save_scenarios_like(rows, f"{policy}$", f"{folder}/{policy}", title)
-    read = read_fact(spark, [f"{folder}/p1", f"{folder}/p2"], title)
+    sinks.save_blocks(rows, {policy: f"{policy}$" for policy in ("p1", "p2")}, folder, OUTPUTS_TITLE)
+    return folder
+
+
+def block_scenario_picked(spark, sf_dir):
+    """The outputs of one scenario of one block, by its files alone."""
+    read = read_blocks(spark, _blocks(spark, sf_dir), OUTPUTS_TITLE, ["p2"], ["m1p2"])
     return _rounded(flows.clean_outputs(read, PARAMS), 8, "value")
 
 
@@ -483,6 +493,7 @@ QUERIES: dict[str, Query] = {
         prices_without_agriculture,
         land_leaves_summed,
         project_blocks,
+        block_scenario_picked,
         scenario_block_saved,
         results_reread,
         mappings_csv,
