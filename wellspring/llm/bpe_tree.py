@@ -139,16 +139,16 @@ class TextEncoder:
 
         self.tree = MergeTree(ranks)
         self.matches = regex.compile(pattern).findall
-        self.young: dict[str, tuple[list[int], bytes]] = {}
-        self.old: dict[str, tuple[list[int], bytes]] = {}
-        self.matched: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], bytes]] = {}
+        self.matched: dict[str, tuple[int, ...]] = {}
 
     def ids(self, text: str) -> list[int]:
         out: list[int] = []
         for match in self.matches(text):
             ids = self.matched.get(match)
             if ids is None:
-                ids = self.tree.encode(match.encode())
+                ids = tuple(self.tree.encode(match.encode()))
                 if len(self.matched) >= CACHE_CHUNKS:
                     self.matched.clear()
                 if len(match) <= 64:
@@ -165,7 +165,8 @@ class TextEncoder:
                 entry = self.old.get(chunk)
                 if entry is None:
                     ids = self.ids(chunk)
-                    entry = ids, "".join([f"{i}," for i in ids]).encode()
+                    # tuples of numbers, unlike lists, cost the garbage collector nothing
+                    entry = tuple(ids), "".join([f"{i}," for i in ids]).encode()
                 if len(chunk) <= 64:
                     young[chunk] = entry
             all_ids += entry[0]
